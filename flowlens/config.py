@@ -215,7 +215,7 @@ LINEITEM_FLOWS = DatasetConfig(
     name="lineitem", features=("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
     label="l_returnflag", identity=("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
     valid_labels=("A", "N"), non_negative=("l_quantity", "l_extendedprice"),
-    benign=("n",), time_col="l_shipdate", key=("l_orderkey", "l_linenumber"),
+    benign=("n",), time_col="l_shipdate", key=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
 )
 EVENTS_FLOWS = DatasetConfig(
     name="events", features=("value",), label="event_type", identity=("user_id",),

@@ -7,8 +7,6 @@ filtering rows away). Floating outputs are rounded identically on both sides
 """
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +25,7 @@ from ..operators.ranking import quantiles
 from .tables import (EVENTS_SQL, EVENTS_TAXONOMY, EVENTS_TAXONOMY_SQL, FLOWS_SQL, dirty_events, dirty_flows,
                      table)
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-LF = C.LINEITEM_FLOWS
-FEATS = list(LF.features)
-KEY = ["l_orderkey", "l_linenumber"]
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-    return deco
-
-
-def fin(x: str) -> str:
-    """SQL twin of functions.columns.finite."""
-    return f"(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END)"
-
-
-def r(c, d=6):
-    return F.round(c if not isinstance(c, str) else F.col(c), d)
-
-
-def _q(spark: SparkSession, df: DataFrame, p: float, column: str) -> float:
-    return quantiles(df.select(F.col(column)), [column], [p]).first()["q"]
+from .registry import FEATS, KEY, LF, ORACLE, QUERIES, _q, fin, r, register  # noqa: F401
 
 
 # =========================================================================== flagship

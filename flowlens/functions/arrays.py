@@ -22,7 +22,7 @@ def softmax(logits: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     """0-based index of the first maximum."""
-    return F.array_position(a, F.array_max(a)) - 1
+    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
 def normalized_entropy(p: Column, digits: int = 4) -> Column:

@@ -140,8 +140,10 @@ def compare_models(metrics: DataFrame) -> DataFrame:
         pct("precision_macro").alias("Precision"), pct("recall_macro").alias("Recall"), pct("fpr").alias("FPR"),
         F.when(F.col("roc_auc").isNotNull() & (F.col("roc_auc") != 0), F.format_string("%.4f", "roc_auc"))
         .otherwise("N/A").alias("ROC-AUC"),
-        F.concat(F.format_string("%.2f", "p95_ms"), F.lit(" ms")).alias("p95 Latency"),
-        F.concat(F.format_string("%.0f", "rows_per_sec"), F.lit(" flows/s")).alias("Throughput"))
+        F.when(F.col("p95_ms").isNotNull(), F.concat(F.format_string("%.2f", "p95_ms"), F.lit(" ms")))
+        .otherwise("N/A").alias("p95 Latency"),
+        F.when(F.col("rows_per_sec").isNotNull(), F.concat(F.format_string("%.0f", "rows_per_sec"), F.lit(" flows/s")))
+        .otherwise("N/A").alias("Throughput"))
 
 
 def missed_as_normal(df: DataFrame, truth: str, pred: str, benign: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -1 +1,470 @@
-"""Registered queries: shape, sets, serving and sources."""
+"""Registered queries: filters / projections / sets, serving and paging, sources,
+models and streaming.
+
+Source and streaming queries first write files *derived from the given tables*
+into the shared checkpoint folder (``spark.checkpoint.dir``), then read them
+back through the library's readers.
+"""
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions.columns import finite
+from ..operators import features as FS
+from ..operators import labels as TAX
+from ..operators import serve as SRV
+from ..operators import shape as SH
+from ..operators import split as SPL
+from ..session import scratch_path
+from .catalog import _split_sql
+from .registry import FEATS, KEY, fin, r, register
+from .tables import EVENTS_TAXONOMY, EVENTS_TAXONOMY_SQL, FLOWS_SQL, dirty_flows, table
+
+# --------------------------------------------------------------------------- FLT
+
+
+@register("clean_frames", f"""
+WITH {FLOWS_SQL},
+b AS (SELECT {', '.join(f'{fin(f)} AS {f}' for f in FEATS)}, l_returnflag FROM flows_all),
+bd AS (SELECT DISTINCT * FROM b),
+d0 AS (SELECT DISTINCT {', '.join(FEATS)}, l_returnflag FROM flows_all)
+SELECT (SELECT count(*) FROM flows_all WHERE {' AND '.join(f'NOT ({f} IS NULL OR isnan({f}))' for f in FEATS)}) AS drop_missing,
+       (SELECT count(*) FROM d0) AS drop_duplicates,
+       (SELECT count(*) FROM bd WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}) AS folder_cleaner,
+       (SELECT count(*) FROM bd WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}) AS category_cleaner,
+       (SELECT count(*) FROM (SELECT DISTINCT * FROM (SELECT {', '.join(f'{fin(f)} AS {f}' for f in FEATS)}, l_returnflag FROM d0))
+        WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}) AS merged_cleaner
+""")
+def clean_frames(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-02 / FLT-03 / FLT-04: row counts after each cleaner on the dirty flow table."""
+    df = dirty_flows(spark, d).select(*FEATS, "l_returnflag")
+    counts = {
+        "drop_missing": SH.drop_missing(df).count(),
+        "drop_duplicates": SH.drop_duplicates(df).count(),
+        "folder_cleaner": SH.clean_folder_frame(df).count(),
+        "category_cleaner": SH.clean_category_frame(df).count(),
+        "merged_cleaner": SH.clean_merged_frame(df, "l_returnflag", drop_constant=False).count(),
+    }
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts))
+
+
+@register("binary_target", """
+SELECT l_returnflag, CAST(lower(trim(l_returnflag)) NOT IN ('n') AS INTEGER) AS y_binary, count(*) AS rows,
+       (SELECT count(*) FROM lineitem WHERE lower(trim(l_returnflag)) IN ('n')) AS benign_rows
+FROM lineitem GROUP BY 1, 2
+""")
+def binary_target(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-06 / FLT-07 / FLT-08: benign-token binary target and the benign subset."""
+    li = table(spark, d, "lineitem")
+    b = SH.binary_target(li, "l_returnflag", "y_binary", C.LINEITEM_FLOWS.benign)
+    n_benign = SH.benign_subset(li, "l_returnflag", C.LINEITEM_FLOWS.benign).count()
+    return b.groupBy("l_returnflag", "y_binary").agg(F.count(F.lit(1)).alias("rows")) \
+        .withColumn("benign_rows", F.lit(n_benign).cast("bigint"))
+
+
+@register("formula_guard", """
+SELECT role, count(*) AS rows,
+  CAST(sum(CASE WHEN regexp_matches(text, '^[=+\\-@]') AND TRY_CAST(text AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS guarded,
+  CAST(sum(length(CASE WHEN regexp_matches(text, '^[=+\\-@]') AND TRY_CAST(text AS DOUBLE) IS NULL THEN '''' || text ELSE text END)) AS BIGINT) AS chars
+FROM conversations GROUP BY role
+""")
+def formula_guard(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-13: spreadsheet-formula guard on whole conversation texts."""
+    c = table(spark, d, "conversations")
+    g = SH.guard_text_columns(c.withColumn("orig", F.col("text")), ["text"])
+    return g.groupBy("role").agg(F.count(F.lit(1)).alias("rows"),
+                                 F.sum((F.col("text") != F.col("orig")).cast("int")).cast("bigint").alias("guarded"),
+                                 F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+@register("zero_day_holdout", f"""
+WITH {EVENTS_TAXONOMY_SQL},
+rec AS (SELECT e.*, coalesce(tax.category, 'Other') AS category FROM events e
+        LEFT JOIN tax ON trim(e.event_type) = tax.raw_label AND tax.dataset = 'events'),
+zd AS (SELECT * FROM (VALUES ('DoS')) AS t(category))
+SELECT 'pool' AS part, category, count(*) AS rows FROM rec WHERE category NOT IN (SELECT category FROM zd) GROUP BY 1, 2
+UNION ALL SELECT 'zero_day', category, count(*) FROM rec WHERE category IN (SELECT category FROM zd) GROUP BY 1, 2
+""")
+def zero_day_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-05 / JOIN-06: categories in the zero-day list leave the pool (left semi / left anti)."""
+    rec = TAX.map_labels(table(spark, d, "events"), "event_type", "events", TAX.taxonomy(spark, EVENTS_TAXONOMY))
+    zd = spark.createDataFrame([("DoS",)], "category string")
+    pool = rec.join(F.broadcast(zd), "category", "left_anti").withColumn("part", F.lit("pool"))
+    held = rec.join(F.broadcast(zd), "category", "left_semi").withColumn("part", F.lit("zero_day"))
+    return pool.unionByName(held).groupBy("part", "category").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --------------------------------------------------------------------------- PRJ
+
+
+@register("constant_columns", f"""
+WITH {FLOWS_SQL},
+a AS (SELECT {', '.join(f"coalesce(min({fin(f)}) = max({fin(f)}), true) AS c_{f}" for f in FEATS + ['l_const'])}
+      FROM (SELECT *, 1.0 AS l_const FROM flows_all))
+SELECT concat_ws(',', {', '.join(f"CASE WHEN c_{f} THEN '{f}' END" for f in FEATS + ['l_const'])}) AS dropped,
+       (SELECT count(*) FROM flows_all) AS rows FROM a
+""")
+def constant_columns(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-05: constant feature columns found in one pass (min = max over finite values) and dropped."""
+    df = dirty_flows(spark, d).withColumn("l_const", F.lit(1.0))
+    cols = FEATS + ["l_const"]
+    const = SH.constant_columns(df, cols)
+    kept = SH.drop_columns(df, const)
+    return spark.createDataFrame([(",".join(const), kept.count())], "dropped string, rows bigint")
+
+
+@register("align_contract", """
+SELECT round(sum(CAST(l_quantity AS FLOAT)), 2) AS l_quantity, round(sum(CAST(coalesce(l_tax, 0.0) AS FLOAT)), 4) AS l_tax,
+       round(sum(CAST(0.0 AS FLOAT)), 2) AS flow_bytes, count(*) AS rows FROM lineitem
+""")
+def align_contract(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-10 / PRJ-11 / PRJ-13: reorder to a feature contract, pad a missing column with 0, cast to float."""
+    li = table(spark, d, "lineitem")
+    contract = ["l_quantity", "l_tax", "flow_bytes"]
+    a = SH.to_float32(SH.align_features(li, contract, 0.0), contract)
+    try:
+        SH.strict_align(li, contract)
+        raise AssertionError("strict alignment must reject a missing contract column")
+    except ValueError:
+        pass
+    return a.agg(r(F.sum("l_quantity"), 2).alias("l_quantity"), r(F.sum("l_tax"), 4).alias("l_tax"),
+                 r(F.sum("flow_bytes"), 2).alias("flow_bytes"), F.count(F.lit(1)).alias("rows"))
+
+
+# --------------------------------------------------------------------------- SET
+
+_CS = """cs AS (SELECT c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_mktsegment AS mktsegment,
+                    'customer' AS dataset_source FROM customer),
+ss AS (SELECT s_name AS name, s_nationkey AS nationkey, s_acctbal AS acctbal, 'supplier' AS dataset_source FROM supplier)"""
+
+
+def _cs(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"),
+                                           F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment"),
+                                           F.lit("customer").alias("dataset_source"))
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationkey"),
+                                           F.col("s_acctbal").alias("acctbal"), F.lit("supplier").alias("dataset_source"))
+    return c, s
+
+
+@register("union_common", f"""
+WITH {_CS},
+u AS (SELECT name, nationkey, acctbal, dataset_source FROM cs UNION ALL SELECT name, nationkey, acctbal, dataset_source FROM ss)
+SELECT dataset_source, count(*) AS rows, round(sum(acctbal), 2) AS acctbal, count(DISTINCT nationkey) AS nations, 4 AS columns
+FROM u GROUP BY 1
+""")
+def union_common(spark: SparkSession, d: str) -> DataFrame:
+    """SET-01 / SRC-07: union all on the intersection of columns."""
+    c, s = _cs(spark, d)
+    u = SH.union_on_common(c, s, forced=["dataset_source"])
+    return u.groupBy("dataset_source").agg(F.count(F.lit(1)).alias("rows"), r(F.sum("acctbal"), 2).alias("acctbal"),
+                                           F.count_distinct("nationkey").alias("nations"),
+                                           F.lit(len(u.columns)).alias("columns"))
+
+
+@register("union_by_name", f"""
+WITH {_CS},
+u AS (SELECT name, nationkey, acctbal, mktsegment, dataset_source FROM cs
+      UNION ALL SELECT name, nationkey, acctbal, NULL, dataset_source FROM ss)
+SELECT dataset_source, count(*) AS rows, count(mktsegment) AS with_segment FROM u GROUP BY 1
+""")
+def union_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """SET-02: union by name, missing columns NULL."""
+    c, s = _cs(spark, d)
+    u = SH.union_by_name([c, s])
+    return u.groupBy("dataset_source").agg(F.count(F.lit(1)).alias("rows"), F.count("mktsegment").alias("with_segment"))
+
+
+@register("label_set_difference", """
+SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS label FROM customer
+WHERE CAST(c_nationkey AS VARCHAR) NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)
+""")
+def label_set_difference(spark: SparkSession, d: str) -> DataFrame:
+    """SET-04: catalogue values seen on one side only (left anti)."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("label"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("label"))
+    return SH.label_difference(c, s, "label")
+
+
+@register("label_set_union", """
+SELECT count(*) AS labels FROM (SELECT CAST(c_mktsegment AS VARCHAR) AS label FROM customer
+  UNION SELECT p_type FROM part UNION SELECT o_orderpriority FROM orders)
+""")
+def label_set_union(spark: SparkSession, d: str) -> DataFrame:
+    """SET-05: distinct union of label catalogues."""
+    parts = [table(spark, d, "customer").select(F.col("c_mktsegment").alias("label")),
+             table(spark, d, "part").select(F.col("p_type").alias("label")),
+             table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"))]
+    return SH.label_union(parts).agg(F.count(F.lit(1)).alias("labels"))
+
+
+# --------------------------------------------------------------------------- SRV / SORT
+
+_STATUS = "CASE o_orderstatus WHEN 'P' THEN 'processing' WHEN 'O' THEN 'processed' ELSE 'deleted' END"
+
+
+def _registry_log(spark, d):
+    o = table(spark, d, "orders")
+    st = F.when(F.col("o_orderstatus") == "P", "processing").when(F.col("o_orderstatus") == "O", "processed") \
+        .otherwise("deleted")
+    return o.select(F.col("o_custkey").alias("dataset_id"), st.alias("status"), F.col("o_orderdate").alias("ts"),
+                    F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("rows_value"))
+
+
+@register("registry_latest", f"""
+WITH lg AS (SELECT o_custkey AS dataset_id, {_STATUS} AS status, o_orderdate AS ts, o_orderkey AS event_id FROM orders),
+l AS (SELECT dataset_id, arg_max(status, (ts, event_id)) AS status FROM lg GROUP BY dataset_id)
+SELECT status, count(*) AS datasets FROM l GROUP BY status
+""")
+def registry_latest(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-10 / WIN-06 / SRV-01: latest state per dataset from an append-only status log."""
+    last = SRV.latest_state(_registry_log(spark, d), "dataset_id", "ts", "event_id", ["status"])
+    return SRV.status_counts(last)
+
+
+@register("registry_live_page", f"""
+WITH lg AS (SELECT o_custkey AS dataset_id, {_STATUS} AS status, o_orderdate AS ts, o_orderkey AS event_id FROM orders),
+l AS (SELECT dataset_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM lg GROUP BY dataset_id),
+live AS (SELECT * FROM l WHERE status <> 'deleted')
+SELECT dataset_id, status, strftime(ts, '%Y-%m-%d') AS day, (SELECT count(*) FROM live) AS total
+FROM live ORDER BY ts DESC, dataset_id LIMIT 20 OFFSET 10
+""")
+def registry_live_page(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-10 / SORT-01 / SRV-01: live datasets (tombstones anti-joined away), newest first, offset 10, limit 20, total."""
+    live = SRV.live_registry(_registry_log(spark, d), "dataset_id", "ts", "status", "event_id")
+    p = SRV.page(live, [F.desc("ts"), F.col("dataset_id")], offset=10, limit=20)
+    return p.select("dataset_id", "status", F.date_format("ts", "yyyy-MM-dd").alias("day"), "total")
+
+
+@register("top_events", """
+SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100
+""")
+def top_events(spark: SparkSession, d: str) -> DataFrame:
+    """SORT-02 / SRV-03: newest-first top 100 records."""
+    return SRV.top_n(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], 100).select("event_id", "event_type")
+
+
+@register("keyset_page", """
+SELECT event_id, event_type FROM events
+WHERE ts < TIMESTAMP '2024-01-15 00:00:00' OR (ts = TIMESTAMP '2024-01-15 00:00:00' AND event_id < 0)
+ORDER BY ts DESC, event_id DESC LIMIT 50
+""")
+def keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    """SORT-06: keyset (cursor) page of records older than (2024-01-15, 0)."""
+    ev = table(spark, d, "events")
+    return SRV.keyset_page(ev, "ts", "event_id", dt.datetime(2024, 1, 15), 0, 50).select("event_id", "event_type")
+
+
+@register("preview", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20
+""")
+def preview(spark: SparkSession, d: str) -> DataFrame:
+    """SORT-05: first-N preview (1..50)."""
+    p = SRV.preview(table(spark, d, "lineitem"), [F.col(k) for k in KEY], 20)
+    return p.select(*KEY, "l_returnflag")
+
+
+@register("record_by_id", "SELECT event_id, event_type, round(value, 2) AS value FROM events WHERE event_id = 42")
+def record_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """SRV-05: point lookup pushed into the parquet scan."""
+    return SRV.by_id(table(spark, d, "events"), "event_id", 42).select("event_id", "event_type", r("value", 2).alias("value"))
+
+
+@register("alert_listing", f"""
+WITH {EVENTS_TAXONOMY_SQL},
+rec AS (SELECT e.event_id, e.ts, e.user_id, coalesce(tax.category, 'Other') AS category, coalesce(tax.severity, 'medium') AS severity
+        FROM events e LEFT JOIN tax ON trim(e.event_type) = tax.raw_label AND tax.dataset = 'events'),
+al AS (SELECT event_id AS traffic_record_id, severity, ts FROM rec WHERE category IN ('DoS', 'Probe', 'R2L', 'U2R'))
+SELECT al.traffic_record_id, al.severity, rec.user_id FROM al JOIN rec ON al.traffic_record_id = rec.event_id
+ORDER BY al.ts DESC, al.traffic_record_id DESC LIMIT 50
+""")
+def alert_listing(spark: SparkSession, d: str) -> DataFrame:
+    """SRV-03 / SRV-04 / JOIN-05: newest 50 alerts joined to their records."""
+    from ..operators.score import alerts_from_records
+    rec = TAX.map_labels(table(spark, d, "events"), "event_type", "events", TAX.taxonomy(spark, EVENTS_TAXONOMY))
+    al = alerts_from_records(rec, "event_id", "event_type", ts="ts")
+    j = al.join(rec.select("event_id", "user_id"), al.traffic_record_id == F.col("event_id"))
+    return SRV.top_n(j, [F.desc("created_at"), F.desc("traffic_record_id")], 50).select("traffic_record_id", "severity", "user_id")
+
+
+@register("top_categories", """
+WITH c AS (SELECT p_type, count(*) AS parts FROM part GROUP BY 1)
+SELECT p_type, parts, (SELECT arg_max(p_type, (parts, p_type)) FROM c) AS best FROM c ORDER BY parts DESC, p_type LIMIT 3
+""")
+def top_categories(spark: SparkSession, d: str) -> DataFrame:
+    """SORT-03 / SORT-04: top-k categories and the best one (max_by)."""
+    c = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
+    best = c.agg(F.max_by("p_type", F.struct("parts", "p_type")).alias("best"), F.lit(1).alias("__k"))
+    top = SRV.top_n(c, [F.desc("parts"), F.col("p_type")], 3).withColumn("__k", F.lit(1))
+    return top.join(best, "__k").drop("__k")
+
+
+# --------------------------------------------------------------------------- SRC (files derived from the tables)
+
+
+def _lineitem_folder(spark: SparkSession, d: str) -> str:
+    """Write lineitem as CSV folders by return flag (one folder per 'attack category')."""
+    path = scratch_path(spark, "lineitem-csv")
+    table(spark, d, "lineitem").write.option("header", "true").partitionBy("l_returnflag").csv(path)
+    return path
+
+
+@register("folder_ingest", """
+SELECT 'l_returnflag=' || l_returnflag AS Attack_Category, 'flows' AS Dataset, count(*) AS rows,
+       round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice
+FROM lineitem GROUP BY 1
+""")
+def folder_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02 / SRC-06 / PRJ-07 / PRJ-08 / PRJ-09 / SET-02: CSV folder tree grouped by header,
+    tagged with dataset, source file and first-folder category, numeric columns coerced."""
+    root = _lineitem_folder(spark, d)
+    from ..sources.csv import load_folder
+    df = SH.strip_column_names(load_folder(spark, root, "flows", numeric=["l_quantity", "l_extendedprice"]))
+    return df.groupBy("Attack_Category", "Dataset").agg(F.count(F.lit(1)).alias("rows"),
+                                                        r(F.sum("l_quantity"), 2).alias("l_quantity"),
+                                                        r(F.sum("l_extendedprice"), 2).alias("l_extendedprice"))
+
+
+@register("file_inventory", """
+SELECT 'l_returnflag=' || l_returnflag AS category, count(*) AS rows, 10 AS columns FROM lineitem GROUP BY 1
+""")
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-14 / SRC-11 / SRC-09: per-file rows and header width, rolled up per category folder."""
+    from ..sources.files import inventory
+    inv = inventory(spark, _lineitem_folder(spark, d))
+    return inv.groupBy("category").agg(F.sum("rows").cast("bigint").alias("rows"), F.max("columns").alias("columns"))
+
+
+def file_audit(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-12: extension / size / empty / NUL / blank-header audit over every derived file."""
+    from ..sources.files import audit
+    a = audit(spark, _lineitem_folder(spark, d), glob="*")
+    return a.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("files"))
+
+
+register("file_audit")(file_audit)
+
+
+def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13 / JOIN-07: sha256 manifest of the derived files verified against itself with one
+    expected entry altered and one removed (ok / changed / missing / new)."""
+    from ..sources.files import manifest, verify_manifest
+    m = manifest(spark, _lineitem_folder(spark, d), glob="*.csv")
+    names = m.select("name").orderBy("name")
+    first = names.first()["name"]
+    last = names.orderBy(F.desc("name")).first()["name"]
+    expected = m.where(F.col("name") != last).withColumn(
+        "sha256", F.when(F.col("name") == first, F.upper(F.concat(F.lit(" "), F.lit("0" * 64)))).otherwise(F.upper("sha256")))
+    return verify_manifest(m, expected).groupBy("state").agg(F.count(F.lit(1)).alias("files"))
+
+
+register("manifest_verify")(manifest_verify)
+
+
+# --------------------------------------------------------------------------- MOD / FS (MLlib; rows-only checks)
+
+
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """MOD-01..04 / MOD-08 / MOD-09 / EVAL-03: default suite trained on the train split, macro-F1 on test."""
+    from ..operators.models import train_and_select
+    s = SPL.stratified_split(table(spark, d, "lineitem"), "l_returnflag", KEY)
+    rows, best, _ = train_and_select(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"),
+                                     FEATS, "l_returnflag")
+    return rows.withColumn("best", F.col("model") == best)
+
+
+register("model_comparison")(model_comparison)
+
+
+def rf_importance(spark: SparkSession, d: str) -> DataFrame:
+    """FS-02: random-forest importance ranking (4 dp)."""
+    return FS.rf_importance(table(spark, d, "lineitem"), FEATS, "l_returnflag", num_trees=20, max_depth=8)
+
+
+register("rf_importance")(rf_importance)
+
+
+def perturbation_flips(spark: SparkSession, d: str) -> DataFrame:
+    """FS-06: flip rate per feature for a decision tree, one exploded scoring pass."""
+    from ..operators.models import ModelSuite
+    li = table(spark, d, "lineitem")
+    suite = ModelSuite(["decision_tree"]).fit(li, FEATS, "l_returnflag")
+    return FS.perturbation_flip_rates(li, FEATS, KEY, lambda x: suite.predict(x, "decision_tree"), 0.5, 200)
+
+
+register("perturbation_flips")(perturbation_flips)
+
+
+# --------------------------------------------------------------------------- STR
+
+
+@register("stream_transform", f"""
+WITH p AS (SELECT {', '.join(f"min({f}) AS mn_{f}, CASE WHEN max({f}) = min({f}) THEN 1.0 ELSE max({f}) - min({f}) END AS df_{f}" for f in FEATS)} FROM lineitem),
+scaled AS (SELECT l_returnflag, {', '.join(f"least(greatest(({f} - mn_{f}) / df_{f}, 0.0), 1.0) AS {f}" for f in FEATS)} FROM lineitem, p)
+SELECT l_returnflag, count(*) AS rows, {', '.join(f"round(avg({f}), 6) + 0.0 AS {f}" for f in FEATS)} FROM scaled GROUP BY l_returnflag
+""")
+def stream_transform(spark: SparkSession, d: str) -> DataFrame:
+    """STR-01 / STR-02: the fitted min-max transform over a file stream equals the batch result."""
+    from ..operators import fit as FIT
+    from ..streaming.stream import fitted_transform, to_memory
+    li = table(spark, d, "lineitem")
+    params = FIT.fit_scaler(li, FEATS, "minmax")
+    src = (spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(d))
+    name = "flows_stream_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
+    q = to_memory(fitted_transform(None, params, "l_returnflag", benign=C.LINEITEM_FLOWS.benign)(src), name,
+                  scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    out = spark.table(name)
+    return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), *[r(F.avg(f)).alias(f) for f in FEATS])
+
+
+@register("stream_dedup", f"""
+WITH {FLOWS_SQL}
+SELECT count(*) AS rows FROM (SELECT DISTINCT * FROM flows_all)
+""")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05: duplicates spread over separate files (micro-batches) are removed across batches."""
+    from ..streaming.stream import dedup_stream, to_memory
+    df = dirty_flows(spark, d)
+    path = scratch_path(spark, "flows-files")
+    base = df.where(F.col("l_orderkey") % 113 != 0)
+    dup = df.where(F.col("l_orderkey") % 113 == 0)
+    # the re-appended duplicates land in a later file than their originals
+    base.unionByName(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part1")
+    dup.exceptAll(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part2")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    name = "dedup_stream_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
+    q = to_memory(dedup_stream(src, "l_shipdate", df.columns, "36500 days"), name, scratch_path(spark, "dedup-ckpt"))
+    q.awaitTermination()
+    return spark.table(name).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("stream_alerts", f"""
+WITH {EVENTS_TAXONOMY_SQL},
+rec AS (SELECT coalesce(tax.category, 'Other') AS category, coalesce(tax.severity, 'medium') AS severity FROM events e
+        LEFT JOIN tax ON trim(e.event_type) = tax.raw_label AND tax.dataset = 'events')
+SELECT severity, count(*) AS alerts, (SELECT count(*) FROM events) AS records
+FROM rec WHERE category IN ('DoS', 'Probe', 'R2L', 'U2R') GROUP BY severity
+""")
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """STR-03 / STR-04 / SNK-08: streamed events scored per micro-batch into records + alerts tables."""
+    from ..streaming.stream import score_and_persist
+    ev = table(spark, d, "events")
+    tax = TAX.taxonomy(spark, EVENTS_TAXONOMY)
+    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rec = TAX.map_labels(src, "event_type", "events", tax)
+    base = scratch_path(spark, "alerts")
+    q = score_and_persist(rec, base + "/records", base + "/alerts", base + "/ckpt", "event_id", "event_type")
+    q.awaitTermination()
+    n = spark.read.parquet(base + "/records").count()
+    al = spark.read.parquet(base + "/alerts")
+    return al.groupBy("severity").agg(F.count(F.lit(1)).alias("alerts")).withColumn("records", F.lit(n).cast("bigint"))
+
+
+__all__ = ["finite", "_split_sql"]

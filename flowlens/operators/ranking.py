@@ -5,6 +5,8 @@ distinct value of a column to one task. At 100 TB that is unbounded, so every
 rank-based operator here (exact quantiles, Mann-Whitney AUC, cumulative PR
 curves) goes through :func:`prefix_sums`, a two-level scan:
 
+0. One aggregate sizes the scan: B = ceil(largest group / ROWS_PER_BUCKET). A
+   group within that bound is provably fine for one window task (B = 1).
 1. ``percentile_approx`` gives ``B-1`` cut points per key group (bounded sketch,
    ``groups x B`` doubles, broadcast).
 2. Each row gets a bucket id by a codegen'd binary search over the cut points.
@@ -18,6 +20,7 @@ value that holds a third of all rows is a single row with a large count.
 """
 from __future__ import annotations
 
+import os
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +28,24 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = None        # None: sized from the largest group (see plan_buckets)
+ROWS_PER_BUCKET = 2_000_000   # rows one window task may hold; the bound that makes a group "small"
+MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 20000
 
 
+def plan_buckets(df: DataFrame, keys: Sequence[str], rows_per_bucket: int | None = None) -> int:
+    """Buckets needed so that no (group, bucket) holds more than ``rows_per_bucket`` rows.
+
+    One small aggregate (group sizes, partial aggregation map-side). 1 means every
+    group is provably small enough for a single window task.
+    """
+    rows_per_bucket = rows_per_bucket or int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
+    g = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    biggest = g.agg(F.max("n")).first()[0] or 0
+    return int(min(MAX_BUCKETS, max(1, -(-biggest // rows_per_bucket))))
+
+
 def _bucket_expr(bounds: Column, value: Column, lo: int, hi: int) -> Column:
     """Number of cut points strictly below ``value`` (binary search, bounds sorted)."""
     if lo >= hi:
@@ -39,16 +56,19 @@ def _bucket_expr(bounds: Column, value: Column, lo: int, hi: int) -> Column:
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str], sum_cols: Sequence[str],
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``<c>_below`` = sum of ``c`` over rows of the same key group that sort
     strictly before the row. ``order_col`` is one column or a compound order whose
     first column is numeric (it drives the bucketing; ties in it share a bucket).
     The order must be total within a group (pre-aggregate or add a key).
-    ``keys`` may be empty for one global order.
+    ``keys`` may be empty for one global order. ``buckets=None`` sizes the scan from
+    the largest group: groups within ROWS_PER_BUCKET use one window per group.
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     first = order[0]
     keys = list(keys)
+    if buckets is None:
+        buckets = plan_buckets(df, keys)
     if not keys:
         df = df.withColumn("__g", F.lit(0))
         keys = ["__g"]
@@ -56,9 +76,17 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[st
     else:
         drop_g = False
     gk = [col(k) for k in keys]
+    if buckets <= 1:
+        # every group is within the per-task bound: one window per group
+        w = Window.partitionBy(*gk).orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for c in sum_cols:
+            out = out.withColumn(f"{c}_below", F.coalesce(F.sum(col(c)).over(w), F.lit(0)))
+        return out.drop("__g") if drop_g else out
     cuts = [i / buckets for i in range(1, buckets)]
+    accuracy = max(SKETCH_ACCURACY, 20 * buckets)
     bounds = df.groupBy(*gk).agg(
-        F.percentile_approx(col(first).cast("double"), cuts, SKETCH_ACCURACY).alias("__bounds"))
+        F.percentile_approx(col(first).cast("double"), cuts, accuracy).alias("__bounds"))
     # one row per key group, B-1 doubles each: size bounded by (#groups x B)
     b = df.join(F.broadcast(bounds), keys, "left")
     b = b.withColumn("__bkt", _bucket_expr(F.col("__bounds"), col(first).cast("double"), 0, buckets - 1)).drop("__bounds")

@@ -11,6 +11,7 @@ from ..operators import fit as FIT
 from ..operators import labels as TAX
 from ..operators import shape as SH
 from ..operators import split as SPL
+from ..session import cut_lineage
 from . import prepare as PREP
 from .catalog import _split_sql
 from .registry import FEATS, KEY, LF, fin, r, register
@@ -19,7 +20,8 @@ from .tables import (EVENTS_SQL, EVENTS_TAXONOMY, EVENTS_TAXONOMY_SQL, FLOWS_SQL
 
 
 def _split_lineitem(spark, d):
-    return SPL.stratified_split(table(spark, d, "lineitem"), "l_returnflag", KEY)
+    # reused by a fit (action) and the transform: materialized once
+    return cut_lineage(SPL.stratified_split(table(spark, d, "lineitem"), "l_returnflag", KEY))
 
 
 def _avg_by_split(df: DataFrame, feats, digits=6) -> DataFrame:
@@ -119,7 +121,7 @@ SELECT split, count(*) AS rows, {', '.join(f"round(sum({f}), 2) AS {f}" for f in
 """)
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     """FIT-01/02: medians of finite train values fill NULL/NaN/inf in every split."""
-    s = SPL.stratified_split(dirty_flows(spark, d), "l_returnflag", KEY)
+    s = cut_lineage(SPL.stratified_split(dirty_flows(spark, d), "l_returnflag", KEY))
     imp = FIT.fit_imputer(s.where(F.col("split") == "train"), FEATS, "median")
     out = FIT.apply_imputer(s, imp)
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *[r(F.sum(f), 2).alias(f) for f in FEATS])

@@ -20,6 +20,7 @@ from ..operators import labels as TAX
 from ..operators import quality as VAL
 from ..operators import shape as SH
 from ..operators import split as SPL
+from ..session import cut_lineage
 
 
 @dataclass
@@ -46,7 +47,8 @@ def fit_transform(df: DataFrame, cfg: DatasetConfig, key: Sequence[str], scaler:
     if strict:
         VAL.require_valid(VAL.validate(df, cfg))
     feats = [f for f in cfg.features if f in df.columns]
-    s = SPL.stratified_split(df, cfg.label, key, *ratios, seed=seed)
+    # the split feeds several fits (actions): materialize it once in the shared checkpoint folder
+    s = cut_lineage(SPL.stratified_split(df, cfg.label, key, *ratios, seed=seed))
     base = s.select(*[col(f) for f in feats], col(cfg.label), "split")
     train_raw = base.where(F.col("split") == "train")
     imp = FIT.fit_imputer(train_raw, feats, impute)

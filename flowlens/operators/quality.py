@@ -133,11 +133,11 @@ def summarize(findings: DataFrame, df: DataFrame, cfg: DatasetConfig) -> DataFra
     """
     n = df.agg(F.count(F.lit(1)).alias("total_records"))
     s = findings.agg(
-        F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("error_count"),
-        F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)).alias("warning_count"),
+        F.coalesce(F.sum(F.when(F.col("severity") == "error", 1).otherwise(0)), F.lit(0)).alias("error_count"),
+        F.coalesce(F.sum(F.when(F.col("severity") == "warning", 1).otherwise(0)), F.lit(0)).alias("warning_count"),
         F.coalesce(F.max(F.when(F.col("check") == "duplicate_rows", F.col("count"))), F.lit(0)).alias("duplicate_record_count"),
-        F.sum(F.when(F.col("check") == "zero_variance", 1).otherwise(0)).alias("n_zero_var"),
-        F.sum(F.when(F.col("check") == "leakage_column", 1).otherwise(0)).alias("n_leak"),
+        F.coalesce(F.sum(F.when(F.col("check") == "zero_variance", 1).otherwise(0)), F.lit(0)).alias("n_zero_var"),
+        F.coalesce(F.sum(F.when(F.col("check") == "leakage_column", 1).otherwise(0)), F.lit(0)).alias("n_leak"),
         F.coalesce(F.sum(F.when(F.col("check") == "infinite_values", F.col("count"))), F.lit(0)).alias("total_infinite_values"),
         F.coalesce(F.sum(F.when(F.col("check") == "missing_values", F.col("count"))), F.lit(0)).alias("total_nan_values"))
     total_features = len(df.columns)

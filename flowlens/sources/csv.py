@@ -33,9 +33,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Recursive listing as a DataFrame (path, length, modified); file contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-            .load(root).select("path", "length", F.col("modificationTime").alias("modified")))
+    """Recursive listing (path, length, modified) from the file system's metadata.
+
+    File scans skip zero-length files, so the listing comes from the Hadoop
+    FileSystem API instead (metadata only, one entry per file; no bytes read).
+    """
+    import fnmatch
+    p, fs = _fs(spark, root)
+    it = fs.listFiles(p, True)
+    rows = []
+    while it.hasNext():
+        st = it.next()
+        path = str(st.getPath().toString())
+        if fnmatch.fnmatch(path.rsplit("/", 1)[-1], glob):
+            rows.append((path, int(st.getLen()), int(st.getModificationTime())))
+    df = spark.createDataFrame(rows, "path string, length bigint, modified_ms bigint")
+    return df.withColumn("modified", F.timestamp_millis("modified_ms")).drop("modified_ms")
 
 
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:

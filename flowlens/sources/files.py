@@ -21,23 +21,24 @@ def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
 def audit(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = DEFAULT_MAX_BYTES,
           allowed_ext: tuple[str, ...] = (".csv",)) -> DataFrame:
     """SRC-12: per file -> extension ok, size ok, empty, NUL bytes in the first 8 KB,
-    blank header, cleaned file name, and the first failing rule as ``problem``."""
-    b = _binary(spark, root, glob)
-    small = b.where(F.col("length") <= max_bytes)             # pushed into the file listing
+    blank header, cleaned file name, and the first failing rule as ``problem``.
+
+    The listing (with empty files) comes from file metadata; bytes are read by
+    executors only for non-empty files within ``max_bytes`` (size filter pushed to the scan).
+    """
+    from .csv import list_files
+    listing = list_files(spark, root, glob)
+    b = _binary(spark, root, glob).where((F.col("length") <= max_bytes) & (F.col("length") > 0))
     head = F.substring(F.col("content"), 1, 8192)
-    head_txt = F.decode(head, "UTF-8")
-    first = F.split(head_txt, "\n").getItem(0)
+    heads = b.select("path", head.alias("head"))
+    j = listing.join(heads, "path", "left")
+    first = F.split(F.decode(F.col("head"), "UTF-8"), "\n").getItem(0)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    checked = small.select(
-        "path", "length", clean_filename(F.col("path")).alias("clean_name"),
-        ext.isin(list(allowed_ext)).alias("ext_ok"), (F.col("length") == 0).alias("empty"),
-        (F.instr(F.decode(head, "ISO-8859-1"), "\u0000") > 0).alias("has_nul"),
-        (F.trim(F.regexp_replace(first, "[,;\r]", "")) == "").alias("blank_header"))
-    oversized = b.where(F.col("length") > max_bytes).select(
-        "path", "length", clean_filename(F.col("path")).alias("clean_name"), F.lit(None).cast("boolean").alias("ext_ok"),
-        F.lit(False).alias("empty"), F.lit(None).cast("boolean").alias("blank_header"),
-        F.lit(None).cast("boolean").alias("has_nul"))
-    out = checked.unionByName(oversized)
+    out = j.select(
+        "path", "length", clean_filename(F.col("path")).alias("clean_name"), ext.isin(list(allowed_ext)).alias("ext_ok"),
+        (F.col("length") == 0).alias("empty"),
+        F.coalesce(F.instr(F.decode(F.col("head"), "ISO-8859-1"), "\u0000") > 0, F.lit(False)).alias("has_nul"),
+        F.coalesce(F.trim(F.regexp_replace(first, "[,;\r]", "")) == "", F.lit(False)).alias("blank_header"))
     problem = (F.when(F.col("length") > max_bytes, "file too large").when(~F.col("ext_ok"), "not a CSV file")
                .when(F.col("empty"), "empty file").when(F.col("has_nul"), "binary content (NUL bytes)")
                .when(F.col("blank_header"), "blank header"))
@@ -45,10 +46,14 @@ def audit(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = DEFA
 
 
 def manifest(spark: SparkSession, root: str, glob: str = "*", version: str = "v1.0.0") -> DataFrame:
-    """SRC-13: (name, path, sha256, size_bytes, model_version) for every file."""
-    b = _binary(spark, root, glob)
-    return b.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
-                    F.sha2(F.col("content"), 256).alias("sha256"), F.col("length").alias("size_bytes"),
+    """SRC-13: (name, path, sha256, size_bytes, model_version) for every file (empty files included)."""
+    from .csv import list_files
+    listing = list_files(spark, root, glob)
+    content = _binary(spark, root, glob).select("path", "content")
+    j = listing.join(content, "path", "left")
+    body = F.coalesce(F.col("content"), F.unhex(F.lit("")))
+    return j.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
+                    F.sha2(body, 256).alias("sha256"), F.col("length").alias("size_bytes"),
                     F.lit(version).alias("model_version"))
 
 

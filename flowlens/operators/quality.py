@@ -248,3 +248,95 @@ def outlier_percent(df: DataFrame, features: Sequence[str], method: str = "exact
                                    F.first("iqr").alias("iqr"))
     return res.select("feature", F.when(F.col("iqr") == 0, F.lit(0.0))
                       .otherwise(F.round(100.0 * F.col("__share"), 2)).alias("outlier_pct"))
+
+
+def ingest_validation(spark, path: str, configs=None, max_rows: int | None = None, threshold: float = 0.5):
+    """VAL-10: detect the dataset type from the header, validate the rows (all rows by
+    default; the first ``max_rows`` only when asked) and return (summary row, findings).
+
+    The summary carries dataset_type, rows_checked, total_rows, sampled and a message.
+    """
+    from ..sources.csv import load_csv, read_header
+    configs = configs or C.PRESETS
+    dtype = detect_dataset_type(read_header(spark, path), configs, threshold)
+    df = load_csv(spark, path)
+    total = df.count()
+    if dtype is None:
+        msg = "Unknown dataset type: required columns not found"
+        summary = spark.createDataFrame([(None, 0, total, False, False, msg)],
+                                        "dataset_type string, rows_checked bigint, total_rows bigint, sampled boolean, "
+                                        "is_valid boolean, message string")
+        return summary, _rows(spark, [])
+    cfg = configs[dtype]
+    from .shape import coerce_numeric
+    df = coerce_numeric(df, [f for f in cfg.features if f in df.columns])
+    sampled = max_rows is not None and total > max_rows
+    part = df.limit(max_rows) if sampled else df
+    findings = validate(part, cfg)
+    s = summarize(findings, part, cfg).first()
+    checked = s["total_records"]
+    msg = (f"Validated first {checked} of {total} rows" if sampled else f"Validated all {total} rows") + \
+        ("" if s["is_valid"] else f"; {s['error_count']} error(s)")
+    summary = spark.createDataFrame([(dtype, checked, total, sampled, bool(s["is_valid"]), msg)],
+                                    "dataset_type string, rows_checked bigint, total_rows bigint, sampled boolean, "
+                                    "is_valid boolean, message string")
+    return summary, findings
+
+
+def cleaning_report(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """VAL-12: rows / duplicates / missing and infinite cells before and after cleaning."""
+    b = quick_profile(before).select(F.lit(name).alias("dataset"), F.lit("before").alias("stage"), "*")
+    a = quick_profile(after).select(F.lit(name).alias("dataset"), F.lit("after").alias("stage"), "*")
+    return b.unionByName(a)
+
+
+def feature_quality_report(df: DataFrame, features: Sequence[str], label: str,
+                           redundancy: float = 0.95, auc_threshold: float = 0.98) -> DataFrame:
+    """VAL-16: findings of every feature-quality check as rows, plus recommendation rows.
+
+    Columns: (section, feature, value, detail). Sections: missing_pct, near_zero_variance,
+    redundant_pair, outlier_pct, class_balance, identity_column, single_feature_leak,
+    duplicate_rows, recommendation.
+    """
+    from . import features as FS
+    from . import stats as AGG
+    from ..functions.text import identity_like
+    spark = df.sparkSession
+    schema = "section string, feature string, value double, detail string"
+    parts = [
+        missing_percent(df, features).select(F.lit("missing_pct").alias("section"), "feature",
+                                             F.col("missing_pct").cast("double").alias("value"),
+                                             F.lit(None).cast("string").alias("detail")),
+        near_zero_variance(df, features).where("near_zero").select(F.lit("near_zero_variance").alias("section"), "feature",
+                                                                   "variance", F.lit(None).cast("string").alias("detail")),
+        AGG.redundant_pairs(AGG.correlation_pairs(df, features), redundancy).select(
+            F.lit("redundant_pair").alias("section"), "feature_a", "abs_r", "feature_b"),
+        outlier_percent(df, features).select(F.lit("outlier_pct").alias("section"), "feature", "outlier_pct",
+                                             F.lit(None).cast("string").alias("detail")),
+        AGG.value_counts(df, label).select(F.lit("class_balance").alias("section"), F.col(label).cast("string"),
+                                           F.col("count").cast("double"), F.lit(None).cast("string")),
+        spark.createDataFrame([(c,) for c in features], "feature string").where(identity_like(F.col("feature")))
+        .select(F.lit("identity_column").alias("section"), "feature", F.lit(None).cast("double"), F.lit(None).cast("string")),
+        FS.single_feature_separability(df, features, label, auc_threshold).where("flagged").select(
+            F.lit("single_feature_leak").alias("section"), "feature", "auc", F.lit(None).cast("string")),
+        quick_profile(df).select(F.lit("duplicate_rows").alias("section"), F.lit(None).cast("string"),
+                                 F.col("duplicate_rows").cast("double"), F.lit(None).cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    out = out.toDF(*[c.split()[0] for c in schema.split(", ")])
+    counts = out.groupBy("section").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
+    rec = counts.select(
+        F.lit("recommendation").alias("section"), F.col("section").alias("feature"), F.col("n").cast("double").alias("value"),
+        F.when(F.col("section") == "near_zero_variance", "drop near-zero-variance features")
+        .when(F.col("section") == "redundant_pair", "drop one feature of each highly correlated pair")
+        .when(F.col("section") == "identity_column", "exclude identity-like columns from model input")
+        .when(F.col("section") == "single_feature_leak", "verify near-perfect single features are real signals")
+        .when((F.col("section") == "duplicate_rows") & (F.col("total") > 0), "investigate duplicate rows after cleaning")
+        .alias("detail")).where(F.col("detail").isNotNull())
+    none = rec.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0).select(
+        F.lit("recommendation").alias("section"), F.lit(None).cast("string").alias("feature"),
+        F.lit(None).cast("double").alias("value"), F.lit("no major feature-quality or leakage concerns").alias("detail"))
+    return out.unionByName(rec).unionByName(none)

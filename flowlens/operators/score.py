@@ -157,3 +157,24 @@ def reconstruction_loss(df: DataFrame, recon: str, orig: str, cosine_weight: flo
 
 def long_errors(df: DataFrame, err: str):
     return long_values(df, [err])
+
+
+def score_payloads(df: DataFrame, payload_col: str, features: Sequence[str], center: Sequence[float],
+                   scale: Sequence[float], model: Callable[[DataFrame], DataFrame], model_version: str,
+                   keep: Sequence[str] = (), benign: Sequence[str] = C.TRIAGE_BENIGN) -> tuple[DataFrame, DataFrame]:
+    """SCR-09: JSON payload -> contract checks -> stored scaling -> model -> result rows.
+
+    Returns (results, quarantine): rows failing the payload contract go to the
+    quarantine frame with their error; the rest are scaled with the stored contract
+    (scale 0 -> 1), scored, and get is_alert and the model version.
+    """
+    from .fit import apply_stored_scaler
+    from .shape import payload_to_features
+    p = payload_to_features(df, payload_col, features, keep=list(keep))
+    bad = p.where(F.col("payload_error").isNotNull())
+    good = p.where(F.col("payload_error").isNull())
+    scaled = apply_stored_scaler(good, center, scale, features, keep=list(keep))
+    scored = model(scaled)
+    res = scored.withColumn("is_alert", ~F.upper(F.col("prediction_label")).isin([b.upper() for b in benign])) \
+        .withColumn("model_version", F.lit(model_version))
+    return res, bad

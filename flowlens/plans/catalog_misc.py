@@ -468,3 +468,54 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 __all__ = ["finite", "_split_sql"]
+
+
+# --------------------------------------------------------------------------- VAL reports
+
+@register("cleaning_report", f"""
+WITH {FLOWS_SQL},
+g AS (SELECT *, count(*) AS cnt FROM flows_all GROUP BY ALL),
+c AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(f'{fin(f)} AS {f}' for f in FEATS)},
+             l_returnflag, l_linestatus, l_shipdate FROM flows_all),
+cc AS (SELECT * FROM c WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)})
+SELECT 'flows' AS dataset, 'before' AS stage, CAST(sum(cnt) AS BIGINT) AS rows, 11 AS columns,
+  CAST(sum(cnt - 1) AS BIGINT) AS duplicate_rows,
+  CAST(sum(cnt * ((CASE WHEN l_quantity IS NULL OR isnan(l_quantity) THEN 1 ELSE 0 END)
+                + (CASE WHEN l_discount IS NULL OR isnan(l_discount) THEN 1 ELSE 0 END))) AS BIGINT) AS missing_cells,
+  CAST(sum(cnt * (CASE WHEN isinf(l_extendedprice) THEN 1 ELSE 0 END)) AS BIGINT) AS infinite_cells,
+  8 AS numeric_columns, 3 AS other_columns FROM g
+UNION ALL
+SELECT 'flows', 'after', count(*), 11, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 8, 3 FROM cc
+""")
+def cleaning_report(spark: SparkSession, d: str) -> DataFrame:
+    """VAL-12 / VAL-11 / FLT-04: profile before and after the category-stack cleaner."""
+    from ..operators import quality as VAL
+    df = dirty_flows(spark, d)
+    return VAL.cleaning_report(df, SH.clean_category_frame(df), "flows")
+
+
+def feature_quality(spark: SparkSession, d: str) -> DataFrame:
+    """VAL-16 / VAL-13..15 / AGG-05..06 / FS-05 / FLT-10: the feature-quality report with recommendations."""
+    from ..operators import quality as VAL
+    li = table(spark, d, "lineitem").select(*FEATS, F.col("l_suppkey").cast("double").alias("l_suppkey"),
+                                             F.unix_timestamp("l_shipdate").cast("double").alias("l_shipdate"),
+                                             "l_returnflag")
+    return VAL.feature_quality_report(li, FEATS + ["l_suppkey", "l_shipdate"], "l_returnflag")
+
+
+register("feature_quality")(feature_quality)
+
+
+def ingest_validation(spark: SparkSession, d: str) -> DataFrame:
+    """VAL-10 / PRJ-12 / SRC-01 / SRC-09: detect the type of an uploaded CSV (derived from
+    lineitem) by header, validate every row, report sampled flag and message."""
+    from ..operators import quality as VAL
+    path = scratch_path(spark, "upload")
+    table(spark, d, "lineitem").coalesce(1).write.option("header", "true").csv(path)
+    from ..sources.csv import list_files
+    f = list_files(spark, path, "*.csv").first()["path"]
+    summary, _ = VAL.ingest_validation(spark, f, {"lineitem": C.LINEITEM_FLOWS, "events": C.EVENTS_FLOWS})
+    return summary
+
+
+register("ingest_validation")(ingest_validation)

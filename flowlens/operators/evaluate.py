@@ -106,11 +106,10 @@ def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> Data
     v = d.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     v = v.withColumn("__neg_s", -F.col("s"))
     pre = prefix_sums(v, [], "__neg_s", ["pos", "neg"])  # sums over higher scores
-    tot = v.agg(F.sum("pos").alias("P"), F.lit(1).alias("__k"))
-    j = pre.withColumn("__k", F.lit(1)).join(F.broadcast(tot), "__k")
     tp = F.col("pos_below") + F.col("pos")
     fp = F.col("neg_below") + F.col("neg")
-    return j.agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.first("P")).alias("average_precision"))
+    # sum of pos over all scores is P, so one aggregate gives the average
+    return pre.agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.sum("pos")).alias("average_precision"))
 
 
 def classification_report(cm: DataFrame, digits: int = 4) -> DataFrame:

@@ -137,14 +137,20 @@ def perturbation_flip_rates(df: DataFrame, features: Sequence[str], key: Sequenc
 
 
 def zero_day_shift(train: DataFrame, zero_day: DataFrame, features: Sequence[str], digits: int = 3) -> DataFrame:
-    """FS-07: |mean_zd - mean_train| / std_train (sample std), std 0 -> 0."""
+    """FS-07: |mean_zd - mean_train| / std_train (sample std), std 0 -> 0.
+
+    Both sides are tagged and unioned, then one conditional aggregate computes every statistic.
+    """
     fs = [f for f in features if f in zero_day.columns]
-    t = train.agg(*[e for f in fs for e in (F.avg(finite(col(f))).alias(f"m|{f}"), F.stddev_samp(finite(col(f))).alias(f"s|{f}"))])
-    z = zero_day.agg(*[F.avg(finite(col(f))).alias(f"z|{f}") for f in fs], F.count(F.lit(1)).alias("__nz"))
-    j = t.withColumn("__k", F.lit(1)).join(z.withColumn("__k", F.lit(1)), "__k")
-    long = j.select("__nz", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`m|{f}`").alias("m"),
-                                                          F.col(f"`s|{f}`").alias("s"), F.col(f"`z|{f}`").alias("z"))
-                                                 for f in fs])).alias("x")).where(F.col("__nz") > 0).select("x.*")
+    both = (train.select(*[finite(col(f)).alias(f) for f in fs], F.lit(0).alias("__zd"))
+            .unionByName(zero_day.select(*[finite(col(f)).alias(f) for f in fs], F.lit(1).alias("__zd"))))
+    t = F.col("__zd") == 0
+    one = both.agg(F.sum(F.col("__zd")).alias("__nz"), *[e for f in fs for e in (
+        F.avg(F.when(t, col(f))).alias(f"m|{f}"), F.stddev_samp(F.when(t, col(f))).alias(f"s|{f}"),
+        F.avg(F.when(~t, col(f))).alias(f"z|{f}"))])
+    long = one.select("__nz", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`m|{f}`").alias("m"),
+                                                            F.col(f"`s|{f}`").alias("s"), F.col(f"`z|{f}`").alias("z"))
+                                                   for f in fs])).alias("x")).where(F.col("__nz") > 0).select("x.*")
     shift = F.when((F.col("s") == 0) | F.col("s").isNull() | F.isnan("s"), F.lit(0.0)) \
         .otherwise(F.round(F.abs(F.col("z") - F.col("m")) / F.col("s"), digits))
     return long.select("feature", shift.alias("distribution_shift"))

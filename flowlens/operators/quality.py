@@ -141,9 +141,13 @@ def summarize(findings: DataFrame, df: DataFrame, cfg: DatasetConfig) -> DataFra
         F.coalesce(F.sum(F.when(F.col("check") == "infinite_values", F.col("count"))), F.lit(0)).alias("total_infinite_values"),
         F.coalesce(F.sum(F.when(F.col("check") == "missing_values", F.col("count"))), F.lit(0)).alias("total_nan_values"))
     total_features = len(df.columns)
-    # both sides are single-row aggregates: join them on a constant key
-    both = (s.select("*", F.lit(total_features).alias("total_features"), F.lit(1).alias("__k"))
-            .join(n.withColumn("__k", F.lit(1)), "__k", "inner"))
+    # two single-row aggregates folded into one row by union + max (no join)
+    cols = ["error_count", "warning_count", "duplicate_record_count", "n_zero_var", "n_leak",
+            "total_infinite_values", "total_nan_values"]
+    both = (s.select(F.lit(None).cast("bigint").alias("total_records"), *cols)
+            .unionByName(n.select("total_records", *[F.lit(None).cast("bigint").alias(c) for c in cols]))
+            .agg(F.max("total_records").alias("total_records"), *[F.max(c).alias(c) for c in cols])
+            .withColumn("total_features", F.lit(total_features)))
     return both.select(
         F.lit(cfg.name).alias("dataset_name"), "total_records", "total_features",
         ((F.col("error_count") == 0) & (F.col("total_records") > 0)).alias("is_valid"),

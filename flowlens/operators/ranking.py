@@ -205,8 +205,8 @@ def mann_whitney_auc(long_df: DataFrame, label: str, keys: Sequence[str] = ("fea
     j = per_class.join(ranked, keys + [value], "inner")
     s = j.groupBy(*[col(k) for k in keys], col(label)).agg(
         F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum"), F.sum("pos").alias("n_pos"))
-    tot = per_value.groupBy(*[col(k) for k in keys]).agg(F.sum("cnt").alias("__n"))
-    s = s.join(tot, keys, "inner").withColumn("n_neg", F.col("__n") - F.col("n_pos"))
+    # group total = sum over its classes; the window runs on the (keys x classes) table
+    s = s.withColumn("n_neg", F.sum("n_pos").over(Window.partitionBy(*[col(k) for k in keys])) - F.col("n_pos"))
     auc = F.try_divide(F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0,
                        F.col("n_pos") * F.col("n_neg"))
     return s.select(*[col(k) for k in keys], col(label), "n_pos", "n_neg", auc.alias("auc"))

@@ -56,7 +56,8 @@ def reconstruction_error(df: DataFrame, vec: str, centroids: DataFrame, by: Sequ
     if by:
         j = df.join(F.broadcast(centroids), list(by), "left")
     else:
-        j = df.withColumn("__k", F.lit(1)).join(F.broadcast(centroids.withColumn("__k", F.lit(1))), "__k").drop("__k")
+        c = centroids.first()["centroid"]          # one vector of d numbers (dimension-bounded)
+        j = df.withColumn("centroid", F.array(*[F.lit(float(x)) for x in c]))
     return j.withColumn(out, A.mse(col(vec).cast("array<double>"), F.col("centroid"))).drop("centroid")
 
 

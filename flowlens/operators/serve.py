@@ -43,9 +43,8 @@ def page(df: DataFrame, order: Sequence[F.Column], offset: int = 0, limit: int =
     """SORT-01: one page in a total order plus the total row count (``total`` column)."""
     if limit < 1:
         raise ValueError("limit must be >= 1")
-    total = df.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("__k"))
-    rows = df.orderBy(*order).offset(offset).limit(limit).withColumn("__k", F.lit(1))
-    return rows.join(F.broadcast(total), "__k").drop("__k")
+    total = df.count()                      # one scalar for the response envelope
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(total).cast("bigint"))
 
 
 def top_n(df: DataFrame, order: Sequence[F.Column], n: int) -> DataFrame:

@@ -86,11 +86,13 @@ def stratified_cap(df: DataFrame, label: str, key: Sequence[str], cap: int, seed
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """SPL-06: w_c = N / (K * N_c), joined onto rows (class table broadcast)."""
+    """SPL-06: w_c = N / (K * N_c), joined onto rows (class table broadcast).
+
+    N and K come from a window over the class-count table (one row per class)."""
+    from pyspark.sql import Window
     n = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = n.agg(F.sum("__nc").alias("__N"), F.count(F.lit(1)).alias("__K")).withColumn("__j", F.lit(1))
-    w = n.withColumn("__j", F.lit(1)).join(tot, "__j").select(
-        col(label), (F.col("__N") / (F.col("__K") * F.col("__nc"))).alias(out))
+    every = Window.partitionBy()
+    w = n.select(col(label), (F.sum("__nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("__nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")
 
 

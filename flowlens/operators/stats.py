@@ -175,14 +175,15 @@ def activity_timeline(log: DataFrame, actor: str, ts: str, period: str = "day",
 
 
 def dashboard_summary(records: DataFrame, label: str, alert_col: str, model_version: str) -> DataFrame:
-    """AGG-12: total scanned, active alerts, model version, class distribution map."""
-    by_class = records.groupBy(col(label).alias("k")).agg(F.count(F.lit(1)).alias("v"))
-    dist = by_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("class_distribution"),
-                        F.lit(1).alias("__k"))
-    tot = records.agg(F.count(F.lit(1)).alias("total_scanned"),
-                      F.sum(F.col(alert_col).cast("int")).alias("active_alerts"), F.lit(1).alias("__k"))
-    return tot.join(dist, "__k").select("total_scanned", F.coalesce("active_alerts", F.lit(0)).alias("active_alerts"),
-                                        F.lit(model_version).alias("model_version"), "class_distribution")
+    """AGG-12: total scanned, active alerts, model version, class distribution map.
+
+    One grouped pass (class-sized result) and one final aggregate over it.
+    """
+    by_class = records.groupBy(col(label).alias("k")).agg(F.count(F.lit(1)).alias("v"),
+                                                         F.sum(F.col(alert_col).cast("int")).alias("a"))
+    return by_class.agg(F.sum("v").alias("total_scanned"), F.coalesce(F.sum("a"), F.lit(0)).alias("active_alerts"),
+                        F.lit(model_version).alias("model_version"),
+                        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("class_distribution"))
 
 
 def rolled_profile(df: DataFrame, split: str, label: str) -> DataFrame:

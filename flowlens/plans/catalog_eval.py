@@ -247,12 +247,15 @@ def compare_models(spark: SparkSession, d: str) -> DataFrame:
     for name, pred in (("rule_a", F.col("prediction")),
                        ("rule_b", F.when(F.col("l_discount") >= 0.05, "R").otherwise("N"))):
         cm = EV.confusion(s.withColumn("__p", pred), "truth", "__p")
-        summ = EV.summary(cm).withColumn("__k", F.lit(1))
-        er = EV.error_rates(cm, "N").select("fpr").withColumn("__k", F.lit(1))
-        m = summ.join(er, "__k").select(F.lit(name).alias("model"), "accuracy", "f1_macro", "precision_macro",
-                                        "recall_macro", "fpr", F.lit(None).cast("double").alias("roc_auc"),
-                                        F.lit(None).cast("double").alias("p95_ms"),
-                                        F.lit(None).cast("double").alias("rows_per_sec"))
+        summ = EV.summary(cm).select("accuracy", "f1_macro", "precision_macro", "recall_macro",
+                                     F.lit(None).cast("double").alias("fpr"))
+        er = EV.error_rates(cm, "N").select(*[F.lit(None).cast("double").alias(c) for c in
+                                               ("accuracy", "f1_macro", "precision_macro", "recall_macro")], "fpr")
+        # two one-row aggregates folded by union + max (no join)
+        m = summ.unionByName(er).agg(*[F.max(c).alias(c) for c in summ.columns]).select(
+            F.lit(name).alias("model"), "accuracy", "f1_macro", "precision_macro", "recall_macro", "fpr",
+            F.lit(None).cast("double").alias("roc_auc"), F.lit(None).cast("double").alias("p95_ms"),
+            F.lit(None).cast("double").alias("rows_per_sec"))
         rows.append(m)
     return EV.compare_models(rows[0].unionByName(rows[1]))
 

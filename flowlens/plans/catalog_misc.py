@@ -299,9 +299,8 @@ SELECT p_type, parts, (SELECT arg_max(p_type, (parts, p_type)) FROM c) AS best F
 def top_categories(spark: SparkSession, d: str) -> DataFrame:
     """SORT-03 / SORT-04: top-k categories and the best one (max_by)."""
     c = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
-    best = c.agg(F.max_by("p_type", F.struct("parts", "p_type")).alias("best"), F.lit(1).alias("__k"))
-    top = SRV.top_n(c, [F.desc("parts"), F.col("p_type")], 3).withColumn("__k", F.lit(1))
-    return top.join(best, "__k").drop("__k")
+    best = c.agg(F.max_by("p_type", F.struct("parts", "p_type")).alias("best")).first()["best"]   # one scalar
+    return SRV.top_n(c, [F.desc("parts"), F.col("p_type")], 3).withColumn("best", F.lit(best))
 
 
 # --------------------------------------------------------------------------- SRC (files derived from the tables)

@@ -14,12 +14,28 @@ def array_sum(a: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
+    """Softmax as one expression (fine for literal or cheap arrays; see with_softmax)."""
     m = F.array_max(logits)
     ex = F.transform(logits, lambda x: F.exp(x - m))
     s = array_sum(ex)
     return F.transform(ex, lambda x: x / s)
 
 
+def with_softmax(df, logits: Column, out: str):
+    """Softmax with every intermediate materialised as its own column.
+
+    Composing the expression inline re-evaluates the logits (and anything they
+    parse) inside each lambda call; separate projections are not re-inlined by
+    the optimizer for non-cheap expressions, so each step runs once per row.
+    """
+    return (df.withColumn("__lg", logits)
+              .withColumn("__mx", F.array_max("__lg"))
+              .withColumn("__ex", F.transform("__lg", lambda x: F.exp(x - F.col("__mx"))))
+              .withColumn("__sm", array_sum(F.col("__ex")))
+              .withColumn(out, F.transform("__ex", lambda x: x / F.col("__sm")))
+              .drop("__lg", "__mx", "__ex", "__sm"))
+
+
 def argmax(a: Column) -> Column:
     """0-based index of the first maximum."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")

@@ -179,12 +179,10 @@ def check_scaling(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_label_index(df: DataFrame, label: str) -> DataFrame:
-    """FIT-09 fit: sorted distinct labels -> 0..k-1, as a (label, idx) table.
-
-    Built on the distinct-label table (class-sized), so the global order is cheap.
-    """
-    d = df.where(col(label).isNotNull()).select(col(label).cast("string").alias(label)).distinct()
-    return d.withColumn("idx", (F.row_number().over(Window.orderBy(col(label))) - 1).cast("int"))
+    """FIT-09 fit: sorted distinct labels -> 0..k-1, as a (label, idx) table (distributed ranking)."""
+    from .ranking import rank_distinct
+    d = df.select(col(label).cast("string").alias(label))
+    return rank_distinct(d, [], label, "idx")
 
 
 def sized_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
@@ -211,14 +209,14 @@ def decode_index(df: DataFrame, index: DataFrame, label: str, idx_col: str, out:
 
 def fit_category_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """FIT-10 fit: one table (column, value, code) for all non-numeric features, codes by sorted value."""
+    from .ranking import rank_distinct
     parts = None
     for c in columns:
-        d = df.select(F.lit(c).alias("column"), col(c).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+        d = df.select(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
         parts = d if parts is None else parts.unionByName(d)
     if parts is None:
         return df.sparkSession.createDataFrame([], "column string, value string, code int")
-    w = Window.partitionBy("column").orderBy("value")
-    return parts.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    return rank_distinct(parts, ["column"], "value", "code")
 
 
 def apply_category_encoder(df: DataFrame, encoder: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -107,6 +107,25 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[st
     return out.drop("__g") if drop_g else out
 
 
+def string_order_key(c: Column) -> Column:
+    """A long that is monotone (non-decreasing) in the byte order of a string: its first
+    7 UTF-8 bytes, right-padded. Used only to cut strings into ordered buckets."""
+    return F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def rank_distinct(df: DataFrame, keys: Sequence[str], value: str, out: str = "code") -> DataFrame:
+    """Distinct ``value`` per key group with its 0-based position in sorted order.
+
+    Built on the size-planned prefix scan, so a column with billions of distinct values
+    (an address-like category) is ranked by many tasks, not one window partition.
+    """
+    keys = list(keys)
+    d = df.select(*[col(k) for k in keys], col(value)).where(col(value).isNotNull()).distinct()
+    d = d.withColumn("__vkey", string_order_key(col(value))).withColumn("__one", F.lit(1))
+    r = prefix_sums(d, keys, ["__vkey", value], ["__one"])
+    return r.select(*[col(k) for k in keys], col(value), F.col("__one_below").cast("int").alias(out))
+
+
 def long_values(df: DataFrame, features: Sequence[str], value_name: str = "value",
                 extra: Sequence[str] = ()) -> DataFrame:
     """Unpivot feature columns to (extra..., feature, value) as double, NULLs dropped."""
@@ -126,10 +145,26 @@ def value_counts_long(long_df: DataFrame, keys: Sequence[str], value: str = "val
 def exact_quantiles_long(long_df: DataFrame, keys: Sequence[str], probs: Iterable[float],
                          value: str = "value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / SQL ``percentile``)
-    per key group -> (keys..., p, q). Distributed: no task sees a whole group."""
+    per key group -> (keys..., p, q).
+
+    Groups whose distinct values fit the per-task bound use Spark's exact
+    ``percentile``; larger groups use the bucketed prefix scan, so no task ever
+    holds an unbounded group."""
     keys = list(keys)
     probs = list(probs)
     vc = value_counts_long(long_df, keys, value)
+    if buckets is None:
+        # rows per group bound distinct values per group: try the cheap count first
+        buckets = plan_buckets(long_df, keys)
+        if buckets > 1:
+            buckets = plan_buckets(vc, keys)
+    if buckets <= 1:
+        # every group has at most ROWS_PER_BUCKET distinct values: Spark's exact percentile
+        # (a value -> count map per group, now provably bounded) gives the same numbers
+        res = long_df.groupBy(*[col(k) for k in keys]).agg(F.percentile(col(value), probs).alias("__qs"))
+        return res.select(*[col(k) for k in keys], F.posexplode("__qs").alias("__i", "q")).select(
+            *[col(k) for k in keys], F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"),
+            "q")
     vc = prefix_sums(vc, keys, value, ["cnt"], buckets).withColumnRenamed("cnt_below", "below")
     n = vc.groupBy(*[col(k) for k in keys]).agg(F.sum("cnt").alias("__n"))
     targets = n.select(*[col(k) for k in keys], F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"), "__n")
@@ -199,6 +234,8 @@ def mann_whitney_auc(long_df: DataFrame, label: str, keys: Sequence[str] = ("fea
     per_class = long_df.groupBy(*[col(k) for k in keys], col(value), col(label)).agg(
         F.count(F.lit(1)).alias("pos"))
     per_value = per_class.groupBy(*[col(k) for k in keys], col(value)).agg(F.sum("pos").alias("cnt"))
+    if buckets is None and plan_buckets(long_df, keys) <= 1:
+        buckets = 1          # raw group sizes already within the per-task bound
     ranked = prefix_sums(per_value, keys, value, ["cnt"], buckets)
     ranked = ranked.select(*[col(k) for k in keys], col(value),
                            (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))

@@ -130,15 +130,14 @@ def alerts_from_records(records: DataFrame, id_col: str, label: str, category: s
 def focal_loss(df: DataFrame, logits: str, target: str, gamma: float = 2.0, alpha: Sequence[float] | None = None,
                out: str = "focal_loss") -> DataFrame:
     """SCR-11: per-row focal loss -alpha_t (1 - p_t)^gamma ln p_t from logits (log-softmax)."""
-    lg = col(logits).cast("array<double>")
-    m = F.array_max(lg)
-    lse = m + F.log(A.array_sum(F.transform(lg, lambda x: F.exp(x - m))))
-    logp_t = F.element_at(lg, col(target).cast("int") + 1) - lse
-    p_t = F.exp(logp_t)
-    loss = -F.pow(1.0 - p_t, F.lit(gamma)) * logp_t
+    # each step its own column so the logits are not re-evaluated inside the lambda
+    d = df.withColumn("__lg", col(logits).cast("array<double>")).withColumn("__mx", F.array_max("__lg"))
+    d = d.withColumn("__lse", F.col("__mx") + F.log(A.array_sum(F.transform("__lg", lambda x: F.exp(x - F.col("__mx"))))))
+    d = d.withColumn("__lpt", F.element_at("__lg", col(target).cast("int") + 1) - F.col("__lse"))
+    loss = -F.pow(1.0 - F.exp("__lpt"), F.lit(gamma)) * F.col("__lpt")
     if alpha is not None:
         loss = loss * F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), col(target).cast("int") + 1)
-    return df.withColumn(out, loss)
+    return d.withColumn(out, loss).drop("__lg", "__mx", "__lse", "__lpt")
 
 
 def focal_loss_reduce(df: DataFrame, loss: str = "focal_loss") -> DataFrame:

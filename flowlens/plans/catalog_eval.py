@@ -309,8 +309,8 @@ tr AS (SELECT *,
 
 def _triaged_events(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
-    ev = ev.withColumn("prob", A.softmax(F.array(F.col("value") / 100.0, k / 50.0, F.lit(1.0))))
+    ev = ev.withColumn("__k", F.get_json_object("props", "$.k").cast("double"))
+    ev = A.with_softmax(ev, F.array(F.col("value") / 100.0, F.col("__k") / 50.0, F.lit(1.0)), "prob")
     ev = SCR.prediction_confidence(ev, "prob", ["BENIGN", "DDoS", "PortScan"], "pred", "conf")
     ev = ev.withColumn("anom", F.round(F.tanh(F.col("value") / 250.0), 4))
     ev = ev.withColumn("hybrid", SCR.hybrid_label(F.col("pred"), F.col("anom"), 0.70))

@@ -70,3 +70,15 @@ def test_average_rank_desc_ties(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 3.0), ("d", 2.0)], "feature string, s double")
     got = {r["feature"]: r["rk"] for r in R.average_rank_desc(df, "s", "rk").collect()}
     assert got == {"a": 1.5, "c": 1.5, "d": 3.0, "b": 4.0}
+
+
+def test_rank_distinct_strings(spark, path):
+    import random
+    rnd = random.Random(3)
+    vals = ["".join(rnd.choice("abcxyzé09") for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(("g1" if i % 3 else "g2"), v) for i, v in enumerate(vals)], "k string, v string")
+    got = {(r["k"], r["v"]): r["code"] for r in R.rank_distinct(df, ["k"], "v").collect()}
+    for k in ("g1", "g2"):
+        # Spark orders strings by UTF-8 bytes
+        exp = sorted({v for i, v in enumerate(vals) if ("g1" if i % 3 else "g2") == k}, key=lambda s: s.encode())
+        assert [got[(k, v)] for v in exp] == list(range(len(exp)))

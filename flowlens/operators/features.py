@@ -56,7 +56,7 @@ def rf_importance(df: DataFrame, features: Sequence[str], label: str, num_trees:
                   col(label).cast("string").alias("__lbl"), *([col(weight_col)] if weight_col else [])))
     d = StringIndexer(inputCol="__lbl", outputCol="__y", stringOrderType="alphabetAsc").fit(d).transform(d)
     rf = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                **({"weightCol": weight_col} if weight_col else {}))
+                                maxMemoryInMB=1024, cacheNodeIds=True, **({"weightCol": weight_col} if weight_col else {}))
     imp = rf.fit(d).featureImportances.toArray()
     rows = [(f, round(float(v), digits)) for f, v in zip(features, imp)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

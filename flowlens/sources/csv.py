@@ -18,7 +18,7 @@ from ..config import DatasetConfig
 from ..functions.text import first_path_segment
 from ..operators import shape as SH
 
-CORRUPT = "__corrupt"
+EXTRA = "__extra_field"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -104,15 +104,15 @@ def read_group(spark: SparkSession, files: Sequence[str], header: Sequence[str],
         c = c.strip()
         seen[c] += 1
         names.append(c if seen[c] == 1 else f"{c}{seen[c] - 1}")
-    schema = _string_schema(names).add(T.StructField(CORRUPT, T.StringType(), True))
+    # one sentinel column past the header: it is non-NULL exactly when a row carries more
+    # fields than the header (short rows are padded with NULL and kept)
+    schema = _string_schema(names).add(T.StructField(EXTRA, T.StringType(), True))
     df = (spark.read.option("header", "true").option("mode", "PERMISSIVE").option("encoding", encoding)
-          .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(list(files)))
+          .schema(schema).csv(list(files)))
     df = df.withColumn("__source_path", F.col("_metadata.file_path"))
     if skip_long_rows:
-        # a long row has more delimiters than the header; the quoted-field case is left to the parser
-        n_delim = F.size(F.split(F.col(CORRUPT), ",")) - 1
-        df = df.where(F.col(CORRUPT).isNull() | (n_delim <= len(names) - 1))
-    return df.drop(CORRUPT)
+        df = df.where(F.col(EXTRA).isNull())
+    return df.drop(EXTRA)
 
 
 def load_folder(spark: SparkSession, root: str, dataset: str, glob: str = "*.csv",

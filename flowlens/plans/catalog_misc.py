@@ -410,16 +410,16 @@ SELECT l_returnflag, count(*) AS rows, {', '.join(f"round(avg({f}), 6) + 0.0 AS
 def stream_transform(spark: SparkSession, d: str) -> DataFrame:
     """STR-01 / STR-02: the fitted min-max transform over a file stream equals the batch result."""
     from ..operators import fit as FIT
-    from ..streaming.stream import fitted_transform, to_memory
+    from ..streaming.stream import fitted_transform, to_table
     li = table(spark, d, "lineitem")
     params = FIT.fit_scaler(li, FEATS, "minmax")
     src = (spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet")
            .option("maxFilesPerTrigger", 1).parquet(d))
-    name = "flows_stream_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
-    q = to_memory(fitted_transform(None, params, "l_returnflag", benign=C.LINEITEM_FLOWS.benign)(src), name,
-                  scratch_path(spark, "stream-ckpt"))
+    base = scratch_path(spark, "flows-stream")
+    q = to_table(fitted_transform(None, params, "l_returnflag", benign=C.LINEITEM_FLOWS.benign)(src),
+                 base + "/out", base + "/ckpt")
     q.awaitTermination()
-    out = spark.table(name)
+    out = spark.read.parquet(base + "/out")
     return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), *[r(F.avg(f)).alias(f) for f in FEATS])
 
 
@@ -429,7 +429,7 @@ SELECT count(*) AS rows FROM (SELECT DISTINCT * FROM flows_all)
 """)
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """STR-05: duplicates spread over separate files (micro-batches) are removed across batches."""
-    from ..streaming.stream import dedup_stream, to_memory
+    from ..streaming.stream import dedup_stream, to_table
     df = dirty_flows(spark, d)
     path = scratch_path(spark, "flows-files")
     base = df.where(F.col("l_orderkey") % 113 != 0)
@@ -438,10 +438,10 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     base.unionByName(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part1")
     dup.exceptAll(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part2")
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-    name = "dedup_stream_" + scratch_path(spark, "q").rsplit("-", 1)[-1]
-    q = to_memory(dedup_stream(src, "l_shipdate", df.columns, "36500 days"), name, scratch_path(spark, "dedup-ckpt"))
+    out = scratch_path(spark, "dedup-stream")
+    q = to_table(dedup_stream(src, "l_shipdate", df.columns, "36500 days"), out + "/out", out + "/ckpt")
     q.awaitTermination()
-    return spark.table(name).agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(out + "/out").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("stream_alerts", f"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,9 @@ def fit_transform(df: DataFrame, cfg: DatasetConfig, key: Sequence[str], scaler:
     clean = SH.drop_columns(clean, const)
     if consolidate and cfg.family_map:
         clean = TAX.consolidate(clean, cfg.label, cfg.family_map)
+    # the cleaned rows feed the scaler fit, the label index and the output: cache them
+    # (a lost block is recomputed from the short lineage after the split checkpoint)
+    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     kept = [f for f in feats if f not in const]
     train_clean = clean.where(F.col("split") == "train")
     sc = FIT.fit_scaler(train_clean, kept, scaler)

@@ -52,8 +52,16 @@ def dedup_stream(df: DataFrame, ts: str, columns: Sequence[str], delay: str = "1
     return d.withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(list(columns)).drop("__event_time")
 
 
+def to_table(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True):
+    """Run into a file table in the shared folder (exactly-once with the checkpoint)."""
+    w = (df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
 def to_memory(df: DataFrame, name: str, checkpoint: str, available_now: bool = True):
-    """Run to completion into an in-memory table (tests / notebooks)."""
+    """Run to completion into an in-memory table on the driver (small tests / notebooks only)."""
     w = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

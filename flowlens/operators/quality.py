@@ -237,21 +237,28 @@ def near_zero_variance(df: DataFrame, features: Sequence[str], threshold: float
 def outlier_percent(df: DataFrame, features: Sequence[str], method: str = "exact") -> DataFrame:
     """VAL-15: IQR-rule outlier percent per feature (IQR 0 -> 0), 2 dp.
 
-    Pass 1: quartiles (distributed); pass 2: one aggregate with the fences joined
-    as a feature-sized broadcast table.
+    Pass 1: exact quartiles (distributed); the fences are two numbers per feature and
+    are bound as literals. Pass 2: one conditional aggregate over the table.
     """
-    qs = quantiles(df, features, [0.25, 0.75], method=method)
-    fences = (qs.groupBy("feature").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                                        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-              .withColumn("iqr", F.col("q3") - F.col("q1")))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), col(f).cast("double").alias("value"))
-                                         for f in features])).alias("kv")).select("kv.*")
-    j = long.join(F.broadcast(fences), "feature", "left")
-    out_flag = ((F.col("value") < F.col("q1") - 1.5 * F.col("iqr")) | (F.col("value") > F.col("q3") + 1.5 * F.col("iqr")))
-    res = j.groupBy("feature").agg(F.avg(F.when(out_flag, 1.0).otherwise(0.0)).alias("__share"),
-                                   F.first("iqr").alias("iqr"))
-    return res.select("feature", F.when(F.col("iqr") == 0, F.lit(0.0))
-                      .otherwise(F.round(100.0 * F.col("__share"), 2)).alias("outlier_pct"))
+    qs = quantiles(df, features, [0.25, 0.75], method=method).collect()   # feature-sized
+    got: dict[str, dict[float, float]] = {}
+    for r in qs:
+        got.setdefault(r["feature"], {})[r["p"]] = r["q"]
+    aggs, rows = [], []
+    for i, f in enumerate(features):
+        q1, q3 = got.get(f, {}).get(0.25), got.get(f, {}).get(0.75)
+        if q1 is None or q3 is None or q3 == q1:
+            rows.append((f, 0.0))          # zero IQR, or no finite values: nothing lies outside
+            continue
+        iqr = q3 - q1
+        x = col(f).cast("double")
+        out = (x < F.lit(q1 - 1.5 * iqr)) | (x > F.lit(q3 + 1.5 * iqr))
+        aggs.append(F.round(100.0 * F.avg(F.when(out, 1.0).otherwise(0.0)), 2).alias(f"o{i}"))
+    res = df.agg(*aggs).first() if aggs else None
+    for i, f in enumerate(features):
+        if res is not None and f"o{i}" in res.asDict():
+            rows.append((f, res[f"o{i}"]))
+    return df.sparkSession.createDataFrame(rows, "feature string, outlier_pct double")
 
 
 def ingest_validation(spark, path: str, configs=None, max_rows: int | None = None, threshold: float = 0.5):

@@ -196,6 +196,17 @@ def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], me
     """
     by = list(by)
     if method == "exact":
+        if not by and buckets is None:
+            limit = int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
+            if df.count() <= limit:
+                # the whole table is within the per-task bound: one wide exact aggregate
+                one = df.agg(*[F.percentile(col(f).cast("double"), list(probs)).alias(f"__q{i}")
+                               for i, f in enumerate(features)])
+                pr = F.array(*[F.lit(float(p)) for p in probs])
+                long = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__q{i}").alias("qs"))
+                                                      for i, f in enumerate(features)])).alias("x"))
+                return long.select("x.feature", F.posexplode("x.qs").alias("__i", "q")).select(
+                    "feature", F.element_at(pr, F.col("__i") + 1).alias("p"), "q")
         long_df = long_values(df, features, extra=by)
         return exact_quantiles_long(long_df, by + ["feature"], probs, buckets=buckets)
     long_df = long_values(df, features, extra=by)

@@ -244,13 +244,23 @@ def mann_whitney_auc(long_df: DataFrame, label: str, keys: Sequence[str] = ("fea
     keys = list(keys)
     per_class = long_df.groupBy(*[col(k) for k in keys], col(value), col(label)).agg(
         F.count(F.lit(1)).alias("pos"))
-    per_value = per_class.groupBy(*[col(k) for k in keys], col(value)).agg(F.sum("pos").alias("cnt"))
     if buckets is None and plan_buckets(long_df, keys) <= 1:
         buckets = 1          # raw group sizes already within the per-task bound
-    ranked = prefix_sums(per_value, keys, value, ["cnt"], buckets)
-    ranked = ranked.select(*[col(k) for k in keys], col(value),
-                           (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
-    j = per_class.join(ranked, keys + [value], "inner")
+    if buckets == 1:
+        # one window task per key group: rows at or below a value (RANGE frame) minus the
+        # value's own rows; the (keys, value) window reuses the keys hash partitioning
+        kk = [col(k) for k in keys]
+        le = F.sum("pos").over(Window.partitionBy(*kk).orderBy(col(value))
+                               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        here = F.sum("pos").over(Window.partitionBy(*kk, col(value)))
+        j = per_class.withColumn("__le", le).withColumn("__here", here).withColumn(
+            "avg_rank", F.col("__le") - F.col("__here") + (F.col("__here") + 1) / 2.0)
+    else:
+        per_value = per_class.groupBy(*[col(k) for k in keys], col(value)).agg(F.sum("pos").alias("cnt"))
+        ranked = prefix_sums(per_value, keys, value, ["cnt"], buckets)
+        ranked = ranked.select(*[col(k) for k in keys], col(value),
+                               (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
+        j = per_class.join(ranked, keys + [value], "inner")
     s = j.groupBy(*[col(k) for k in keys], col(label)).agg(
         F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum"), F.sum("pos").alias("n_pos"))
     # group total = sum over its classes; the window runs on the (keys x classes) table

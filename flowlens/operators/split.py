@@ -24,12 +24,45 @@ def _hash_num(h: F.Column) -> F.Column:
 
 def positions(df: DataFrame, key: Sequence[str], by: Sequence[str] = (), seed: int = 42,
               out: str = "__pos") -> DataFrame:
-    """0-based position of each row within its ``by`` group in hash order (ties by full hash, key)."""
-    h = hash_order(key, seed)
-    d = df.withColumn("__h", h).withColumn("__hn", _hash_num(F.col("__h"))).withColumn("__one", F.lit(1))
-    # total order (hn, h, key); buckets come from hn, ties in hn share a bucket
-    d = prefix_sums(d, list(by), ["__hn", "__h"] + list(key), ["__one"])
-    return d.withColumnRenamed("__one_below", out).drop("__one", "__h", "__hn")
+    """0-based position of each row within its ``by`` group in hash order (ties by full hash, key).
+
+    md5 is uniform, so equal-width ranges of its 60-bit prefix are balanced buckets
+    by construction: bucket = prefix >> (60 - b), with B = 2^b the smallest power of two
+    that keeps a bucket within the per-task row bound (B = 1: one window per group, no
+    extra pass). Per-(group, bucket) totals give offsets (a groups x B
+    table, broadcast); a window per (group, bucket) finishes the ranking. Bucket ids
+    are monotone in the hash, so positions are exact.
+    """
+    import math
+    import os
+    from pyspark.sql import Window
+    from .ranking import MAX_BUCKETS, ROWS_PER_BUCKET
+    by = list(by)
+    d = df.withColumn("__h", hash_order(key, seed)).withColumn("__hn", _hash_num(F.col("__h")))
+    if not by:
+        d = d.withColumn("__g", F.lit(0))
+        grp = ["__g"]
+    else:
+        grp = by
+    gk = [col(g) for g in grp]
+    biggest = df.groupBy(*[col(g) for g in by]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    per_task = int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
+    want = max(-(-biggest // per_task), 1)
+    bits = min(int(math.ceil(math.log2(want))), int(math.log2(MAX_BUCKETS)))
+    order = ["__hn", "__h", *key]
+    if bits == 0:
+        # every group within the per-task bound: one window per group
+        w = Window.partitionBy(*gk).orderBy(*[col(c) for c in order])
+        d = d.withColumn(out, F.row_number().over(w) - 1)
+        return d.drop("__h", "__hn", *(["__g"] if not by else []))
+    d = d.withColumn("__bkt", F.shiftright(F.col("__hn"), 60 - bits))
+    tot = d.groupBy(*gk, "__bkt").agg(F.count(F.lit(1)).alias("__t"))
+    wb = Window.partitionBy(*gk).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*gk, "__bkt", F.coalesce(F.sum("__t").over(wb), F.lit(0)).alias("__off"))
+    d = d.join(F.broadcast(offs), grp + ["__bkt"], "inner")          # groups x B rows
+    w = Window.partitionBy(*gk, "__bkt").orderBy(*[col(c) for c in order])
+    d = d.withColumn(out, F.col("__off") + F.row_number().over(w) - 1)
+    return d.drop("__h", "__hn", "__bkt", "__off", *(["__g"] if not by else []))
 
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], train: float = 0.70, val: float = 0.15,

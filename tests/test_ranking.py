@@ -82,3 +82,17 @@ def test_rank_distinct_strings(spark, path):
         # Spark orders strings by UTF-8 bytes
         exp = sorted({v for i, v in enumerate(vals) if ("g1" if i % 3 else "g2") == k}, key=lambda s: s.encode())
         assert [got[(k, v)] for v in exp] == list(range(len(exp)))
+
+
+def test_hash_positions_match_sorted_order(spark, path):
+    import hashlib
+    from flowlens.operators.split import positions
+    rows = [(i, ["x", "y", "z"][i % 3]) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string")
+    got = {r["k"]: r["__pos"] for r in positions(df, ["k"], ["g"]).collect()}
+    for g in ("x", "y", "z"):
+        ks = sorted((k for k, gg in rows if gg == g), key=lambda k: (hashlib.md5(f"{k}:42".encode()).hexdigest(), k))
+        assert [got[k] for k in ks] == list(range(len(ks)))
+    glob = {r["k"]: r["__pos"] for r in positions(df, ["k"]).collect()}
+    ks = sorted((k for k, _ in rows), key=lambda k: hashlib.md5(f"{k}:42".encode()).hexdigest())
+    assert [glob[k] for k in ks] == list(range(len(ks)))

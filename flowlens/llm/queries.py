@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_output
+from . import bpe, mixing, quality_rules, token_output
 from .common import read_table
 
 QUERIES: dict = {}
@@ -39,3 +39,64 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = f.read()
     shards = token_output.write_tokens(read_table(spark, sf_dir, "documents"), spec, end_id=2)
     return token_output.digest(token_output.read_tokens(shards))
+
+
+@query("op10_mixing", """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM documents),
+src AS (
+  SELECT *, CASE (source_no % 3) WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+    FROM sized GROUP BY source)),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source_no
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY 2 * source_size / weight, source_no
+                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src),
+goals AS (
+  SELECT source, source_size, least(2 * source_size::DOUBLE,
+         weight * (SELECT max(level) FROM levels WHERE level <= 2 * source_size / weight)) AS target FROM levels),
+placed AS (
+  SELECT s.*, g.source_size, g.target, round(g.target)::BIGINT AS quota,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY ord, doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - start - source_size)))::BIGINT AS taken
+FROM placed
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document (weights 3, 1, 2; 150 % of all words; 2 epochs)."""
+    return mixing.taken(*mixing.plan(read_table(spark, sf_dir, "documents")))
+
+
+_BASE_SQL = " AND ".join(r.sql() for r in quality_rules.BASE)
+_KEPT_SQL = " AND ".join(r.sql() for r in (*quality_rules.BASE, *quality_rules.RULES))
+_STOP_SQL = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
+
+@query("op2_quality_rules", f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) AS v(k) WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(list_append(ws, ''), 'string_agg', ''))::BIGINT AS word_chars,
+         length(regexp_replace(list_aggregate(list_append(ws, ''), 'string_agg', ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+         len(list_filter(ws, lambda x: x IN ({_STOP_SQL}))) AS n_stop_words, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       NOT ({_BASE_SQL}) AS base_failed, ({_KEPT_SQL}) AS kept FROM m
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of every text and the verdict of the threshold table."""
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -39,3 +39,20 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row (bound as a lambda variable)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys`` (one column): a filter of 2**bits bits.
+
+    All wanted rows stay, some others too; an exact join follows. The table that is broadcast has
+    2**(bits - 6) rows at most, whatever the size of ``keys``."""
+    name = keys.columns[0]
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.lit(1).cast("long")
+    filled = (keys.select(place(F.col(name)).alias("p"))
+              .groupBy(F.shiftright("p", 6).alias("_word"))
+              .agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("_bits")))
+    row = df.withColumn("_place", place(key))
+    hit = F.call_function("shiftright", F.col("_bits"), F.col("_place").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
+    return (row.join(F.broadcast(filled), F.shiftright("_place", 6) == F.col("_word")).where(hit)
+            .drop("_place", "_word", "_bits"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, token_output
+from . import bpe, jaccard_join, mixing, quality_rules, token_output
 from .common import read_table
 
 QUERIES: dict = {}
@@ -100,3 +100,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts of every text and the verdict of the threshold table."""
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_jaccard_join", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(r) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingle sets link at Jaccard 0.8."""
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))

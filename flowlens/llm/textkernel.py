@@ -64,26 +64,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-_P = 0x9E3779B97F4A7C15 | 1
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans from prefix sums, finalised with the length."""
+    """64-bit polynomial hashes of byte spans from prefix sums, finalised with the length.
+
+    A span's sum is divided by the power at its start (an odd base has an inverse), so equal
+    bytes have equal hashes wherever they stand."""
     n = len(data)
     with np.errstate(over="ignore"):
-        powers = np.empty(n + 1, np.uint64)
-        powers[0] = 1
-        if n:
-            powers[1:] = np.uint64(_P)
-            np.multiply.accumulate(powers, out=powers)
         table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[data] * powers[:n], out=sums[1:])
-        inverse = np.uint64(pow(_P, -1, 1 << 64))
-        # bring every span to the same power: multiply by P^(n - start)
-        h = (sums[ends] - sums[starts]) * powers[n - starts]
-        del inverse
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * _powers(_P, n)[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _powers(_P_INVERSE, n)[starts]
         return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 

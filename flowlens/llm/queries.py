@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, mixing, quality_rules, token_output
+from . import bpe, embedding_dedup, jaccard_join, mixing, quality_rules, token_output
 from .common import read_table
 
 QUERIES: dict = {}
@@ -123,3 +123,24 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(r) AS component_
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle sets link at Jaccard 0.8."""
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON len(x.e) = len(y.e) AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (
+  SELECT vec_id AS a, vec_id AS r FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of vectors at cosine 0.95."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))

@@ -41,10 +41,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``keys`` (one column): a filter of 2**bits bits.
+def flag_maybe_in(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = 23) -> DataFrame:
+    """Adds a boolean: false only if the row's key is not among ``keys`` (one column).
 
-    All wanted rows stay, some others too; an exact join follows. The table that is broadcast has
+    A filter of 2**bits bits, built and applied by joins: the table that is broadcast has
     2**(bits - 6) rows at most, whatever the size of ``keys``."""
     name = keys.columns[0]
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
@@ -54,5 +54,10 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> Dat
               .agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("_bits")))
     row = df.withColumn("_place", place(key))
     hit = F.call_function("shiftright", F.col("_bits"), F.col("_place").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
-    return (row.join(F.broadcast(filled), F.shiftright("_place", 6) == F.col("_word")).where(hit)
-            .drop("_place", "_word", "_bits"))
+    return (row.join(F.broadcast(filled), F.shiftright("_place", 6) == F.col("_word"), "left")
+            .withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_place", "_word", "_bits"))
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose key may be among ``keys``: all wanted rows and some others; an exact join follows."""
+    return flag_maybe_in(df, key, keys, "_maybe", bits).where("_maybe").drop("_maybe")

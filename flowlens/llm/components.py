@@ -30,3 +30,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == total or now is None:
             return labels
         total = now
+
+
+def cross_pairs(entries: DataFrame, components: DataFrame, done: DataFrame, may) -> DataFrame:
+    """Distinct pairs (a < b) of nodes of one list (``key``) in different components that ``may``
+    link and are not in ``done``.
+
+    ``entries``: key, node and what ``may(x, y)`` (a condition on two aliases) needs. In each list
+    the nodes outside the largest component meet all nodes of other components, so a large
+    connected group costs one pass, not its square."""
+    columns = [c for c in entries.columns if c != "node"]
+    placed = written(entries.distinct().join(components, "node", "left")
+                     .select("node", *columns, F.coalesce("component", "node").alias("component")), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = written(parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"),
+                                             F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    inside = written(placed.join(mixed, "key"), "inside")
+    x, y = inside.where("component <> largest").alias("x"), inside.alias("y")
+    once = (F.col("x.node") < F.col("y.node")) | (F.col("y.component") == F.col("y.largest"))
+    found = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & may("x", "y"))
+             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    return written(found.join(done, ["a", "b"], "left_anti"), "pairs")

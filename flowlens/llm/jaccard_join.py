@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import maybe_in, written
-from .components import connected_components
+from .components import connected_components, cross_pairs
 
 HEAVY = 1 << 18        # tokens in the heavy table, which travels with the tasks (2 MB)
 LOCAL_HEAVY = 8        # documents of one batch that share a token before the batch reports it
@@ -255,24 +255,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first = connected_components(links)
 
     # lists with several components: everything outside a list's largest component against the others
-    placed = written(lists.select("key", "node", "pack").distinct().join(first, "node", "left")
-                     .select("key", "node", "pack", F.coalesce("component", "node").alias("component")), "jaccard-placed")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
-    mixed = written(mixed, "jaccard-mixed")
-    inside = written(placed.join(mixed, "key"), "jaccard-inside")
-    few = inside.where("component <> largest")
-    x, y = few.alias("x"), inside.alias("y")
-    low = F.least(F.shiftright("x.pack", 32), F.shiftright("y.pack", 32))
-    sizes = F.shiftright("x.pack", 32) + F.shiftright("y.pack", 32)
-    rest = lambda t: F.shiftright(f"{t}.pack", 32) - F.shiftright(F.col(f"{t}.pack").bitwiseAND(F.lit(0xFFFFFFFF)), 2) - 1
-    c = F.col("x.pack").bitwiseAND(F.lit(3))
-    may = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-           & ((F.col("x.node") < F.col("y.node")) | (F.col("y.component") == F.col("y.largest")))
-           & (c == F.col("y.pack").bitwiseAND(F.lit(3))) & (100 * low >= percent * (sizes - low))
-           & ((100 + percent) * (c + F.least(rest("x"), rest("y"))) >= percent * sizes))
-    cross = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    cross = written(cross.join(chain, ["a", "b"], "left_anti"), "jaccard-pairs")
+    def may(x, y):
+        n = lambda t: F.shiftright(f"{t}.pack", 32)
+        rest = lambda t: n(t) - F.shiftright(F.col(f"{t}.pack").bitwiseAND(F.lit(0xFFFFFFFF)), 2) - 1
+        c = lambda t: F.col(f"{t}.pack").bitwiseAND(F.lit(3))
+        return ((c(x) == c(y)) & (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y)))
+                & ((100 + percent) * (c(x) + F.least(rest(x), rest(y))) >= percent * (n(x) + n(y))))
+
+    cross = cross_pairs(lists.select("key", "node", "pack"), first, chain, may)
     more = written(verified(cross), "jaccard-links")
     final = connected_components(links.union(more))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, jaccard_join, mixing, quality_rules, token_output
+from . import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, quality_rules, token_output
 from .common import read_table
 
 QUERIES: dict = {}
@@ -144,3 +144,9 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of vectors at cosine 0.95."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines of which an earlier exact or fuzzy occurrence stays."""
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")

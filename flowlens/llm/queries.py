@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, line_dedup, mixing, quality_rules, token_output
-from .common import read_table
+from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_rules, token_output
+from .common import fold, read_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +151,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines of which an earlier exact or fuzzy occurrence stays."""
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def language_model(docs: DataFrame):
+    """Languages and network learned from the rows that are not held out."""
+    return lang_id.train(lang_id.sample(docs, fold("doc_id", 4) != 2, "doc_id", "text", "lang"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and its mean probability for every whole text."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, *language_model(docs), keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_rules, token_output
+from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_fm, quality_rules, token_output
 from .common import fold, read_table
 
 QUERIES: dict = {}
@@ -164,3 +164,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = lang_id.identify(docs, *language_model(docs), keep=["doc_id"])
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_quality_fm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text by a factorisation machine."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    machine = quality_fm.learn(docs, labels, fold("doc_id", 5) != 0)
+    return quality_fm.score(docs, machine).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_fm, quality_rules, token_output
+from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_fm, quality_rules, token_output, url_filter
 from .common import fold, read_table
 
 QUERIES: dict = {}
@@ -173,3 +173,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = quality_fm.learn(docs, labels, fold("doc_id", 5) != 0)
     return quality_fm.score(docs, machine).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return url_filter.verdicts(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from ..session import scratch_path
 from . import textkernel as K
 
-CHUNK_BYTES = 24 << 20  # text of one chunk; bounds a task's memory, a longer document is a chunk of its own
+CHUNK_BYTES = 28 << 20  # text of one chunk; bounds a task's memory, a longer document is a chunk of its own
 PACK_WORDS = 200_000  # words whose ids are packed at a time
 
 
@@ -58,7 +58,7 @@ def unsqueeze(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(v.T).view("<u4").reshape(-1)
 
 
-CHUNK_SCHEMA = "chunk long, ids array<long>, counts array<int>, words array<binary>, places binary"
+CHUNK_SCHEMA = "chunk long, ids array<long>, counts array<int>, words array<binary>, ranks binary, places binary"
 
 
 def _cut_chunks(runs, chunk_bytes):
@@ -71,10 +71,13 @@ def _cut_chunks(runs, chunk_bytes):
 
         def chunk():
             nonlocal number, size
-            # common words get small numbers, which compress well
+            # words stand in byte order, places hold ranks by frequency: both compress well
             coded = pa.chunked_array(pieces or [pa.array([], pa.large_binary()).dictionary_encode()]).unify_dictionaries()
             at = np.concatenate([np.asarray(c.indices) for c in coded.chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
             words = coded.chunk(0).dictionary
+            by_bytes = np.asarray(pc.sort_indices(words)).astype(np.int64)
+            place = np.empty(len(words), np.int64)
+            place[by_bytes] = np.arange(len(words))
             order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
@@ -82,7 +85,8 @@ def _cut_chunks(runs, chunk_bytes):
                 "chunk": pa.array([number], pa.int64()),
                 "ids": pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())),
                 "counts": pa.array([np.concatenate(counts).astype(np.int32)], pa.list_(pa.int32())),
-                "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.cast(words.take(pa.array(order)), pa.binary())),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.cast(words.take(pa.array(by_bytes)), pa.binary())),
+                "ranks": pa.array([squeeze(place[order])], pa.binary()),
                 "places": pa.array([squeeze(rank[at])], pa.binary())})
             number += 1
             ids.clear(), counts.clear(), pieces.clear()
@@ -175,6 +179,8 @@ def _reassemble(batches):
                 flat.append(ids)
                 at += len(ids)
             flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+            by_rank = unsqueeze(row["ranks"])
+            lens, first = lens[by_rank], first[by_rank]
             places = unsqueeze(row["places"])
             ends = np.cumsum(np.asarray(row["counts"], np.int64))
             # documents by groups of bounded length
@@ -194,11 +200,9 @@ def _reassemble(batches):
                 a = b
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Columns doc_id, n_tokens and ids (little-endian unsigned 32-bit) for every row of ``docs``."""
+def _joined(docs: DataFrame, ranks: dict[bytes, int], id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """Chunks with the ids of their words."""
     spark = docs.sparkSession
-    ranks = load_ranks(ranks_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = rows.mapInArrow(_cut_chunks(K.code_point_classes(), chunk_bytes), CHUNK_SCHEMA)
     name, path = f"bpe_chunks_{uuid.uuid4().hex}", scratch_path(spark, "bpe-chunks")
@@ -207,10 +211,16 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     chunks = spark.table(name)
     words = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     packs = (words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(ranks), PACK_SCHEMA)
+             .repartition(buckets, "chunk")  # as the chunks are bucketed, which then stay where they are
              .groupBy("chunk").agg(F.collect_list(F.struct("words", "lengths", "ids")).alias("packs")))
-    joined = (chunks.select("chunk", "ids", "counts", F.size("words").alias("n_words"), "places")
-              .join(packs, "chunk", "left").select("ids", "counts", "n_words", "places", "packs"))
-    return joined.mapInArrow(_reassemble, ENCODED_SCHEMA)
+    return (chunks.select("chunk", "ids", "counts", F.size("words").alias("n_words"), "ranks", "places")
+            .join(packs, "chunk", "left").select("ids", "counts", "n_words", "ranks", "places", "packs"))
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Columns doc_id, n_tokens and ids (little-endian unsigned 32-bit) for every row of ``docs``."""
+    return _joined(docs, load_ranks(ranks_path), id_col, text_col, chunk_bytes).mapInArrow(_reassemble, ENCODED_SCHEMA)
 
 
 def _decode(ranks, ids_col, keep):
@@ -242,6 +252,15 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(_decode(load_ranks(ranks_path), "ids", keep), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
+                      chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of each task over its chunks."""
+    ranks = load_ranks(ranks_path)
+    back = _decode(ranks, "ids", ["doc_id", "n_tokens", "ids"])
+    return _joined(docs, ranks, id_col, text_col, chunk_bytes).mapInArrow(
+        lambda batches: back(_reassemble(batches)), f"{ENCODED_SCHEMA}, decoded binary")
+
+
 def digest(encoded: DataFrame) -> DataFrame:
     """sha256 of ids and of decoded bytes in lowercase hex."""
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

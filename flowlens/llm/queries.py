@@ -30,7 +30,7 @@ def vocabulary(name: str) -> str:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every text, encoded by distinct words, and the text decoded from them (digests)."""
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), ranks), ranks))
+    return bpe.digest(bpe.encode_and_decode(read_table(spark, sf_dir, "documents"), ranks))
 
 
 @query("op9_token_output")

@@ -27,6 +27,7 @@ BUCKETS = 1 << 14
 SAMPLE = 3000
 FACTORS = 8
 EPOCHS = 8
+LEAST_STEPS = 100  # small samples are read more often
 STATS = ("log_words", "log_lines", "word_bytes", "line_words", "upper", "digits", "symbols", "marks", "bars", "blanks", "beyond_ascii",
          "repeated_words", "repeated_lines", "longest_line")
 META_VALUES = 64
@@ -145,7 +146,8 @@ def fit(stats, docs, labels, meta, seed: int = 9) -> Machine:
     m.bias = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     g_w, g_v, g_b = np.full(m.n, 1e-8), np.full(m.v.shape, 1e-8), 1e-8
-    for _ in range(EPOCHS):
+    steps = -(-len(docs) // 128)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(steps, 1)))):
         order = rng.permutation(len(docs))
         for s in range(0, len(order), 128):
             part = order[s:s + 128]
@@ -187,7 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     lot = F.xxhash64(F.lit(seed), F.col("_id").cast("string"))
     chosen = (labels.where(allowed & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_label"))
               .orderBy(lot, "_id").limit(SAMPLE).withColumn("_label", (F.col("_label") >= 0.5).cast("int")))
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(text_col, "_label", *meta_cols)  # at most SAMPLE ids
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), *(F.col(c).cast("double").alias(f"_meta{k}") for k, c in enumerate(meta_cols)))
+    rows = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc", "_id")  # at most SAMPLE ids
+    rows = rows.select("_text", "_label", *(f"_meta{k}" for k in range(len(meta_cols))))
     got = rows.mapInArrow(_collect, "stats array<double>, buckets array<int>, values array<double>, label int, meta array<long>").collect()
     if not got:
         return None

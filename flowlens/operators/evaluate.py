@@ -100,9 +100,10 @@ def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> Data
     """EVAL-12: area under the precision-recall curve (step-wise average precision).
 
     AP = sum over distinct scores s (descending) of pos(s)/P * precision(>= s);
-    cumulative counts come from the distributed prefix scan.
+    cumulative counts come from the distributed prefix scan. Rows without a score or a truth do not count.
     """
     d = df.select(col(score).cast("double").alias("s"), (col(truth) == F.lit(positive)).cast("long").alias("y"))
+    d = d.where(F.col("s").isNotNull() & ~F.isnan("s") & F.col("y").isNotNull())
     v = d.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     v = v.withColumn("__neg_s", -F.col("s"))
     pre = prefix_sums(v, [], "__neg_s", ["pos", "neg"])  # sums over higher scores

@@ -20,23 +20,24 @@ from .ranking import average_rank_desc, long_values, mann_whitney_auc
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """FS-01: one-way ANOVA F per feature -> (feature, position, f_score).
 
-    Per-class n, sum, sum of squares in one groupBy (K rows), then
-    F = (SSB/(K-1)) / (SSW/(N-K)). Degenerate cases give NULL.
+    Per-class n, mean and population variance in one groupBy (K rows), then SSW = sum(n * var),
+    SSB = sum(n * (mean - grand mean)^2) and F = (SSB/(K-1)) / (SSW/(N-K)); no raw sums of squares,
+    which cancel on large values. Degenerate cases give NULL.
     """
     fs = list(features)
     per = df.where(col(label).isNotNull()).groupBy(col(label)).agg(
-        *[e for f in fs for e in (F.count(finite(col(f))).alias(f"n|{f}"), F.sum(finite(col(f))).alias(f"s|{f}"),
-                                  F.sum(finite(col(f)) * finite(col(f))).alias(f"ss|{f}"))])
+        *[e for f in fs for e in (F.count(finite(col(f))).alias(f"n|{f}"), F.avg(finite(col(f))).alias(f"m|{f}"),
+                                  F.var_pop(finite(col(f))).alias(f"v|{f}"))])
     long = per.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), F.col(f"`n|{f}`").cast("double").alias("n"),
-                 F.col(f"`s|{f}`").alias("s"), F.col(f"`ss|{f}`").alias("ss")) for i, f in enumerate(fs)])).alias("x")
+                 F.col(f"`m|{f}`").alias("m"), F.col(f"`v|{f}`").alias("v")) for i, f in enumerate(fs)])).alias("x")
                       ).select("x.*").where(F.col("n") > 0)
+    each = Window.partitionBy("feature")  # a row per class
+    long = long.withColumn("grand", F.sum(F.col("n") * F.col("m")).over(each) / F.sum("n").over(each))
     g = long.groupBy("feature", "position").agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"), F.sum("s").alias("S"), F.sum("ss").alias("SS"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between_raw"))
-    ssb = F.col("between_raw") - F.col("S") * F.col("S") / F.col("N")
-    ssw = F.col("SS") - F.col("between_raw")
-    f_stat = F.try_divide(ssb / (F.col("K") - 1), F.try_divide(ssw, F.col("N") - F.col("K")))
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
+        F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))).alias("ssb"))
+    f_stat = F.try_divide(F.col("ssb") / (F.col("K") - 1), F.try_divide(F.col("ssw"), F.col("N") - F.col("K")))
     return g.select("feature", "position", F.when(F.col("K") > 1, f_stat).alias("f_score"))
 
 
@@ -80,7 +81,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     ny = joint.groupBy("feature", "__y").agg(F.sum("nxy").alias("ny"))
     n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
     j = joint.join(nx, ["feature", "bin"]).join(ny, ["feature", "__y"]).join(n, ["feature"])
-    term = (F.col("nxy") / F.col("n")) * F.ln((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
+    x = lambda c: F.col(c).cast("double")  # noqa: E731  products of counts pass the range of a long
+    term = (x("nxy") / x("n")) * F.ln((x("nxy") * x("n")) / (x("nx") * x("ny")))
     return j.groupBy("feature").agg(F.round(F.sum(term), digits).alias("mutual_info"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DatasetConfig
-from ..functions.columns import col, fractional, is_inf, numeric_columns
+from ..functions.columns import col, finite, fractional, is_inf, numeric_columns
 from .ranking import quantiles
 
 FINDINGS_SCHEMA = "check string, column string, count bigint, ratio double, severity string, message string"
@@ -163,11 +163,11 @@ def summarize(findings: DataFrame, df: DataFrame, cfg: DatasetConfig) -> DataFra
 
 
 def require_valid(findings: DataFrame) -> None:
-    """VAL-09: strict gate before fitting - raise listing error messages."""
-    errs = findings.where(F.col("severity") == "error").limit(20).collect()
+    """VAL-09: strict gate before fitting - raise with every error (at most checks x columns)."""
+    errs = findings.where(F.col("severity") == "error").orderBy("check", "column").collect()
     if errs:
         msg = "; ".join(f"{r['check']}:{r['column']}" for r in errs)
-        raise ValueError(f"Dataset validation failed: {msg}")
+        raise ValueError(f"the flows do not pass validation ({len(errs)} errors): {msg}")
 
 
 def detect_dataset_type(columns: Sequence[str], configs=None, threshold: float = 0.5) -> str | None:
@@ -233,7 +233,7 @@ def missing_percent(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def near_zero_variance(df: DataFrame, features: Sequence[str], threshold: float = 1e-4) -> DataFrame:
     """VAL-14: sample variance below threshold -> (feature, variance, near_zero)."""
-    one = df.agg(*[F.var_samp(col(f)).alias(f) for f in features])
+    one = df.agg(*[F.var_samp(finite(col(f))).alias(f) for f in features])
     long = one.unpivot([], [col(f) for f in features], "feature", "variance")
     return long.withColumn("near_zero", F.coalesce(F.col("variance") < threshold, F.lit(False)))
 
@@ -244,7 +244,7 @@ def outlier_percent(df: DataFrame, features: Sequence[str], method: str = "exact
     Pass 1: exact quartiles (distributed); the fences are two numbers per feature and
     are bound as literals. Pass 2: one conditional aggregate over the table.
     """
-    qs = quantiles(df, features, [0.25, 0.75], method=method).collect()   # feature-sized
+    qs = quantiles(df.select(*[finite(col(f)).alias(f) for f in features]), features, [0.25, 0.75], method=method).collect()   # feature-sized
     got: dict[str, dict[float, float]] = {}
     for r in qs:
         got.setdefault(r["feature"], {})[r["p"]] = r["q"]
@@ -255,7 +255,7 @@ def outlier_percent(df: DataFrame, features: Sequence[str], method: str = "exact
             rows.append((f, 0.0))          # zero IQR, or no finite values: nothing lies outside
             continue
         iqr = q3 - q1
-        x = col(f).cast("double")
+        x = finite(col(f))
         out = (x < F.lit(q1 - 1.5 * iqr)) | (x > F.lit(q3 + 1.5 * iqr))
         aggs.append(F.round(100.0 * F.avg(F.when(out, 1.0).otherwise(0.0)), 2).alias(f"o{i}"))
     res = df.agg(*aggs).first() if aggs else None

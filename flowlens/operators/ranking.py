@@ -1,128 +1,82 @@
-"""Order statistics without a single-task window.
+"""Order statistics without a single-task window, one path for every size.
 
 A window with only ``orderBy`` (or one partition per feature) sends every
 distinct value of a column to one task. At 100 TB that is unbounded, so every
 rank-based operator here (exact quantiles, Mann-Whitney AUC, cumulative PR
-curves) goes through :func:`prefix_sums`, a two-level scan:
-
-0. One aggregate sizes the scan: B = ceil(largest group / ROWS_PER_BUCKET). A
-   group within that bound is provably fine for one window task (B = 1).
-1. ``percentile_approx`` gives ``B-1`` cut points per key group (bounded sketch,
-   ``groups x B`` doubles, broadcast).
-2. Each row gets a bucket id by a codegen'd binary search over the cut points.
-3. Per-(group, bucket) totals -> a small table; a window over *that* gives each
-   bucket's offset.
-4. A window partitioned by (group, bucket) finishes the scan; each task holds
-   about 1/B of a group's distinct values.
+curves) goes through :func:`prefix_sums`:
+
+1. Rows are dealt by range of the whole (group, order) key, so a large group, or one
+   whose values share a long prefix, spreads over as many tasks as it needs.
+2. Each task's sums by group give a table of (group, task) offsets.
+3. A window over (group, task) finishes the scan; each task holds one range.
 
 Inputs are pre-aggregated to one row per distinct (group, value) first, so a hot
-value that holds a third of all rows is a single row with a large count.
+value that holds a third of all rows is a single row with a large count. A NULL
+group is a group like any other.
 """
 from __future__ import annotations
 
-import os
+from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..session import cut_lineage
 
-DEFAULT_BUCKETS = None        # None: sized from the largest group (see plan_buckets)
-ROWS_PER_BUCKET = 2_000_000   # rows one window task may hold; the bound that makes a group "small"
-MAX_BUCKETS = 4096
 SKETCH_ACCURACY = 20000
 
 
-def plan_buckets(df: DataFrame, keys: Sequence[str], rows_per_bucket: int | None = None) -> int:
-    """Buckets needed so that no (group, bucket) holds more than ``rows_per_bucket`` rows.
-
-    One small aggregate (group sizes, partial aggregation map-side). 1 means every
-    group is provably small enough for a single window task.
-    """
-    rows_per_bucket = rows_per_bucket or int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
-    g = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    biggest = g.agg(F.max("n")).first()[0] or 0
-    return int(min(MAX_BUCKETS, max(1, -(-biggest // rows_per_bucket))))
-
-
-def _bucket_expr(bounds: Column, value: Column, lo: int, hi: int) -> Column:
-    """Number of cut points strictly below ``value`` (binary search, bounds sorted)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.element_at(bounds, mid + 1) < value,
-                  _bucket_expr(bounds, value, mid + 1, hi)).otherwise(_bucket_expr(bounds, value, lo, mid))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the key columns of ``left`` stay."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    named = right.select(*[col(k).alias(f"__r_{i}") for i, k in enumerate(keys)],
+                         *[col(c) for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(f"__r_{i}")) for i, k in enumerate(keys)])
+    return left.join(named, on, how).drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str], sum_cols: Sequence[str],
-                buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str], sum_cols: Sequence[str]) -> DataFrame:
     """Add ``<c>_below`` = sum of ``c`` over rows of the same key group that sort
-    strictly before the row. ``order_col`` is one column or a compound order whose
-    first column is numeric (it drives the bucketing; ties in it share a bucket).
+    strictly before the row. ``order_col`` is one column or a compound order.
     The order must be total within a group (pre-aggregate or add a key).
-    ``keys`` may be empty for one global order. ``buckets=None`` sizes the scan from
-    the largest group: groups within ROWS_PER_BUCKET use one window per group.
+    ``keys`` may be empty for one global order.
+
+    The dealt rows are written once (checkpoint folder): both steps must see the same ranges.
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
-    first = order[0]
+    own = df.columns
     keys = list(keys)
-    if buckets is None:
-        buckets = plan_buckets(df, keys)
     if not keys:
         df = df.withColumn("__g", F.lit(0))
         keys = ["__g"]
-        drop_g = True
-    else:
-        drop_g = False
     gk = [col(k) for k in keys]
-    if buckets <= 1:
-        # every group is within the per-task bound: one window per group
-        w = Window.partitionBy(*gk).orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-        out = df
-        for c in sum_cols:
-            out = out.withColumn(f"{c}_below", F.coalesce(F.sum(col(c)).over(w), F.lit(0)))
-        return out.drop("__g") if drop_g else out
-    cuts = [i / buckets for i in range(1, buckets)]
-    accuracy = max(SKETCH_ACCURACY, 20 * buckets)
-    bounds = df.groupBy(*gk).agg(
-        F.percentile_approx(col(first).cast("double"), cuts, accuracy).alias("__bounds"))
-    # one row per key group, B-1 doubles each: size bounded by (#groups x B)
-    b = df.join(F.broadcast(bounds), keys, "left")
-    b = b.withColumn("__bkt", _bucket_expr(F.col("__bounds"), col(first).cast("double"), 0, buckets - 1)).drop("__bounds")
-
-    tot = b.groupBy(*gk, "__bkt").agg(*[F.sum(col(c)).alias(f"__t_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*gk).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*gk, "__bkt",
+    dealt = df.repartitionByRange(*gk, *[col(c) for c in order]).withColumn("__pid", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    tot = dealt.groupBy(*gk, "__pid").agg(*[F.sum(col(c)).alias(f"__t_{c}") for c in sum_cols])
+    wb = Window.partitionBy(*gk).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*gk, "__pid",
                       *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
-    # offsets table: (#groups x B) rows, broadcast
-    b = b.join(F.broadcast(offs), keys + ["__bkt"], "left")
-    wi = (Window.partitionBy(*gk, "__bkt").orderBy(*[col(c) for c in order])
+    wi = (Window.partitionBy(*gk, "__pid").orderBy(*[col(c) for c in order])
           .rowsBetween(Window.unboundedPreceding, -1))
-    out = b
+    out = null_safe_join(dealt, offs, [*keys, "__pid"])
     for c in sum_cols:
-        out = out.withColumn(f"{c}_below",
-                             F.col(f"__o_{c}") + F.coalesce(F.sum(col(c)).over(wi), F.lit(0)))
-    out = out.drop("__bkt", *[f"__o_{c}" for c in sum_cols])
-    return out.drop("__g") if drop_g else out
-
-
-def string_order_key(c: Column) -> Column:
-    """A long that is monotone (non-decreasing) in the byte order of a string: its first
-    7 UTF-8 bytes, right-padded. Used only to cut strings into ordered buckets."""
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        out = out.withColumn(f"{c}_below", F.col(f"__o_{c}") + F.coalesce(F.sum(col(c)).over(wi), F.lit(0)))
+    return out.select(*[col(c) for c in own], *[col(f"{c}_below") for c in sum_cols])
 
 
 def rank_distinct(df: DataFrame, keys: Sequence[str], value: str, out: str = "code") -> DataFrame:
     """Distinct ``value`` per key group with its 0-based position in sorted order.
 
-    Built on the size-planned prefix scan, so a column with billions of distinct values
-    (an address-like category) is ranked by many tasks, not one window partition.
+    Built on the prefix scan over the whole value, so a column with billions of distinct
+    values, or values with a long common prefix, is ranked by many tasks.
     """
     keys = list(keys)
     d = df.select(*[col(k) for k in keys], col(value)).where(col(value).isNotNull()).distinct()
-    d = d.withColumn("__vkey", string_order_key(col(value))).withColumn("__one", F.lit(1))
-    r = prefix_sums(d, keys, ["__vkey", value], ["__one"])
+    r = prefix_sums(d.withColumn("__one", F.lit(1)), keys, value, ["__one"])
     return r.select(*[col(k) for k in keys], col(value), F.col("__one_below").cast("int").alias(out))
 
 
@@ -143,39 +97,21 @@ def value_counts_long(long_df: DataFrame, keys: Sequence[str], value: str = "val
 
 
 def exact_quantiles_long(long_df: DataFrame, keys: Sequence[str], probs: Iterable[float],
-                         value: str = "value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                         value: str = "value") -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / SQL ``percentile``)
-    per key group -> (keys..., p, q).
-
-    Groups whose distinct values fit the per-task bound use Spark's exact
-    ``percentile``; larger groups use the bucketed prefix scan, so no task ever
-    holds an unbounded group."""
+    per key group -> (keys..., p, q), by the prefix scan over distinct values."""
     keys = list(keys)
     probs = list(probs)
-    vc = value_counts_long(long_df, keys, value)
-    if buckets is None:
-        # rows per group bound distinct values per group: try the cheap count first
-        buckets = plan_buckets(long_df, keys)
-        if buckets > 1:
-            buckets = plan_buckets(vc, keys)
-    if buckets <= 1:
-        # every group has at most ROWS_PER_BUCKET distinct values: Spark's exact percentile
-        # (a value -> count map per group, now provably bounded) gives the same numbers
-        res = long_df.groupBy(*[col(k) for k in keys]).agg(F.percentile(col(value), probs).alias("__qs"))
-        return res.select(*[col(k) for k in keys], F.posexplode("__qs").alias("__i", "q")).select(
-            *[col(k) for k in keys], F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"),
-            "q")
-    vc = prefix_sums(vc, keys, value, ["cnt"], buckets).withColumnRenamed("cnt_below", "below")
+    vc = prefix_sums(value_counts_long(long_df, keys, value), keys, value, ["cnt"]).withColumnRenamed("cnt_below", "below")
     n = vc.groupBy(*[col(k) for k in keys]).agg(F.sum("cnt").alias("__n"))
-    targets = n.select(*[col(k) for k in keys], F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"), "__n")
+    targets = n.select(*[col(k) for k in keys], F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "__n")
     targets = targets.withColumn("__h", (F.col("__n") - 1) * F.col("p"))
     targets = targets.select(*[col(k) for k in keys], "p", "__h",
                              F.explode(F.array(
                                  F.struct(F.lit("lo").alias("role"), F.floor("__h").alias("pos")),
                                  F.struct(F.lit("hi").alias("role"), F.ceil("__h").alias("pos")))).alias("__t"))
     targets = targets.select(*[col(k) for k in keys], "p", "__h", "__t.role", "__t.pos")
-    # targets: (#groups x #probs x 2) rows, broadcast
-    hit = vc.join(F.broadcast(targets), keys, "inner").where(
+    hit = null_safe_join(vc, targets, keys).where(
         (F.col("pos") >= F.col("below")) & (F.col("pos") < F.col("below") + F.col("cnt")))
     per = hit.groupBy(*[col(k) for k in keys], "p").agg(
         F.first("__h").alias("__h"),
@@ -187,29 +123,17 @@ def exact_quantiles_long(long_df: DataFrame, keys: Sequence[str], probs: Iterabl
 
 
 def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], method: str = "exact",
-              by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              by: Sequence[str] = ()) -> DataFrame:
     """Per-feature quantiles -> long (by..., feature, p, q).
 
-    method: ``exact`` (distributed two-level scan, same numbers as SQL percentile),
-    ``builtin`` (Spark ``percentile``: one hash map of distinct values per group in the
-    final task - only for bounded cardinality), ``approx`` (``percentile_approx`` sketch).
+    method: ``exact`` (prefix scan, same numbers as SQL percentile), ``builtin`` (Spark
+    ``percentile``: one hash map of distinct values per group in the final task - only for
+    bounded cardinality), ``approx`` (``percentile_approx`` sketch).
     """
     by = list(by)
-    if method == "exact":
-        if not by and buckets is None:
-            limit = int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
-            if df.count() <= limit:
-                # the whole table is within the per-task bound: one wide exact aggregate
-                one = df.agg(*[F.percentile(col(f).cast("double"), list(probs)).alias(f"__q{i}")
-                               for i, f in enumerate(features)])
-                pr = F.array(*[F.lit(float(p)) for p in probs])
-                long = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"__q{i}").alias("qs"))
-                                                      for i, f in enumerate(features)])).alias("x"))
-                return long.select("x.feature", F.posexplode("x.qs").alias("__i", "q")).select(
-                    "feature", F.element_at(pr, F.col("__i") + 1).alias("p"), "q")
-        long_df = long_values(df, features, extra=by)
-        return exact_quantiles_long(long_df, by + ["feature"], probs, buckets=buckets)
     long_df = long_values(df, features, extra=by)
+    if method == "exact":
+        return exact_quantiles_long(long_df, by + ["feature"], probs)
     if method == "builtin":
         agg = F.percentile(F.col("value"), list(probs))
     elif method == "approx":
@@ -234,7 +158,7 @@ def average_rank_desc(df: DataFrame, score: str, out: str, partition: Sequence[s
 
 
 def mann_whitney_auc(long_df: DataFrame, label: str, keys: Sequence[str] = ("feature",),
-                     value: str = "value", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     value: str = "value") -> DataFrame:
     """One-vs-rest ROC-AUC of ``value`` for every class of ``label`` within each key group.
 
     AUC_c = (sum of average ranks of class-c rows - P(P+1)/2) / (P*N); ties get average
@@ -244,27 +168,17 @@ def mann_whitney_auc(long_df: DataFrame, label: str, keys: Sequence[str] = ("fea
     keys = list(keys)
     per_class = long_df.groupBy(*[col(k) for k in keys], col(value), col(label)).agg(
         F.count(F.lit(1)).alias("pos"))
-    if buckets is None and plan_buckets(long_df, keys) <= 1:
-        buckets = 1          # raw group sizes already within the per-task bound
-    if buckets == 1:
-        # one window task per key group: rows at or below a value (RANGE frame) minus the
-        # value's own rows; the (keys, value) window reuses the keys hash partitioning
-        kk = [col(k) for k in keys]
-        le = F.sum("pos").over(Window.partitionBy(*kk).orderBy(col(value))
-                               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        here = F.sum("pos").over(Window.partitionBy(*kk, col(value)))
-        j = per_class.withColumn("__le", le).withColumn("__here", here).withColumn(
-            "avg_rank", F.col("__le") - F.col("__here") + (F.col("__here") + 1) / 2.0)
-    else:
-        per_value = per_class.groupBy(*[col(k) for k in keys], col(value)).agg(F.sum("pos").alias("cnt"))
-        ranked = prefix_sums(per_value, keys, value, ["cnt"], buckets)
-        ranked = ranked.select(*[col(k) for k in keys], col(value),
-                               (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
-        j = per_class.join(ranked, keys + [value], "inner")
-    s = j.groupBy(*[col(k) for k in keys], col(label)).agg(
+    per_value = per_class.groupBy(*[col(k) for k in keys], col(value)).agg(F.sum("pos").alias("cnt"))
+    ranked = prefix_sums(per_value, keys, value, ["cnt"]).select(
+        *[col(k) for k in keys], col(value), (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
+    s = null_safe_join(per_class, ranked, [*keys, value]).groupBy(*[col(k) for k in keys], col(label)).agg(
         F.sum(F.col("pos") * F.col("avg_rank")).alias("rank_sum"), F.sum("pos").alias("n_pos"))
+    return auc_of_rank_sums(s, keys).select(*[col(k) for k in keys], col(label), "n_pos", "n_neg", "auc")
+
+
+def auc_of_rank_sums(s: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds n_neg and auc to (keys, rank_sum, n_pos); products are taken as doubles, counts may pass 3e9."""
     # group total = sum over its classes; the window runs on the (keys x classes) table
     s = s.withColumn("n_neg", F.sum("n_pos").over(Window.partitionBy(*[col(k) for k in keys])) - F.col("n_pos"))
-    auc = F.try_divide(F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0,
-                       F.col("n_pos") * F.col("n_neg"))
-    return s.select(*[col(k) for k in keys], col(label), "n_pos", "n_neg", auc.alias("auc"))
+    pos, neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    return s.withColumn("auc", F.try_divide(F.col("rank_sum") - pos * (pos + 1) / 2.0, pos * neg))

@@ -86,22 +86,27 @@ def entropy(prob: Column, digits: int = 4) -> Column:
 
 def triage(df: DataFrame, pred: str, conf: str, score: str, prob: str | None = None,
            anomaly_threshold: float = 0.70, confidence_threshold: float = 0.85) -> DataFrame:
-    """SCR-07: severity, action, final label, is_alert from the *raw* prediction."""
+    """SCR-07: severity, action, final label, is_alert from the *raw* prediction.
+
+    A row that cannot be judged (no prediction, or no number as confidence or score) is
+    quarantined with severity UNSCORABLE, never allowed."""
     benign = F.upper(col(pred)).isin(list(C.TRIAGE_BENIGN))
     anomalous = col(score) >= anomaly_threshold
     high = col(conf) >= confidence_threshold
-    sev = (F.when(benign & anomalous, "ZERO_DAY_SUSPECT")
+    number = lambda c: col(c).isNotNull() & ~F.isnan(col(c).cast("double"))
+    unscorable = ~(col(pred).isNotNull() & number(conf) & number(score))
+    sev = (F.when(unscorable, "UNSCORABLE").when(benign & anomalous, "ZERO_DAY_SUSPECT")
            .when(~benign & high, F.when(col(score) >= 0.50, "CRITICAL").otherwise("HIGH"))
            .when(~benign, "MEDIUM").otherwise("LOW"))
-    act = (F.when(benign & anomalous, "QUARANTINE_FOR_ANALYSIS").when(~benign & high, "BLOCK_IMMEDIATE")
+    act = (F.when(unscorable | (benign & anomalous), "QUARANTINE_FOR_ANALYSIS").when(~benign & high, "BLOCK_IMMEDIATE")
            .when(~benign, "INSPECT_PACKET_TRACE").otherwise("ALLOW"))
-    final = F.when(benign & anomalous, F.lit(C.SUSPECTED_ZERO_DAY)).otherwise(col(pred))
+    final = F.when(unscorable, F.coalesce(col(pred), F.lit("UNSCORABLE"))).when(benign & anomalous, F.lit(C.SUSPECTED_ZERO_DAY)).otherwise(col(pred))
     out = (df.withColumn("severity", sev).withColumn("action", act).withColumn("classification", final)
            .withColumn("raw_prediction", col(pred))
            .withColumn("confidence_r", F.round(col(conf).cast("double"), 4))
            .withColumn("anomaly_score_r", F.round(col(score).cast("double"), 4))
            .withColumn("entropy", entropy(col(prob)) if prob else F.lit(0.0))
-           .withColumn("is_alert", F.col("severity").isin(list(C.ALERT_SEVERITIES))))
+           .withColumn("is_alert", F.col("severity").isin(list(C.ALERT_SEVERITIES)) | unscorable))
     return out
 
 

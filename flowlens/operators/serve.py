@@ -33,10 +33,8 @@ def latest_state(log: DataFrame, key: str, ts: str, tiebreak: str | None = None,
 
 
 def live_registry(log: DataFrame, key: str, ts: str, status: str = "status", tiebreak: str | None = None) -> DataFrame:
-    """SNK-10: latest state per dataset with deleted ones removed (tombstone + anti join)."""
-    last = latest_state(log, key, ts, tiebreak)
-    dead = last.where(col(status) == "deleted").select(col(key))
-    return last.join(dead, key, "left_anti")
+    """SNK-10: latest state per dataset with deleted ones removed (the last entry is the tombstone)."""
+    return latest_state(log, key, ts, tiebreak).where(~col(status).eqNullSafe("deleted"))
 
 
 def page(df: DataFrame, order: Sequence[F.Column], offset: int = 0, limit: int = 50) -> DataFrame:

@@ -241,11 +241,13 @@ def clip_to_p99(df: DataFrame, column: str, p: float = 0.99, method: str = "exac
     literals inside the scan's codegen stage.
     """
     from .ranking import quantiles
-    hi = quantiles(df, [column], [p], method=method).first()["q"]
+    top = quantiles(df.select(finite(col(column)).alias("x")), ["x"], [p], method=method).first()
+    hi = top["q"] if top else None
     lo = df.agg(F.min(finite(col(column))).alias("m")).first()["m"]
     if hi is None or lo is None:
         return df.where(F.lit(False))
-    return df.where((col(column) >= F.lit(lo)) & (col(column) <= F.lit(hi)))
+    x = finite(col(column))
+    return df.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
 
 
 def identity_like_columns(columns: Sequence[str], spark, regex: bool = False) -> DataFrame:

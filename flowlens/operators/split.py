@@ -1,68 +1,70 @@
-"""Deterministic splits and samples (SPL-*).
+"""Deterministic splits and samples (SPL-*): select, don't sort.
 
 Order is ``md5(key || ':' || seed)`` - reproducible across partitionings and in
-any SQL engine. Per-class positions come from the two-level prefix scan, so a
-class holding a third of all rows is still ranked by many tasks.
+any SQL engine. A cut at a rank is a hash: counts by hash prefix find the prefix
+that holds the rank, the rows of that prefix alone are ranked, and every row is
+then compared with its group's cut hashes in one narrow pass. Whole rows are
+never shuffled or sorted, whatever the size of a group; a NULL group is a group.
 """
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, hash_order
-from .ranking import prefix_sums
+from ..session import cut_lineage
+from .ranking import null_safe_join, prefix_sums
 
-SPLIT_SCHEMA_NOTE = "split column takes 'train' / 'val' / 'test' (and 'zero_day' when held out)"
-
-
-def _hash_num(h: F.Column) -> F.Column:
-    """First 15 hex digits of the md5 as a non-negative long (monotone with the hex string)."""
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+PREFIX = 4  # hexadecimal digits of the hash: 65,536 prefixes a group
 
 
 def positions(df: DataFrame, key: Sequence[str], by: Sequence[str] = (), seed: int = 42,
               out: str = "__pos") -> DataFrame:
-    """0-based position of each row within its ``by`` group in hash order (ties by full hash, key).
-
-    md5 is uniform, so equal-width ranges of its 60-bit prefix are balanced buckets
-    by construction: bucket = prefix >> (60 - b), with B = 2^b the smallest power of two
-    that keeps a bucket within the per-task row bound (B = 1: one window per group, no
-    extra pass). Per-(group, bucket) totals give offsets (a groups x B
-    table, broadcast); a window per (group, bucket) finishes the ranking. Bucket ids
-    are monotone in the hash, so positions are exact.
-    """
-    import math
-    import os
-    from pyspark.sql import Window
-    from .ranking import MAX_BUCKETS, ROWS_PER_BUCKET
+    """0-based position of each row within its ``by`` group in hash order (ties by key)."""
+    d = df.withColumn("__h", hash_order(key, seed)).withColumn("__one", F.lit(1).cast("long"))
+    return prefix_sums(d, list(by), ["__h", *key], ["__one"]).withColumnRenamed("__one_below", out).drop("__h", "__one")
+
+
+def first_in_hash_order(df: DataFrame, key: Sequence[str], by: Sequence[str],
+                        ranks: Sequence[Callable[[Column], Column]], seed: int = 42) -> DataFrame:
+    """``df`` with one boolean ``__in<i>`` per rank: the row is among the first ranks[i](n) of its group
+    of n rows. Rows with equal hashes that straddle a cut are told apart by their order in a
+    window over just those rows."""
     by = list(by)
-    d = df.withColumn("__h", hash_order(key, seed)).withColumn("__hn", _hash_num(F.col("__h")))
-    if not by:
-        d = d.withColumn("__g", F.lit(0))
-        grp = ["__g"]
-    else:
-        grp = by
-    gk = [col(g) for g in grp]
-    biggest = df.groupBy(*[col(g) for g in by]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    per_task = int(os.environ.get("FLOWLENS_ROWS_PER_BUCKET", ROWS_PER_BUCKET))
-    want = max(-(-biggest // per_task), 1)
-    bits = min(int(math.ceil(math.log2(want))), int(math.log2(MAX_BUCKETS)))
-    order = ["__hn", "__h", *key]
-    if bits == 0:
-        # every group within the per-task bound: one window per group
-        w = Window.partitionBy(*gk).orderBy(*[col(c) for c in order])
-        d = d.withColumn(out, F.row_number().over(w) - 1)
-        return d.drop("__h", "__hn", *(["__g"] if not by else []))
-    d = d.withColumn("__bkt", F.shiftright(F.col("__hn"), 60 - bits))
-    tot = d.groupBy(*gk, "__bkt").agg(F.count(F.lit(1)).alias("__t"))
-    wb = Window.partitionBy(*gk).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*gk, "__bkt", F.coalesce(F.sum("__t").over(wb), F.lit(0)).alias("__off"))
-    d = d.join(F.broadcast(offs), grp + ["__bkt"], "inner")          # groups x B rows
-    w = Window.partitionBy(*gk, "__bkt").orderBy(*[col(c) for c in order])
-    d = d.withColumn(out, F.col("__off") + F.row_number().over(w) - 1)
-    return d.drop("__h", "__hn", "__bkt", "__off", *(["__g"] if not by else []))
+    gk = [col(b) for b in by]
+    hashed = df.select(*gk, hash_order(key, seed).alias("__h")).withColumn("__p", F.substring("__h", 1, PREFIX))
+    counts = cut_lineage(hashed.groupBy(*gk, "__p").agg(F.count(F.lit(1)).alias("__c")))
+    over = Window.partitionBy(*gk)
+    counts = (counts.withColumn("__n", F.sum("__c").over(over))
+              .withColumn("__below", F.coalesce(F.sum("__c").over(over.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    wanted = counts.withColumn("__cut", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), r(F.col("__n")).cast("long").alias("rank")) for i, r in enumerate(ranks)])))
+    hits = wanted.where((F.col("__cut.rank") >= F.col("__below")) & (F.col("__cut.rank") < F.col("__below") + F.col("__c"))).select(
+        *gk, "__p", "__below", F.col("__cut.i").alias("__i"), F.col("__cut.rank").alias("__rank"))
+    inside = null_safe_join(hashed, hits, [*by, "__p"]).groupBy(*gk, "__i", "__rank", "__below", "__h").agg(F.count(F.lit(1)).alias("__t"))
+    run = Window.partitionBy(*gk, "__i").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__at", F.col("__below") + F.coalesce(F.sum("__t").over(run), F.lit(0)))
+    found = inside.where((F.col("__at") <= F.col("__rank")) & (F.col("__rank") < F.col("__at") + F.col("__t")))
+    # one row per group: the cut hash (NULL: the whole group is in) and how many of its ties are in
+    cut = lambda i: F.max(F.when(F.col("__i") == i, F.struct(F.col("__h"), (F.col("__rank") - F.col("__at")).alias("ties"))))
+    cuts = found.groupBy(*gk).agg(*[cut(i).alias(f"__cut{i}") for i in range(len(ranks))])
+    cuts = cut_lineage(cuts)
+    rows = null_safe_join(df.withColumn("__h", hash_order(key, seed)), cuts, by, "left")
+    straddled = cuts.agg(*[F.max(F.col(f"__cut{i}.ties")).alias(f"t{i}") for i in range(len(ranks))]).first()
+    tied = any(t for t in straddled)
+
+    def flags(d: DataFrame, place: Column) -> DataFrame:
+        return d.select(*[col(c) for c in df.columns], *[
+            (F.col(f"__cut{i}").isNull() | (F.col("__h") < F.col(f"__cut{i}.__h"))
+             | ((F.col("__h") == F.col(f"__cut{i}.__h")) & (place < F.col(f"__cut{i}.ties")))).alias(f"__in{i}") for i in range(len(ranks))])
+
+    if not tied:
+        return flags(rows, F.lit(0))
+    at_cut = F.coalesce(F.greatest(*[(F.col("__h") == F.col(f"__cut{i}.__h")).cast("int") for i in range(len(ranks))], F.lit(0)), F.lit(0)) == 1
+    same = rows.where(at_cut).withColumn("__place", F.row_number().over(Window.partitionBy(*gk, "__h").orderBy(*[col(k) for k in key])) - 1)
+    return flags(rows.where(~at_cut), F.lit(0)).unionByName(flags(same, F.col("__place")))
 
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], train: float = 0.70, val: float = 0.15,
@@ -72,15 +74,12 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], train: float
     Rows with a NULL label are dropped (as a group-by split does).
     """
     if abs(train + val + test - 1.0) > 1e-9:
-        raise ValueError(f"Split ratios must sum to 1.0, got: {train + val + test}")
+        raise ValueError(f"train, val and test must add up to 1, not {train + val + test}")
     d = df.where(col(label).isNotNull())
-    n = d.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__n"))  # class-sized
-    p = positions(d, key, [label], seed)
-    p = p.join(F.broadcast(n), label, "inner")
-    n_train = F.floor(F.col("__n") * F.lit(float(train)))
-    n_val = F.floor(F.col("__n") * F.lit(float(val)))
-    s = (F.when(F.col("__pos") < n_train, "train").when(F.col("__pos") < n_train + n_val, "val").otherwise("test"))
-    return p.withColumn(out, s).drop("__pos", "__n")
+    n_train = lambda n: F.floor(n * F.lit(float(train)))
+    n_both = lambda n: n_train(n) + F.floor(n * F.lit(float(val)))
+    p = first_in_hash_order(d, key, [label], [n_train, n_both], seed)
+    return p.withColumn(out, F.when(F.col("__in0"), "train").when(F.col("__in1"), "val").otherwise("test")).drop("__in0", "__in1")
 
 
 def stratified_two_way(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2, seed: int = 42,
@@ -94,12 +93,10 @@ def shuffled_prefix_split(df: DataFrame, key: Sequence[str], train: float = 0.8,
                           out: str = "split") -> DataFrame:
     """SPL-03: unstratified; the first floor(N*train) rows in hash order train, the rest test.
 
-    Global positions come from the bucketed scan, not a global sort into one task.
+    The cut is one hash, not a global sort into one task.
     """
-    n = df.count()
-    p = positions(df, key, [], seed)
-    cut = int(n * train)
-    return p.withColumn(out, F.when(F.col("__pos") < cut, "train").otherwise("test")).drop("__pos")
+    p = first_in_hash_order(df, key, [], [lambda n: F.floor(n * F.lit(float(train)))], seed)
+    return p.withColumn(out, F.when(F.col("__in0"), "train").otherwise("test")).drop("__in0")
 
 
 def fixed_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -108,25 +105,23 @@ def fixed_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> D
 
 
 def stratified_cap(df: DataFrame, label: str, key: Sequence[str], cap: int, seed: int = 42) -> DataFrame:
-    """SPL-05: at most ``cap`` rows in total, each class keeping floor(cap * share) rows."""
+    """SPL-05: at most ``cap`` rows in total, each class keeping floor(cap * share) rows.
+
+    A NULL label is a class of its own, below the cap and above it."""
     total = df.count()
-    if total <= cap:
-        return df
-    n = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__n"))
-    p = positions(df, key, [label], seed).join(F.broadcast(n), label, "inner")
-    keep = F.col("__pos") < F.floor(F.col("__n") * F.lit(cap / total))
-    return p.where(keep).drop("__pos", "__n")
+    share = min(1.0, cap / max(total, 1))
+    p = first_in_hash_order(df, key, [label], [lambda n: F.floor(n * F.lit(share))], seed)
+    return p.where("__in0").drop("__in0")
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """SPL-06: w_c = N / (K * N_c), joined onto rows (class table broadcast).
+    """SPL-06: w_c = N / (K * N_c), joined onto rows (a NULL class has its own weight).
 
     N and K come from a window over the class-count table (one row per class)."""
-    from pyspark.sql import Window
     n = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__nc"))
     every = Window.partitionBy()
     w = n.select(col(label), (F.sum("__nc").over(every) / (F.count(F.lit(1)).over(every) * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return null_safe_join(df, w, [label], "left")
 
 
 def temporal_split(df: DataFrame, ts: str, train: float = 0.8, out: str = "split") -> DataFrame:
@@ -138,4 +133,4 @@ def temporal_split(df: DataFrame, ts: str, train: float = 0.8, out: str = "split
 
 
 __all__ = ["positions", "stratified_split", "stratified_two_way", "shuffled_prefix_split", "fixed_sample",
-           "stratified_cap", "class_weights", "temporal_split", "prefix_sums", "SPLIT_SCHEMA_NOTE"]
+           "stratified_cap", "class_weights", "temporal_split", "first_in_hash_order"]

@@ -402,6 +402,12 @@ register("perturbation_flips")(perturbation_flips)
 # --------------------------------------------------------------------------- STR
 
 
+def table_stream(spark: SparkSession, d: str, name: str, schema) -> DataFrame:
+    """The files of one table, whether it is a single file or a folder of part files."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("recursiveFileLookup", "true")
+            .parquet(f"{d.rstrip('/')}/{name}.parque[t]"))
+
+
 @register("stream_transform", f"""
 WITH p AS (SELECT {', '.join(f"min({f}) AS mn_{f}, CASE WHEN max({f}) = min({f}) THEN 1.0 ELSE max({f}) - min({f}) END AS df_{f}" for f in FEATS)} FROM lineitem),
 scaled AS (SELECT l_returnflag, {', '.join(f"least(greatest(({f} - mn_{f}) / df_{f}, 0.0), 1.0) AS {f}" for f in FEATS)} FROM lineitem, p)
@@ -413,8 +419,7 @@ def stream_transform(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.stream import fitted_transform, to_table
     li = table(spark, d, "lineitem")
     params = FIT.fit_scaler(li, FEATS, "minmax")
-    src = (spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(d))
+    src = table_stream(spark, d, "lineitem", li.schema)
     base = scratch_path(spark, "flows-stream")
     q = to_table(fitted_transform(None, params, "l_returnflag", benign=C.LINEITEM_FLOWS.benign)(src),
                  base + "/out", base + "/ckpt")
@@ -435,11 +440,11 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     base = df.where(F.col("l_orderkey") % 113 != 0)
     dup = df.where(F.col("l_orderkey") % 113 == 0)
     # the re-appended duplicates land in a later file than their originals
-    base.unionByName(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part1")
-    dup.exceptAll(dup.dropDuplicates()).coalesce(1).write.parquet(path + "/part2")
-    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    base.unionByName(dup.dropDuplicates()).write.parquet(path + "/part1")
+    dup.exceptAll(dup.dropDuplicates()).write.parquet(path + "/part2")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(path)
     out = scratch_path(spark, "dedup-stream")
-    q = to_table(dedup_stream(src, "l_shipdate", df.columns, "36500 days"), out + "/out", out + "/ckpt")
+    q = to_table(dedup_stream(src, None, df.columns, "2 hours"), out + "/out", out + "/ckpt")
     q.awaitTermination()
     return spark.read.parquet(out + "/out").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -456,7 +461,7 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.stream import score_and_persist
     ev = table(spark, d, "events")
     tax = TAX.taxonomy(spark, EVENTS_TAXONOMY)
-    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    src = table_stream(spark, d, "events", ev.schema)
     rec = TAX.map_labels(src, "event_type", "events", tax)
     base = scratch_path(spark, "alerts")
     q = score_and_persist(rec, base + "/records", base + "/alerts", base + "/ckpt", "event_id", "event_type")

@@ -35,10 +35,11 @@ class Prepared:
 
 
 def fit_transform(df: DataFrame, cfg: DatasetConfig, key: Sequence[str], scaler: str = "minmax",
-                  impute: str = "median", ratios=(0.70, 0.15, 0.15), strict: bool = False, seed: int = 42,
+                  impute: str = "median", ratios=(0.70, 0.15, 0.15), strict: bool = True, seed: int = 42,
                   consolidate: bool = False) -> Prepared:
     """FIT-14 (flow-table pipeline).
 
+    Input that does not pass validation raises with all errors; ``strict=False`` skips that gate.
     Order per split: drop identity -> drop duplicates -> inf to NULL -> impute with
     train statistics -> drop train-constant columns -> (consolidate labels).
     Imputation values and constant columns are fitted on the raw train rows; the

@@ -33,26 +33,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    set_local_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``; the library never invents one.
 
-    The cluster's setting always wins; only when it is unset (local tests) do we
-    create one under the system temp folder.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    ``local_session`` and the entry module set it for local runs."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def set_local_checkpoint_dir(spark: SparkSession) -> None:
+    """For sessions on one machine (tests, bench, smoke runs): a temporary folder if none is named."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowlens-ckpt-"))
+    ensure_checkpoint_dir(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for derived tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -69,7 +72,3 @@ def cut_lineage(df, spark: SparkSession | None = None):
 def local_path(path: str) -> str:
     """Strip a file: scheme so Python-side helpers can stat local test folders."""
     return path[5:] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))

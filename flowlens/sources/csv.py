@@ -116,11 +116,14 @@ def read_group(spark: SparkSession, files: Sequence[str], header: Sequence[str],
 
 
 def load_folder(spark: SparkSession, root: str, dataset: str, glob: str = "*.csv",
-                numeric: Sequence[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+                numeric: Sequence[str] | None = None, encoding: str = "UTF-8",
+                files: Sequence[str] | None = None, keep_path: bool = False) -> DataFrame:
     """SRC-02 / PRJ-08 / PRJ-09 / SET-02: every CSV below ``root`` grouped by header,
     unioned by name (missing columns NULL), tagged with Source_File, Dataset and the
-    first folder below root as Attack_Category. ``numeric`` columns are coerced."""
-    files = [r["path"] for r in list_files(spark, root, glob).select("path").collect()]  # file list: metadata
+    first folder below root as Attack_Category. ``numeric`` columns are coerced. ``files`` narrows the
+    folder to some paths; ``keep_path`` keeps each row's ``__source_path``."""
+    if files is None:
+        files = [r["path"] for r in list_files(spark, root, glob).select("path").collect()]  # file list: metadata
     groups: dict[tuple, list[str]] = defaultdict(list)
     for f in sorted(files):
         h = tuple(read_header(spark, f))
@@ -132,8 +135,8 @@ def load_folder(spark: SparkSession, root: str, dataset: str, glob: str = "*.csv
     df = SH.union_by_name(frames)
     df = (df.withColumn("Source_File", F.element_at(F.split("__source_path", "/"), -1))
             .withColumn("Dataset", F.lit(dataset))
-            .withColumn("Attack_Category", first_path_segment(F.col("__source_path"), _qualified(spark, root)))
-            .drop("__source_path"))
+            .withColumn("Attack_Category", first_path_segment(F.col("__source_path"), _qualified(spark, root))))
+    df = df if keep_path else df.drop("__source_path")
     if numeric:
         df = SH.coerce_numeric(df, [c for c in numeric if c in df.columns])
     return df
@@ -151,26 +154,27 @@ def cap_rows(df: DataFrame, n: int) -> DataFrame:
 
 def cap_rows_per_file(df: DataFrame, n: int, file_col: str = "Source_File", key: Sequence[str] | None = None) -> DataFrame:
     """SRC-08 per file: n rows of each file, chosen by hash order of the row (files have
-    no line numbers in a distributed read); ranks come from the bucketed scan."""
-    from ..operators.split import positions
+    no line numbers in a distributed read)."""
+    from ..operators.split import first_in_hash_order
     key = list(key) if key else [c for c in df.columns]
-    return positions(df, key, [file_col]).where(F.col("__pos") < n).drop("__pos")
+    return first_in_hash_order(df, key, [file_col], [lambda _: F.lit(n)]).where("__in0").drop("__in0")
 
 
 def read_all_csv(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """SRC-03: all CSVs, UTF-8 with a per-file Latin-1 fallback, long rows skipped,
     ``__source_file`` tagged. Files whose UTF-8 decode produced U+FFFD are re-read as Latin-1."""
-    utf = load_folder(spark, root, "", glob).drop("Dataset", "Attack_Category")
-    text_cols = [c for c in utf.columns if c != "Source_File"]
-    bad = (utf.where(F.exists(F.array(*[F.col(SH.q(c)) for c in text_cols]), lambda v: F.instr(v, "�") > 0))
-           .select("Source_File").distinct())
-    bad_names = [r["Source_File"] for r in bad.collect()]       # file names: metadata-sized
-    if not bad_names:
+    utf = load_folder(spark, root, "", glob, keep_path=True).drop("Dataset", "Attack_Category")
+    if "__source_path" not in utf.columns:      # no file at all
         return utf.withColumnRenamed("Source_File", "__source_file")
-    lat = load_folder(spark, root, "", glob, encoding="ISO-8859-1").drop("Dataset", "Attack_Category")
-    out = utf.where(~F.col("Source_File").isin(bad_names)).unionByName(
-        lat.where(F.col("Source_File").isin(bad_names)), allowMissingColumns=True)
-    return out.withColumnRenamed("Source_File", "__source_file")
+    text_cols = [c for c in utf.columns if c not in ("Source_File", "__source_path")]
+    bad = (utf.where(F.exists(F.array(*[F.col(SH.q(c)) for c in text_cols]), lambda v: F.instr(v, "\ufffd") > 0))
+           .select("__source_path").distinct())
+    paths = [r["__source_path"] for r in bad.collect()]       # whole paths of files: metadata-sized
+    if paths:
+        # only those files are read again; a file of the same name elsewhere keeps its text
+        lat = load_folder(spark, root, "", glob, encoding="ISO-8859-1", files=paths, keep_path=True).drop("Dataset", "Attack_Category")
+        utf = utf.join(bad, "__source_path", "left_anti").unionByName(lat, allowMissingColumns=True)
+    return utf.drop("__source_path").withColumnRenamed("Source_File", "__source_file")
 
 
 def load_enterprise(spark: SparkSession, root: str, cfg: DatasetConfig | None = None) -> DataFrame:

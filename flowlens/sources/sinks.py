@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.fit import Params
+from .csv import path_exists
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -39,14 +40,10 @@ def load_contract(spark: SparkSession, path: str) -> dict:
     """SNK-04: reload the contract, scaler params and label index."""
     doc = json.loads(spark.read.text(f"{path}/contract").first()["value"])
     doc["scaler_params"] = Params.from_df(spark.read.json(f"{path}/scaler"))
-    try:
-        doc["imputer_params"] = Params.from_df(spark.read.json(f"{path}/imputer"))
-    except Exception:  # noqa: BLE001 - optional part
-        doc["imputer_params"] = None
-    try:
-        doc["label_index"] = spark.read.json(f"{path}/label_index")
-    except Exception:  # noqa: BLE001
-        doc["label_index"] = None
+    # optional parts: absent is fine, a damaged one raises
+    has = lambda part: path_exists(spark, f"{path}/{part}")
+    doc["imputer_params"] = Params.from_df(spark.read.json(f"{path}/imputer")) if has("imputer") else None
+    doc["label_index"] = spark.read.json(f"{path}/label_index") if has("label_index") else None
     return doc
 
 
@@ -82,14 +79,18 @@ def append_predictions(scored: DataFrame, path: str, model_version: str, label:
 
 
 def write_records_and_alerts(batch: DataFrame, records_path: str, alerts_path: str, id_col: str, label: str,
-                             category: str = "category", severity: str = "severity") -> None:
-    """SNK-08: one persisted batch -> traffic records table + alerts for attack rows."""
+                             category: str = "category", severity: str = "severity", epoch: int | None = None) -> None:
+    """SNK-08: one persisted batch -> traffic records table + alerts for attack rows.
+
+    With an ``epoch`` both writes go to the partition ``epoch=<n>`` and replace it, so a batch that
+    is replayed, or failed between the two writes, leaves the same rows as one that ran once."""
     from ..operators.score import alerts_from_records
     b = batch.persist()
     try:
-        b.write.mode("append").parquet(records_path)
+        mode, part = ("append", "") if epoch is None else ("overwrite", f"/epoch={epoch}")
+        b.write.mode(mode).parquet(records_path + part)
         alerts_from_records(b, id_col, label, category, severity).withColumn("created_at", F.current_timestamp()) \
-            .write.mode("append").parquet(alerts_path)
+            .write.mode(mode).parquet(alerts_path + part)
     finally:
         b.unpersist()
 

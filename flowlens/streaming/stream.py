@@ -3,7 +3,7 @@
 Fitted parameters are frozen into literal expressions before the query starts
 (a stream cannot be started without them); each micro-batch is then a plain
 projection, so streaming output equals batch output row for row. Cross-batch
-duplicates are removed with ``dropDuplicatesWithinWatermark`` on a row hash.
+duplicates are removed with ``dropDuplicatesWithinWatermark`` keyed on the row values.
 """
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def fitted_transform(imputer: FIT.Params | None, scaler: FIT.Params | None, labe
                      keep: Sequence[str] = (), benign: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """STR-02: refuse to build a streaming transform before the pipeline is fitted."""
     if scaler is None:
-        raise RuntimeError("Pipeline must be fitted before process_stream can be called.")
+        raise RuntimeError("fit a scaler first: a stream is transformed with parameters that are already known")
 
     def run(df: DataFrame) -> DataFrame:
         out = df
@@ -41,14 +41,20 @@ def fitted_transform(imputer: FIT.Params | None, scaler: FIT.Params | None, labe
     return run
 
 
-def dedup_stream(df: DataFrame, ts: str, columns: Sequence[str], delay: str = "10 minutes") -> DataFrame:
-    """STR-05: cross-batch duplicate removal bounded by a watermark.
+def dedup_stream(df: DataFrame, ts: str | None, columns: Sequence[str], delay: str = "10 minutes") -> DataFrame:
+    """STR-05: cross-batch duplicate removal with state bounded by a watermark.
 
     The state is keyed on the row values themselves (not a hash), so two distinct
     rows can never collide and be dropped.
+
+    ``ts`` None: the watermark follows the time of arrival. No row is ever late, so none is lost;
+    a duplicate is removed if it arrives within ``delay`` of the first one, and passes after it.
+    With an event-time column, rows more than ``delay`` behind the newest event are late and
+    dropped by Spark even if they are distinct: use it only for sources in order of time.
     """
     # watermarks need TIMESTAMP (local time zone); parquet without zone info reads as TIMESTAMP_NTZ
-    d = df.withColumn("__event_time", F.col(SH.q(ts)).cast("timestamp"))
+    when = F.current_timestamp() if ts is None else F.col(SH.q(ts)).cast("timestamp")
+    d = df.withColumn("__event_time", when)
     return d.withWatermark("__event_time", delay).dropDuplicatesWithinWatermark(list(columns)).drop("__event_time")
 
 
@@ -60,20 +66,14 @@ def to_table(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", av
     return w.start()
 
 
-def to_memory(df: DataFrame, name: str, checkpoint: str, available_now: bool = True):
-    """Run to completion into an in-memory table on the driver (small tests / notebooks only)."""
-    w = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append")
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
-
-
 def score_and_persist(df: DataFrame, records_path: str, alerts_path: str, checkpoint: str, id_col: str, label: str,
                       category: str = "category", severity: str = "severity", available_now: bool = True):
-    """STR-03 / SNK-08: each micro-batch writes the records table and the alerts table."""
+    """STR-03 / SNK-08: each micro-batch writes its part of the records and alerts tables; a batch
+    that runs again after a failure replaces its own part."""
     from ..sources.sinks import write_records_and_alerts
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        write_records_and_alerts(batch, records_path, alerts_path, id_col, label, category, severity)
+        write_records_and_alerts(batch, records_path, alerts_path, id_col, label, category, severity, epoch=epoch_id)
     w = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()

@@ -81,7 +81,8 @@ def test_stream_requires_fit_and_matches_batch(spark, tmp_dir):
     p = FIT.fit_scaler(df, ["x"], "minmax")
     t = STR.fitted_transform(None, p, "label", benign=["n"])
     src = STR.file_stream(spark, f"{tmp_dir}/in", df.schema, max_files_per_trigger=1)
-    q = STR.to_memory(t(src), "stream_vs_batch", f"{tmp_dir}/ckpt")
+    q = (t(src).writeStream.format("memory").queryName("stream_vs_batch").option("checkpointLocation", f"{tmp_dir}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.table("stream_vs_batch").collect())
     exp = sorted(tuple(r) for r in t(df).collect())
@@ -115,3 +116,47 @@ def test_payload_checks(spark):
     assert got["[1, 2]"][0] == "payload is not a JSON object"
     assert got["{}"][0] == "features must not be empty"
     assert C.PAYLOAD_MAX_KEYS == 500
+
+
+def test_a_replayed_batch_replaces_its_rows(spark, tmp_dir):
+    from flowlens.sources.sinks import write_records_and_alerts
+    batch = spark.createDataFrame([(i, "error" if i % 2 else "ok", "DoS" if i % 2 else "Normal", "high") for i in range(10)],
+                                  "id long, label string, category string, severity string")
+    for epoch in (0, 1, 1, 0):
+        write_records_and_alerts(batch, f"{tmp_dir}/r", f"{tmp_dir}/a", "id", "label", epoch=epoch)
+    assert spark.read.parquet(f"{tmp_dir}/r").count() == 20 and spark.read.parquet(f"{tmp_dir}/a").count() == 10
+
+
+def test_stream_dedup_keeps_rows_out_of_time_order(spark, tmp_dir):
+    import datetime
+    day = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=n)
+    for k, rows in enumerate(([(day(900), 1)], [(day(0), 2), (day(900), 1)], [(day(400), 3), (day(0), 2)], [(day(1), 4)])):
+        spark.createDataFrame(rows, "ts timestamp, x long").coalesce(1).write.parquet(f"{tmp_dir}/in/{k}")
+    src = spark.readStream.schema("ts timestamp, x long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/in")
+    q = STR.to_table(STR.dedup_stream(src, None, ["ts", "x"], "1 hour"), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    q.awaitTermination()
+    assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_dir):
+    from flowlens.plans.catalog_misc import table_stream
+    df = spark.range(100)
+    df.repartition(3).write.parquet(f"{tmp_dir}/many.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_dir}/tmp")
+    import glob
+    import shutil
+    shutil.copy(glob.glob(f"{tmp_dir}/tmp/part-*.parquet")[0], f"{tmp_dir}/one.parquet")
+    for name in ("many", "one"):
+        q = STR.to_table(table_stream(spark, tmp_dir, name, df.schema), f"{tmp_dir}/out-{name}", f"{tmp_dir}/ck-{name}")
+        q.awaitTermination()
+        assert spark.read.parquet(f"{tmp_dir}/out-{name}").count() == 100
+
+
+def test_latin_files_are_told_by_path_not_by_name(spark, tmp_dir):
+    import os
+    from flowlens.sources.csv import read_all_csv
+    for folder, encoding in (("A", "utf-8"), ("B", "latin-1")):
+        os.makedirs(f"{tmp_dir}/{folder}")
+        with open(f"{tmp_dir}/{folder}/p.csv", "w", encoding=encoding) as f:
+            f.write("name,x\ncaf\u00e9,1\n")
+    assert [r["name"] for r in read_all_csv(spark, tmp_dir).collect()] == ["caf\u00e9"] * 2

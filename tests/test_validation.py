@@ -1,6 +1,8 @@
 """Validation, cleaning and split on the planted flow fixtures (reference known answers)."""
 from __future__ import annotations
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -91,7 +93,6 @@ def test_split_floors_per_class(spark):
 
 
 def test_split_ratio_check(spark):
-    import pytest
     with pytest.raises(ValueError):
         SPL.stratified_split(to_spark(spark, enterprise_frame()), "Label", ["Label"], 0.6, 0.2, 0.3)
 
@@ -100,7 +101,9 @@ def test_prepare_pipeline_minmax_bounds_and_cleaning(spark):
     pdf = dirty_frame()
     pdf["row_id"] = list(range(100)) + list(range(20, 25))      # duplicates share their key
     df = to_spark(spark, pdf)
-    p = PREP.fit_transform(df, C.ENTERPRISE, ["row_id"], "minmax", "median")
+    with pytest.raises(ValueError, match="do not pass validation"):
+        PREP.fit_transform(df, C.ENTERPRISE, ["row_id"], "minmax", "median")
+    p = PREP.fit_transform(df, C.ENTERPRISE, ["row_id"], "minmax", "median", strict=False)
     out = p.data
     assert "Fwd PSH Flags" in p.dropped_constant
     mins = out.agg(*[F.min(F.col(f"`{f}`")).alias(f"a{i}") for i, f in enumerate(p.features)]).first()

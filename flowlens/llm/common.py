@@ -31,6 +31,11 @@ def fold(column: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def row_hash(*columns: Column) -> Column:
+    """64-bit hash that tells nulls apart (Spark's skips them)."""
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text (null: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{BLANKS}]+"), lambda w: w != "")
@@ -50,14 +55,14 @@ def flag_maybe_in(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits:
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     one = F.lit(1).cast("long")
     filled = (keys.select(place(F.col(name)).alias("p"))
-              .groupBy(F.shiftright("p", 6).alias("_word"))
-              .agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("_bits")))
-    row = df.withColumn("_place", place(key))
-    hit = F.call_function("shiftright", F.col("_bits"), F.col("_place").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
-    return (row.join(F.broadcast(filled), F.shiftright("_place", 6) == F.col("_word"), "left")
-            .withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_place", "_word", "_bits"))
+              .groupBy(F.shiftright("p", 6).alias("_flag_word"))
+              .agg(F.bit_or(F.call_function("shiftleft", one, F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("_flag_bits")))
+    row = df.withColumn("_flag_place", place(key))
+    hit = F.call_function("shiftright", F.col("_flag_bits"), F.col("_flag_place").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
+    return (row.join(F.broadcast(filled), F.shiftright("_flag_place", 6) == F.col("_flag_word"), "left")
+            .withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_flag_place", "_flag_word", "_flag_bits"))
 
 
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 23) -> DataFrame:
     """Rows whose key may be among ``keys``: all wanted rows and some others; an exact join follows."""
-    return flag_maybe_in(df, key, keys, "_maybe", bits).where("_maybe").drop("_maybe")
+    return flag_maybe_in(df, key, keys, "_flag_maybe", bits).where("_flag_maybe").drop("_flag_maybe")

@@ -251,7 +251,7 @@ def _predict(langs, net, text_at, letter_at, keep):
 def identify(docs: DataFrame, langs: list[str], net, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default) of every row with lang_pred and score."""
     own = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_lang_id_letter")
     rows = docs.select(*(F.col(c) for c in own), *([] if text_col in own else [F.col(text_col)]), letter)
     schema = StructType([*(docs.schema[c] for c in own), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(_predict(langs, net, rows.columns.index(text_col), len(rows.columns) - 1, list(range(len(own)))), schema)

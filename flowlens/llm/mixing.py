@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, row_hash, written
 
 ROWS_PER_RANGE = 4096  # rows of a source that one running sum covers
 
@@ -124,7 +124,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: int
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                                 word_count(F.col(text_col)).alias("size"), order.alias("order"),
-                                F.xxhash64(*docs.columns).alias("row_key")), "mix-sizes")
+                                row_hash(*map(F.col, docs.columns)).alias("row_key")), "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")),
                       weights, share, max_epochs)
     sources = written(sources.withColumn("quota", F.round("target").cast("long")), "mix-sources")
@@ -178,9 +178,9 @@ def mixed(docs: DataFrame, draws: DataFrame) -> DataFrame:
 
     The last document of a quota stays if at least half of it is taken. Rows that are equal in
     all columns share their draws."""
-    key = "_row_key"
-    own = docs.withColumn(key, F.xxhash64(*docs.columns)).dropDuplicates([key])
+    key = "_mix_row_key"
+    own = docs.withColumn(key, row_hash(*map(F.col, docs.columns))).dropDuplicates([key])
     whole = (draws.where("2 * take >= size").groupBy(F.col("row_key").alias(key))
-             .agg(F.collect_list(F.struct("shard", "place")).alias("_draws")))
-    rows = own.join(whole, key).withColumn("_draw", F.explode("_draws"))
-    return rows.repartitionByRange("_draw").sortWithinPartitions("_draw").select(*docs.columns)
+             .agg(F.collect_list(F.struct("shard", "place")).alias("_mix_draws")))
+    rows = own.join(whole, key).withColumn("_mix_draw", F.explode("_mix_draws"))
+    return rows.repartitionByRange("_mix_draw").sortWithinPartitions("_mix_draw").select(*docs.columns)

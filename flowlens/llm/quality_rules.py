@@ -99,8 +99,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_
 
 def judge(docs: DataFrame, text_col: str = "text", base=BASE, rules=RULES) -> DataFrame:
     """Adds the measures, base_failed, failed_rules (names) and kept."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "failed_rules", "kept", "_measures")]
-    counted = docs.select(*own, measures(F.col(text_col)).alias("_measures")).select(*own, "_measures.*")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "failed_rules", "kept", "_rule_measures")]
+    counted = docs.select(*own, measures(F.col(text_col)).alias("_rule_measures")).select(*own, "_rule_measures.*")
     failed = lambda rs: F.filter(F.array(*(F.when(~r.passes(), F.lit(r.name)) for r in rs)), lambda x: x.isNotNull())
     return (counted.withColumn("base_failed", F.size(failed(base)) > 0)
             .withColumn("failed_rules", failed((*base, *rules)))

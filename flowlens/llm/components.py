@@ -32,11 +32,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         total = now
 
 
-def cross_pairs(entries: DataFrame, components: DataFrame, done: DataFrame, may) -> DataFrame:
+def cross_pairs(entries: DataFrame, components: DataFrame, done: DataFrame, may, sums=(), enough=None) -> DataFrame:
     """Distinct pairs (a < b) of nodes of one list (``key``) in different components that ``may``
     link and are not in ``done``.
 
-    ``entries``: key, node and what ``may(x, y)`` (a condition on two aliases) needs. In each list
+    ``entries``: key, node and what ``may(x, y)`` (a condition on two aliases) needs. ``sums`` aggregate
+    over the lists that a pair shares, ``enough`` filters pairs by them. In each list
     the nodes outside the largest component meet all nodes of other components, so a large
     connected group costs one pass, not its square."""
     columns = [c for c in entries.columns if c != "node"]
@@ -49,5 +50,7 @@ def cross_pairs(entries: DataFrame, components: DataFrame, done: DataFrame, may)
     x, y = inside.where("component <> largest").alias("x"), inside.alias("y")
     once = (F.col("x.node") < F.col("y.node")) | (F.col("y.component") == F.col("y.largest"))
     found = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & may("x", "y"))
-             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+             .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    found = found.agg(*(sums or [F.count("*")]))
+    found = (enough(found) if enough else found).select("a", "b")
     return written(found.join(done, ["a", "b"], "left_anti"), "pairs")

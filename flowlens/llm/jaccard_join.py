@@ -11,13 +11,15 @@ n - ceil(t n) + c of each (prefix filter).
 * The boundary is the one of least cost: subsets enumerated against list entries times
   ``SCAN_COST``, summed over the sizes of all sets.
 
-Neither may emit all pairs of a group of copies. First each list, in order of size, pairs
-neighbours only; their exact verification gives components. Then, in lists that hold more than
-one component, the sets outside the list's largest component are paired with all sets of other
-components. A link whose ends were already connected cannot change a component, and every other
-pair that could link is verified, so components are exact. Equal sets are one node from the start.
+Neither may emit all pairs of a group of copies. First each list, in order of node, pairs
+neighbours only; those that share many lists are verified exactly and give components. Then, in
+lists that hold more than one component, the sets outside the list's largest component are paired
+with all sets of other components; pairs that share fewer prefix tokens than a link must are
+dropped, the others verified. A link whose ends were already connected cannot change a component,
+and every other pair that could link is verified, so components are exact. Equal sets are one
+node from the start.
 
-Lists are dealt by range of (token, size, node): a token of very many sets spreads over tasks.
+Lists are dealt by range of (token, node): a token of very many sets spreads over tasks.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own
 component; fewer words than a shingle form one shingle; repeated rows and ids share a
@@ -35,7 +37,7 @@ from .common import maybe_in, written
 from .components import connected_components, cross_pairs
 
 HEAVY = 1 << 18        # tokens in the heavy table, which travels with the tasks (2 MB)
-LOCAL_HEAVY = 8        # documents of one batch that share a token before the batch reports it
+LOCAL_HEAVY = 3        # documents of one batch that share a token before the batch reports it
 SCAN_COST = 3          # a list entry scanned, in subsets enumerated
 BOUNDARIES = (0, 4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 64)
 SUBSET = 2
@@ -68,29 +70,34 @@ def fingerprints(sets) -> np.ndarray:
         return out.view(np.int64)
 
 
-def _each_slice(batches, width):
-    """(ids, node ids, sets) of bounded slices."""
-    for batch in batches:
-        data, offsets = K.text_buffers(batch.column(1))
-        for a, b in K.slices(offsets):
-            sets = doc_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
-            yield batch.column(0).slice(a, b - a), fingerprints(sets), sets
+def _each_slice(batch, width):
+    """(ids, node ids, sets) of bounded slices of a batch."""
+    data, offsets = K.text_buffers(batch.column(1))
+    for a, b in K.slices(offsets):
+        sets = doc_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width)
+        yield batch.column(0).slice(a, b - a), fingerprints(sets), sets
 
 
 def _members(width):
-    """kind 0: doc_id, node, n of every document; kind 1: token, documents of a slice that share it."""
+    """kind 0: doc_id, node, n of every document; kind 1: token, documents of a batch that share it."""
     def run(batches):
-        for ids, nodes, sets in _each_slice(batches, width):
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), ids, pa.array(nodes), pa.array(sizes)],
-                                             names=["kind", "doc_id", "node", "n"])
-            _, once = np.unique(nodes, return_index=True)  # copies count once
-            token, seen = np.unique(np.concatenate([sets[i] for i in once] or [np.zeros(0, np.uint64)]), return_counts=True)
-            many = seen >= LOCAL_HEAVY
-            k = int(many.sum())
+        for batch in batches:
+            seen, tokens = set(), []
+            for ids, nodes, sets in _each_slice(batch, width):
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), ids, pa.array(nodes), pa.array(sizes)],
+                                                 names=["kind", "doc_id", "node", "n"])
+                for node, s in zip(nodes.tolist(), sets):
+                    if node not in seen:  # copies count once
+                        seen.add(node)
+                        tokens.append(s)
+            # a batch has a bounded number of bytes, so have its tokens
+            token, many = np.unique(np.concatenate(tokens or [np.zeros(0, np.uint64)]), return_counts=True)
+            often = many >= LOCAL_HEAVY
+            k = int(often.sum())
             if k:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(token[many].view(np.int64)),
-                                                  pa.array(seen[many].astype(np.int64))], names=["kind", "doc_id", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(token[often].view(np.int64)),
+                                                  pa.array(many[often].astype(np.int64))], names=["kind", "doc_id", "node", "n"])
     return run
 
 
@@ -127,7 +134,7 @@ def set_keys(s: np.ndarray, percent: int, boundary: int):
 
 def _postings(width, percent, boundary, heavy):
     def run(batches):
-        for _, nodes, sets in _each_slice(batches, width):
+        for _, nodes, sets in (x for batch in batches for x in _each_slice(batch, width)):
             keys, node, n, place, c = [], [], [], [], []
             seen = set()
             for v, s in zip(nodes.tolist(), sets):
@@ -141,7 +148,6 @@ def _postings(width, percent, boundary, heavy):
                 node.append(np.full(len(k), v, np.int64))
                 n.append(np.full(len(k), len(s), np.int64))
             if keys:
-                # size first, so that the order within a list is by size
                 pack = (np.concatenate(n) << 32) | (np.concatenate(place) << 2) | np.concatenate(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(node)), pa.array(pack)],
                                                  names=["key", "node", "pack"])
@@ -191,7 +197,7 @@ def _neighbours(percent):
 
 def _sets(width):
     def run(batches):
-        for _, nodes, sets in _each_slice(batches, width):
+        for _, nodes, sets in (x for batch in batches for x in _each_slice(batch, width)):
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
     return run
 
@@ -210,6 +216,15 @@ def _verify(percent):
     return run
 
 
+def least_shared(low, high, percent: int):
+    """How many tokens two linked sets of these sizes share within their prefixes, at least.
+
+    Of the prefix that ends first, at most its size less the needed overlap is missing from the
+    other set, and what both have lies in both prefixes."""
+    overlap = F.ceil((low + high) * percent / (100 + percent))
+    return overlap - F.ceil(high * percent / 100) + 1
+
+
 def choose_boundary(nodes: DataFrame, percent: int) -> int:
     """The size up to which subsets are enumerated, of least cost over all sets."""
     n = F.col("n")
@@ -236,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     boundary = choose_boundary(nodes, percent)
 
     entries = rows.mapInArrow(_postings(width, percent, boundary, heavy), "key long, node long, pack long")
-    lists = written(entries.repartitionByRange("key", "pack", "node").sortWithinPartitions("key", "pack", "node")
+    lists = written(entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node", "pack")
                     .mapInArrow(_neighbours(percent), "key long, node long, pack long, before long"), "jaccard-lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -250,19 +265,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return (pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "tokens_a", "tokens_b")
                 .mapInArrow(_verify(percent), "a long, b long"))
 
-    chain = written(lists.where("before is not null").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct(), "jaccard-pairs")
+    # neighbours that share many lists come first; whom this leaves out meets below
+    size = F.shiftright("pack", 32)
+    chain = (lists.where("before is not null").groupBy(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"))
+             .agg(F.count("*").alias("shared"), F.max(F.col("pack").bitwiseAND(F.lit(3))).alias("c"), F.max(size).alias("n"))
+             .where((F.col("c") == SUBSET) | (F.col("shared") * 2 >= least_shared(F.col("n"), F.col("n"), percent))))
+    chain = written(chain.select("a", "b"), "jaccard-pairs")
     links = written(verified(chain), "jaccard-links")
     first = connected_components(links)
 
     # lists with several components: everything outside a list's largest component against the others
-    def may(x, y):
-        n = lambda t: F.shiftright(f"{t}.pack", 32)
-        rest = lambda t: n(t) - F.shiftright(F.col(f"{t}.pack").bitwiseAND(F.lit(0xFFFFFFFF)), 2) - 1
-        c = lambda t: F.col(f"{t}.pack").bitwiseAND(F.lit(3))
-        return ((c(x) == c(y)) & (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y)))
-                & ((100 + percent) * (c(x) + F.least(rest(x), rest(y))) >= percent * (n(x) + n(y))))
-
-    cross = cross_pairs(lists.select("key", "node", "pack"), first, chain, may)
+    n = lambda t: F.shiftright(f"{t}.pack", 32)
+    c = lambda t: F.col(f"{t}.pack").bitwiseAND(F.lit(3))
+    rest = lambda t: n(t) - F.shiftright(F.col(f"{t}.pack").bitwiseAND(F.lit(0xFFFFFFFF)), 2) - 1
+    low, high = F.least(n("x"), n("y")), F.greatest(n("x"), n("y"))
+    can = (100 + percent) * (c("x") + F.least(rest("x"), rest("y"))) >= percent * (low + high)
+
+    def enough(shared: DataFrame) -> DataFrame:
+        few = F.col("tokens") >= least_shared(F.col("low"), F.col("high"), percent)
+        return shared.where(F.col("can_subset") | (F.col("can_token") & few & (F.col("high") > boundary)))
+
+    cross = cross_pairs(lists.select("key", "node", "pack"), first, chain,
+                        lambda x, y: (c(x) == c(y)) & (100 * low >= percent * high),
+                        [F.sum((c("x") == 1).cast("long")).alias("tokens"), F.max(can & (c("x") == 1)).alias("can_token"),
+                         F.max(can & (c("x") == SUBSET)).alias("can_subset"), F.max(low).alias("low"), F.max(high).alias("high")], enough)
     more = written(verified(cross), "jaccard-links")
     final = connected_components(links.union(more))
 
@@ -279,6 +305,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
     Of rows equal in id and text one stays."""
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs[id_col] == drop["_drop"], "left_anti")
-    return kept.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).select(*docs.columns)
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_jaccard_drop")).distinct()
+    kept = docs.join(drop, docs[id_col] == drop["_jaccard_drop"], "left_anti")
+    return kept.withColumn("_jaccard_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_jaccard_text"]).select(*docs.columns)

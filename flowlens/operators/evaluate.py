@@ -18,11 +18,20 @@ from .ranking import mann_whitney_auc, prefix_sums
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """EVAL-01: observed (truth, prediction, count) cells (zero cells omitted)."""
+    """EVAL-01: observed (truth, prediction, count) cells; ``confusion_grid`` adds the zero cells."""
     return df.groupBy(col(truth).cast("string").alias("truth"), col(pred).cast("string").alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("count"))
 
 
+def confusion_grid(cm: DataFrame) -> DataFrame:
+    """EVAL-01: every (truth, prediction) pair over labels U predictions, zero cells included.
+
+    The grid is (labels x labels) cells, which is the matrix itself."""
+    labels = cm.select(F.col("truth").alias("label")).union(cm.select("prediction")).where(F.col("label").isNotNull()).distinct()
+    cells = labels.select(F.col("label").alias("truth")).crossJoin(labels.select(F.col("label").alias("prediction")))
+    return cells.join(cm, ["truth", "prediction"], "left").na.fill(0, ["count"])
+
+
 def per_class(cm: DataFrame, digits: int | None = 4) -> DataFrame:
     """EVAL-06: precision / recall / F1 / support per class over labels U predictions (zero division -> 0)."""
     tp = cm.where(F.col("truth") == F.col("prediction")).select(F.col("truth").alias("cls"), F.col("count").alias("tp"))

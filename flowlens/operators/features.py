@@ -110,17 +110,19 @@ def single_feature_separability(df: DataFrame, features: Sequence[str], label: s
 
 
 def perturbation_flip_rates(df: DataFrame, features: Sequence[str], key: Sequence[str],
-                            score: Callable[[DataFrame], DataFrame], epsilon: float = 0.5, n_samples: int = 200,
+                            score: Callable[[DataFrame], DataFrame], epsilon: float = 0.5, n_samples: int | None = None,
                             seed: int = 42, prediction: str = "prediction") -> DataFrame:
     """FS-06: % of predictions that flip when one feature moves by epsilon x (sample) std.
 
-    n sampled rows (hash order) x F features -> one exploded frame -> one scoring
-    pass. The exploded frame is n_samples x F rows (parameter-bounded).
+    All rows (or, if asked for, n rows in hash order) x F features -> one exploded frame -> one
+    scoring pass.
     ``score`` maps a frame with the feature columns to one with ``prediction``.
     """
     fs = list(features)
-    sample = df.withColumn("__h", hash_order(key, seed)).orderBy("__h", *[col(k) for k in key]).limit(n_samples) \
-        .drop("__h").withColumn("__rid", F.monotonically_increasing_id())
+    sample = df
+    if n_samples is not None:
+        sample = df.withColumn("__h", hash_order(key, seed)).orderBy("__h", *[col(k) for k in key]).limit(n_samples).drop("__h")
+    sample = sample.withColumn("__rid", F.monotonically_increasing_id())
     # reliable checkpoint in the shared folder: row ids stay fixed for both scoring passes
     sample = cut_lineage(sample)
     stds = sample.agg(*[F.stddev_samp(col(f)).alias(f) for f in fs]).first()

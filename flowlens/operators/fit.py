@@ -19,7 +19,6 @@ from ..functions.columns import col, finite, fractional, one_if_zero
 from .ranking import quantiles
 
 PARAMS_SCHEMA = "feature string, stat string, value double"
-BROADCAST_ROW_LIMIT = 1_000_000
 
 
 @dataclass
@@ -185,23 +184,16 @@ def fit_label_index(df: DataFrame, label: str) -> DataFrame:
     return rank_distinct(d, [], label, "idx")
 
 
-def sized_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast only after checking the row count; larger sides fall back to a shuffle join."""
-    n = small.count()
-    return F.broadcast(small) if n <= limit else small
-
-
-def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "y", checked: bool = True) -> DataFrame:
-    """FIT-09 transform: unseen labels -> -1."""
+def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "y") -> DataFrame:
+    """FIT-09 transform: unseen labels -> -1. Spark's own size threshold picks the join."""
     idx = index.select(col(label).alias("__lbl"), F.col("idx").alias("__idx"))
-    idx = sized_broadcast(idx) if checked else idx
     j = df.join(idx, col(label).cast("string") == F.col("__lbl"), "left")
     return j.withColumn(out, F.coalesce(F.col("__idx"), F.lit(-1))).drop("__lbl", "__idx")
 
 
 def decode_index(df: DataFrame, index: DataFrame, label: str, idx_col: str, out: str) -> DataFrame:
     """FIT-11: index -> class name, fallback ``Class_i``."""
-    m = sized_broadcast(index.select(F.col("idx").alias("__i"), col(label).alias("__name")))
+    m = index.select(F.col("idx").alias("__i"), col(label).alias("__name"))
     j = df.join(m, F.col(idx_col) == F.col("__i"), "left")
     return j.withColumn(out, F.coalesce(F.col("__name"), F.concat(F.lit("Class_"), F.col(idx_col).cast("string")))) \
         .drop("__i", "__name")
@@ -224,7 +216,6 @@ def apply_category_encoder(df: DataFrame, encoder: DataFrame, columns: Sequence[
     out = df
     for c in columns:
         e = encoder.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-        e = sized_broadcast(e)
         out = out.join(e, col(c).cast("string") == F.col("__v"), "left") \
             .withColumn(c, F.coalesce(F.col("__code"), F.lit(-1))).drop("__v", "__code")
     return out

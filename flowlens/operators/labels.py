@@ -72,12 +72,9 @@ def taxonomy_for_dataset(tax: DataFrame, dataset: str) -> DataFrame:
     return tax.where(F.col("dataset") == dataset).orderBy("category", "raw_label")
 
 
-def consolidate_with(df: DataFrame, label: str, mapping: DataFrame, out: str | None = None,
-                     max_rows: int = 1_000_000) -> DataFrame:
-    """TAX-03 with a data-derived map (raw_label, family): broadcast only after a size check."""
-    from .fit import sized_broadcast
+def consolidate_with(df: DataFrame, label: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
+    """TAX-03 with a data-derived map (raw_label, family); Spark's own size threshold picks the join."""
     m = mapping.select(F.col("raw_label").alias("__raw"), F.col("family").alias("__fam"))
-    m = sized_broadcast(m, max_rows)
     trimmed = F.trim(col(label).cast("string"))
     j = df.join(m, trimmed == F.col("__raw"), "left")
     return j.withColumn(out or label, F.coalesce(F.col("__fam"), trimmed)).drop("__raw", "__fam")

@@ -39,11 +39,11 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 42):
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian", **kw)
     if name == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1e-4), **kw)
+        return OneVsRest(classifier=LinearSVC(maxIter=1000, regParam=1e-4), **kw)
     if name == "gradient_boosting":
         return OneVsRest(classifier=GBTClassifier(maxIter=50, maxDepth=5, seed=seed, cacheNodeIds=True), **kw)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 64, 32, n_classes], seed=seed, maxIter=200, **kw)
+        return MultilayerPerceptronClassifier(layers=[n_features, 64, 32, n_classes], seed=seed, maxIter=300, **kw)
     raise ValueError(f"Unknown model '{name}'. Available: {DEFAULT_MODELS + EXTENDED_MODELS}")
 
 

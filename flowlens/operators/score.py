@@ -51,10 +51,10 @@ def reconstruction_error(df: DataFrame, vec: str, centroids: DataFrame, by: Sequ
                          out: str = "recon_error") -> DataFrame:
     """SCR-02: per-row MSE between the vector and its reconstruction (centroid).
 
-    The centroid table is (#groups x d) numbers and broadcast.
+    The centroid table is (#groups x d) numbers; Spark's own size threshold picks the join.
     """
     if by:
-        j = df.join(F.broadcast(centroids), list(by), "left")
+        j = df.join(centroids, list(by), "left")
     else:
         c = centroids.first()["centroid"]          # one vector of d numbers (dimension-bounded)
         j = df.withColumn("centroid", F.array(*[F.lit(float(x)) for x in c]))

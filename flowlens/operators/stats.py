@@ -21,7 +21,7 @@ def class_distribution(df: DataFrame, label: str, digits: int = 3) -> DataFrame:
     """
     g = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("count"))
     tot = F.sum("count").over(Window.partitionBy())
-    return g.select(col(label), "count", F.round(100.0 * F.col("count") / tot, digits).alias("percent"))
+    return g.select(col(label), "count", F.round(100.0 * F.col("count") / tot, digits).alias("percent")).orderBy(F.desc("count"), col(label))
 
 
 def value_counts(df: DataFrame, column: str, out: str = "count") -> DataFrame:
@@ -99,7 +99,7 @@ def redundant_pairs(corr: DataFrame, threshold: float = 0.95, digits: int = 4) -
 def histogram(df: DataFrame, column: str, bins: int = 40, clip_p: float = 0.99, method: str = "exact") -> DataFrame:
     """AGG-07: equal-width histogram over [min, p99] (values above p99 dropped).
 
-    Returns (bin, lo, hi, count); the right edge is inclusive like numpy.
+    Returns (bin, lo, hi, count) for every bin; the right edge is inclusive like numpy.
     """
     clean = df.select(finite(col(column)).alias("v"))
     hi = quantiles(clean, ["v"], [clip_p], method=method).first()["q"]
@@ -107,7 +107,9 @@ def histogram(df: DataFrame, column: str, bins: int = 40, clip_p: float = 0.99,
     kept = clean.where((F.col("v") >= lo) & (F.col("v") <= hi))
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    return (kept.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    found = kept.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (every.join(found, "bin", "left").na.fill(0, ["count"])
             .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count"))
 

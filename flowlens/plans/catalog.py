@@ -272,8 +272,8 @@ WITH {FLOWS_SQL},
 c AS (SELECT {fin('l_extendedprice')} AS v FROM flows_all),
 b AS (SELECT min(v) AS lo, quantile_cont(v, 0.99) AS hi FROM c),
 w AS (SELECT lo, hi, (hi - lo) / 40 AS width FROM b)
-SELECT CAST(least(floor((v - lo) / width), 39) AS INTEGER) AS bin, count(*) AS count
-FROM c, w WHERE v >= lo AND v <= hi GROUP BY 1
+SELECT CAST(i AS INTEGER) AS bin, count(v) AS count FROM range(40) r(i)
+LEFT JOIN (SELECT v, least(floor((v - lo) / width), 39) AS b FROM c, w WHERE v >= lo AND v <= hi) ON b = i GROUP BY 1
 """)
 def price_histogram(spark: SparkSession, d: str) -> DataFrame:
     """AGG-07 + FLT-09: 40 equal-width bins after the p99 clip."""

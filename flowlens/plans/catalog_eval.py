@@ -46,10 +46,12 @@ def _cm(spark, d):
     return EV.confusion(rule_scored(spark, d), "truth", "prediction")
 
 
-@register("confusion_matrix", CM_SQL.replace("scored AS", "WITH scored AS", 1) + "\nSELECT truth, prediction, count FROM cm")
+@register("confusion_matrix", CM_SQL.replace("scored AS", "WITH scored AS", 1) + """, lab AS (SELECT truth AS l FROM cm UNION SELECT prediction FROM cm)
+SELECT a.l AS truth, b.l AS prediction, coalesce(count, 0) AS count
+FROM lab a CROSS JOIN lab b LEFT JOIN cm ON cm.truth = a.l AND cm.prediction = b.l""")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """EVAL-01 / JOIN-04: confusion cells from truth and prediction in the same row."""
-    return _cm(spark, d)
+    """EVAL-01: the full grid of truth and prediction, zero cells included."""
+    return EV.confusion_grid(_cm(spark, d))
 
 
 @register("per_class_metrics", "WITH " + PC_SQL + """

@@ -219,16 +219,17 @@ def prepare_category_stack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anova_sql(src: str, feats, label: str) -> str:
-    per = ", ".join(f"count({fin(f)}) AS n_{f}, sum({fin(f)}) AS s_{f}, sum({fin(f)} * {fin(f)}) AS ss_{f}" for f in feats)
+    per = ", ".join(f"count({fin(f)}) AS n_{f}, avg({fin(f)}) AS m_{f}, var_pop({fin(f)}) AS v_{f}" for f in feats)
     rows = " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, {i} AS position, CAST(n_{f} AS DOUBLE) AS n, s_{f} AS s, ss_{f} AS ss FROM a_per WHERE n_{f} > 0"
+        f"SELECT '{f}' AS feature, {i} AS position, CAST(n_{f} AS DOUBLE) AS n, m_{f} AS m, v_{f} AS v FROM a_per WHERE n_{f} > 0"
         for i, f in enumerate(feats))
     return f"""a_per AS (SELECT {label}, {per} FROM {src} WHERE {label} IS NOT NULL GROUP BY {label}),
 a_lng AS ({rows}),
-a_g AS (SELECT feature, position, sum(n) AS nn, count(*) AS k, sum(s) AS st, sum(ss) AS sst, sum(s * s / n) AS br
-      FROM a_lng GROUP BY feature, position),
+a_all AS (SELECT feature, sum(n * m) / sum(n) AS grand FROM a_lng GROUP BY feature),
+a_g AS (SELECT feature, position, sum(n) AS nn, count(*) AS k, sum(n * v) AS ssw, sum(n * (m - grand) * (m - grand)) AS ssb
+      FROM a_lng JOIN a_all USING (feature) GROUP BY feature, position),
 anova AS (SELECT feature, position,
-  CASE WHEN k > 1 THEN ((br - st * st / nn) / (k - 1)) / nullif((sst - br) / nullif(nn - k, 0), 0) END AS f_score FROM a_g)"""
+  CASE WHEN k > 1 THEN (ssb / (k - 1)) / nullif(ssw / nullif(nn - k, 0), 0) END AS f_score FROM a_g)"""
 
 
 @register("anova_topk", f"""

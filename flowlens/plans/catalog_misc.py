@@ -181,12 +181,12 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 @register("label_set_difference", """
 SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS label FROM customer
-WHERE CAST(c_nationkey AS VARCHAR) NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)
+WHERE CAST(c_nationkey AS VARCHAR) NOT IN (SELECT CAST(r_regionkey AS VARCHAR) FROM region)
 """)
 def label_set_difference(spark: SparkSession, d: str) -> DataFrame:
     """SET-04: catalogue values seen on one side only (left anti)."""
     c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("label"))
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("label"))
+    s = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("label"))
     return SH.label_difference(c, s, "label")
 
 
@@ -382,7 +382,7 @@ register("model_comparison")(model_comparison)
 
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
     """FS-02: random-forest importance ranking (4 dp)."""
-    return FS.rf_importance(table(spark, d, "lineitem"), FEATS, "l_returnflag", num_trees=20, max_depth=8)
+    return FS.rf_importance(table(spark, d, "lineitem"), FEATS, "l_returnflag")
 
 
 register("rf_importance")(rf_importance)
@@ -393,7 +393,7 @@ def perturbation_flips(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.models import ModelSuite
     li = table(spark, d, "lineitem")
     suite = ModelSuite(["decision_tree"]).fit(li, FEATS, "l_returnflag")
-    return FS.perturbation_flip_rates(li, FEATS, KEY, lambda x: suite.predict(x, "decision_tree"), 0.5, 200)
+    return FS.perturbation_flip_rates(li, FEATS, KEY, lambda x: suite.predict(x, "decision_tree"), 0.5)
 
 
 register("perturbation_flips")(perturbation_flips)

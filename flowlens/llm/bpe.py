@@ -40,11 +40,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def encoder(ranks: dict[bytes, int]):
-    import tiktoken
+def public_pattern() -> str:
     from public_tokenizers import PATTERN
 
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return PATTERN
+
+
+def encoder(ranks: dict[bytes, int], pattern: str | None = None):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern or public_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -112,10 +117,10 @@ def _cut_chunks(runs, chunk_bytes):
 PACK_SCHEMA = "chunk long, words binary, lengths binary, ids binary"
 
 
-def _encode_sorted(ranks):
+def _encode_sorted(ranks, pattern):
     """Words in order -> packed ids by chunk; a distinct word is encoded once."""
     def run(batches):
-        enc = encoder(ranks)
+        enc = encoder(ranks, pattern)
         chunk, place, word, ids = [], [], [], []
         last, last_ids = None, None
 
@@ -210,7 +215,7 @@ def _joined(docs: DataFrame, ranks: dict[bytes, int], id_col: str, text_col: str
     cut.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
     words = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    packs = (words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(ranks), PACK_SCHEMA)
+    packs = (words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(ranks, public_pattern()), PACK_SCHEMA)
              .repartition(buckets, "chunk")  # as the chunks are bucketed, which then stay where they are
              .groupBy("chunk").agg(F.collect_list(F.struct("words", "lengths", "ids")).alias("packs")))
     return (chunks.select("chunk", "ids", "counts", F.size("words").alias("n_words"), "ranks", "places")

@@ -12,8 +12,9 @@ n - ceil(t n) + c of each (prefix filter).
   ``SCAN_COST``, summed over the sizes of all sets.
 
 Neither may emit all pairs of a group of copies. First each list, in order of node, pairs
-neighbours only; those that share many lists are verified exactly and give components. Then, in
-lists that hold more than one component, the sets outside the list's largest component are paired
+neighbours, and every set with the list's hub; pairs that share many lists are verified exactly
+and give components. Sets that share many lists with a large component without a link to it are
+then compared with some of its members. At last, in lists that hold more than one component, the sets outside the list's largest component are paired
 with all sets of other components; pairs that share fewer prefix tokens than a link must are
 dropped, the others verified. A link whose ends were already connected cannot change a component,
 and every other pair that could link is verified, so components are exact. Equal sets are one
@@ -41,6 +42,7 @@ LOCAL_HEAVY = 3        # documents of one batch that share a token before the ba
 SCAN_COST = 3          # a list entry scanned, in subsets enumerated
 BOUNDARIES = (0, 4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 64)
 SUBSET = 2
+TURNS, MEMBERS = 1, 4  # rounds, and members of a large component that a set outside is compared with in each
 
 
 def needed(n, percent: int):
@@ -265,15 +267,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return (pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "tokens_a", "tokens_b")
                 .mapInArrow(_verify(percent), "a long, b long"))
 
-    # neighbours that share many lists come first; whom this leaves out meets below
     size = F.shiftright("pack", 32)
-    chain = (lists.where("before is not null").groupBy(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"))
-             .agg(F.count("*").alias("shared"), F.max(F.col("pack").bitwiseAND(F.lit(3))).alias("c"), F.max(size).alias("n"))
-             .where((F.col("c") == SUBSET) | (F.col("shared") * 2 >= least_shared(F.col("n"), F.col("n"), percent))))
-    chain = written(chain.select("a", "b"), "jaccard-pairs")
-    links = written(verified(chain), "jaccard-links")
+    kind = F.col("pack").bitwiseAND(F.lit(3))
+
+    def promising(found: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a table of shared lists that may well link; what this leaves out meets below."""
+        sums = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("c").alias("c"), F.max("n").alias("n"))
+        return sums.where((F.col("c") == SUBSET) | (F.col("shared") * 2 >= least_shared(F.col("n"), F.col("n"), percent))).select("a", "b")
+
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    chain = lists.where("before is not null").select(*ends("before", "node"), kind.alias("c"), size.alias("n"))
+    # the hub of a list: the set of which the largest share of keys is found elsewhere too (an unedited original)
+    full = F.max(size) - F.ceil(F.max(size) * percent / 100) + 1
+    weights = lists.groupBy("node").agg((F.count("*") / full).alias("weight"))
+    entries = written(lists.select("key", "node", "pack").distinct().join(weights, "node"), "jaccard-entries")
+    hubs = entries.groupBy("key").agg(F.max_by(F.struct("node", "pack"), F.struct("weight", "node")).alias("hub"))
+    star = (entries.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & (kind == F.col("hub.pack").bitwiseAND(F.lit(3))))
+            .select(*ends("node", "hub.node"), kind.alias("c"), F.greatest(size, F.shiftright("hub.pack", 32)).alias("n")))
+    done = written(promising(chain).union(promising(star)).distinct(), "jaccard-pairs")
+    links = written(verified(done), "jaccard-links")
     first = connected_components(links)
 
+    # sets that share many lists with a large component but have no link to it yet: some of its members
+    for turn in range(TURNS):
+        large = first.groupBy("component").agg(F.count("*").alias("members"), *(
+            F.min_by("node", F.xxhash64(F.lit(turn), F.lit(k), F.col("node"))).alias(f"m{k}") for k in range(MEMBERS))).where(F.col("members") >= 2 * MEMBERS)
+        placed = written(entries.select("key", "node", "pack").join(first, "node", "left")
+                         .withColumn("component", F.coalesce("component", "node")), "jaccard-placed")
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+        main = (parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"))
+                .where("parts > 1").join(large.select(F.col("component").alias("main")), "main", "left_semi").select("key", "main"))
+        outside = (placed.join(main, "key").where(F.col("component") != F.col("main"))
+                   .select(F.col("node").alias("a"), F.col("main").alias("b"), kind.alias("c"), size.alias("n")))
+        tries = promising(outside).withColumnRenamed("a", "node").withColumnRenamed("b", "component")
+        tries = tries.join(large, "component").select("node", F.explode(F.array_distinct(F.array(*(f"m{k}" for k in range(MEMBERS))))).alias("member"))
+        tries = written(tries.select(*ends("node", "member")).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not tries.head(1):
+            break
+        links = written(links.union(verified(tries)), "jaccard-links")
+        done = done.union(tries)
+        first = connected_components(links)
+
     # lists with several components: everything outside a list's largest component against the others
     n = lambda t: F.shiftright(f"{t}.pack", 32)
     c = lambda t: F.col(f"{t}.pack").bitwiseAND(F.lit(3))
@@ -285,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         few = F.col("tokens") >= least_shared(F.col("low"), F.col("high"), percent)
         return shared.where(F.col("can_subset") | (F.col("can_token") & few & (F.col("high") > boundary)))
 
-    cross = cross_pairs(lists.select("key", "node", "pack"), first, chain,
+    cross = cross_pairs(entries.select("key", "node", "pack"), first, done,
                         lambda x, y: (c(x) == c(y)) & (100 * low >= percent * high),
                         [F.sum((c("x") == 1).cast("long")).alias("tokens"), F.max(can & (c("x") == 1)).alias("can_token"),
                          F.max(can & (c("x") == SUBSET)).alias("can_subset"), F.max(low).alias("low"), F.max(high).alias("high")], enough)

@@ -151,7 +151,7 @@ def test_fuzzy_lines(spark):
     texts = sorted(set(normal.values()))
     sims = {t: simhash(t) for t in texts}
     links = [(a, b) for a in texts for b in texts if a < b and bin(sims[a] ^ sims[b]).count("1") <= 3
-             and edit_distance(a, b) <= int(0.1 * max(len(a), len(b)))]
+             and edit_distance(a.split(), b.split()) <= int(0.1 * max(len(a.split()), len(b.split())))]
     assert len(links) > 5
     group = classes(texts, links)
     first, want = {}, {}

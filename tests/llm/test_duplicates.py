@@ -170,3 +170,50 @@ def test_lines_of_odd_rows(spark, odd_docs):
     got = [((r.doc_id or 0), r.text if r.text is None else r.text[:12], r.n_removed) for r in rows.collect() if r.doc_id != 4]
     assert [g for g in got if g[0] == 1] == [(1, "four", 1), (1, "four", 1)]  # a null id comes first
     assert rows.count() == odd_docs.count() and line_dedup.dedup_lines(odd_docs.limit(0)).count() == 0
+
+
+def kept_lines(spark, lines):
+    """Lines (one document each) of which something stays, and those that stay by brute force over edit distances of characters."""
+    texts = sorted(set(lines))
+    links = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1:]
+             if abs(len(a) - len(b)) <= max(len(a), len(b)) // 10 and edit_distance(a, b) <= max(len(a), len(b)) // 10]
+    group = classes(texts, links)
+    first = {}
+    for line in lines:
+        first.setdefault(group[line], line)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    return sorted(r.text for r in line_dedup.dedup_lines(docs).collect() if r.text), sorted(first.values()), links
+
+
+def test_short_lines_are_compared_by_characters(spark):
+    rng = random.Random(11)
+    lines = ["page 12 of 30", "page 13 of 30", "copyright acme inc", "copyright acmf inc", "一二三四五六七八九十甲乙丙丁戊己庚辛壬癸", "一二三四五六七八九十甲乙丙丁戊己庚辛壬申", "abc", "abd"]
+    for _ in range(40):
+        base = sentence(rng, rng.randrange(1, 9))[:59]
+        for _ in range(3):
+            chars = list(base)
+            for _ in range(rng.randrange(0, len(base) // 10 + 2)):
+                at = rng.randrange(len(chars))
+                rng.choice((lambda: chars.pop(at), lambda: chars.insert(at, "q"), lambda: chars.__setitem__(at, "w")))()
+            lines.append(" ".join("".join(chars).split()))
+    lines = [x for x in lines if 0 < len(x) < line_dedup.SHORT]
+    got, want, links = kept_lines(spark, lines)
+    assert got == want and len(links) > 40
+
+
+def test_lines_with_edited_words_are_found(spark):
+    rng = random.Random(12)
+    lines = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(rng.choice((12, 15, 25, 45, 80)))]
+        lines.append(" ".join(words))
+        for share in (0, 0.05):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+                copy[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in copy[at])
+            lines.append(" ".join(copy))
+    for size in (70, 150):  # a script without blanks
+        line = [chr(0x4E00 + rng.randrange(20_000)) for _ in range(size)]
+        lines += ["".join(line), "".join(line[:30] + ["字"] + line[31:])]
+    got, want, links = kept_lines(spark, lines)
+    assert got == want and len(links) > 80

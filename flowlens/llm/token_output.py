@@ -51,12 +51,16 @@ def byte_symbols() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Ids of pre-tokens from the tokenizers library, each distinct one encoded once while remembered."""
+    """Ids of pre-tokens from the tokenizers library, each distinct one encoded once while remembered.
+
+    Texts that hold the string of an added token go to the library whole."""
 
     def __init__(self, spec: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(spec).model
+        self.library = Tokenizer.from_str(spec)
+        self.model = self.library.model
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.symbols = byte_symbols()
         self.end = [end_id]
         self.known: dict[bytes, list[int]] = {}
@@ -80,7 +84,27 @@ class WordEncoder:
         n = lens[codes]
         ids = flat[K.gather_runs(n, (np.cumsum(lens) - lens)[codes])]
         ends = np.cumsum(n)[np.cumsum(counts + 1) - 1]
-        return ids, np.diff(ends, prepend=0)
+        whole = self.with_added(data, offsets)
+        if not whole:
+            return ids, np.diff(ends, prepend=0)
+        parts = np.split(ids, ends[:-1])
+        for d in whole:
+            text = data[offsets[d]:offsets[d + 1]].tobytes().decode()
+            parts[d] = np.array(self.library.encode(text, add_special_tokens=False).ids + self.end, "<u4")
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def with_added(self, data, offsets) -> list[int]:
+        """Documents that hold the string of an added token."""
+        raw, found = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token, int(offsets[0]))
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[d + 1]
+                if inside:
+                    found.add(d)
+                at = raw.find(token, int(offsets[d + 1]) if inside else at + 1)
+        return sorted(found)
 
 
 class FrameWriter:
@@ -208,8 +232,8 @@ def write_tokens(docs: DataFrame, spec: str, end_id: int, folder: str | None = N
                  text_col: str = "text", level: int = 3) -> DataFrame:
     """Write the files; returns one row per file with its first id's place among all ids.
 
-    ``spec`` is the text of a byte-level tokenizer's JSON file; ids come from its model for each
-    pre-token, strings of special tokens in a text are ordinary text."""
+    ``spec`` is the text of a byte-level tokenizer's JSON file; ids are those that the library gives for the
+    whole text without special tokens around it: the string of an added token in a text is that token."""
     folder = folder or scratch_path(docs.sparkSession, "token-shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")  # many rows of one id are dealt to several shards

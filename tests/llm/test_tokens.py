@@ -101,3 +101,17 @@ def test_readers_open_only_the_frames_they_need(tmp_path):
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_output.read_documents(str(path), {0})
     assert (token_output.read_documents(str(path), {4})[4] == docs[4]).all()
+
+
+def test_added_tokens_have_the_ids_of_the_library(spark):
+    parts = ["<|endoftext|>", "<|endoftext", "|>", *PARTS]
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(300)] + [(300, "a <|endoftext|> b"), (301, "<|endof"), (302, "text|>")]
+    shards = token_output.write_tokens(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spec(), 2)
+    lib, at = Tokenizer.from_str(spec()), 0
+    rows = sorted(token_output.read_tokens(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == list(range(303))
+    for r, (_, text) in zip(rows, texts):
+        ids = lib.encode(text, add_special_tokens=False).ids + [2]
+        assert (r.start, np.frombuffer(r.ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, quality_fm, quality_rules, token_output, url_filter
+from . import bpe, collocations, embedding_dedup, jaccard_join, lang_id, line_dedup, mixing, prefix_trie, quality_fm, quality_rules, token_counts, token_output, url_filter
 from .common import fold, read_table
 
 QUERIES: dict = {}
@@ -179,3 +179,71 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return url_filter.verdicts(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_collocations", r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+    FROM documents)),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) AS t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+covers AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+  FROM best b LEFT JOIN covers c ON c.lang = b.lang AND c.phrase = b.phrase WHERE c.most IS NULL OR 100 * c.most < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 collocations of two to five words of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=100, cover_percent=100, top=2000)
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it has more than 2,048 tokens."""
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), spec)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op13_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(printf('%016X', strlen(role)) || role || text), strlen(text)) AS ts
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+c AS (
+  SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x % 2)))), 4294967295::BIGINT) % 9 AS h FROM t),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(l.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM c LEFT JOIN t l ON l.conv_id = c.conv_id - c.conv_id % 5),
+nodes AS (
+  SELECT ts[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CASE WHEN len(ts) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r) GROUP BY ts[1:d], d),
+kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.path[n.depth].text) END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path),
+sums AS (
+  SELECT path[1:d] AS path, d AS depth, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own) GROUP BY path[1:d], d)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN sums s ON s.depth = o.depth AND s.path = o.path LEFT JOIN nodes p ON p.depth = o.depth - 1 AND p.path = o.path[1:o.depth - 1]
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))

@@ -7,18 +7,20 @@ predictions come back as the original class names. Binary-only MLlib learners
 """
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, finite
 from . import evaluate as EV
+from .boosting import BoostedTrees, fit_boosting
 
 DEFAULT_MODELS = ("random_forest", "decision_tree", "logistic_regression", "naive_bayes")
 EXTENDED_MODELS = ("svm", "gradient_boosting", "mlp")
@@ -40,23 +42,21 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 42):
         return NaiveBayes(modelType="gaussian", **kw)
     if name == "svm":
         return OneVsRest(classifier=LinearSVC(maxIter=1000, regParam=1e-4), **kw)
-    if name == "gradient_boosting":
-        return OneVsRest(classifier=GBTClassifier(maxIter=50, maxDepth=5, seed=seed, cacheNodeIds=True), **kw)
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 64, 32, n_classes], seed=seed, maxIter=300, **kw)
-    raise ValueError(f"Unknown model '{name}'. Available: {DEFAULT_MODELS + EXTENDED_MODELS}")
+    raise ValueError(f"no estimator is called {name!r}; there are {', '.join(DEFAULT_MODELS + EXTENDED_MODELS)}")
 
 
 class ModelSuite:
     """MOD-08: default or extended set; fit one / all; predict; predict_proba."""
 
-    def __init__(self, names: Sequence[str] | None = None, extended: bool = False, seed: int = 42):
+    def __init__(self, names: Sequence[str] | None = None, extended: bool = False, seed: int = 42, boosting: dict | None = None):
         names = list(names) if names else list(DEFAULT_MODELS) + (list(EXTENDED_MODELS) if extended else [])
         for n in names:
             if n not in DEFAULT_MODELS + EXTENDED_MODELS:
-                raise ValueError(f"Unknown model '{n}'")
-        self.names, self.seed = names, seed
-        self.fitted: dict[str, PipelineModel] = {}
+                raise ValueError(f"{n!r} is none of the models of a suite")
+        self.names, self.seed, self.boosting = names, seed, {"rounds": 50, "depth": 5, "rate": 0.1, **(boosting or {})}
+        self.fitted: dict[str, PipelineModel | BoostedTrees] = {}
 
     def _pipeline(self, name: str, features: Sequence[str], label: str, n_classes: int) -> Pipeline:
         assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
@@ -68,6 +68,9 @@ class ModelSuite:
         n_classes = clean.select(label).distinct().count()   # class count: one small aggregate
         self.features, self.label = list(features), label
         for n in names or self.names:
+            if n == "gradient_boosting":
+                self.fitted[n] = fit_boosting(clean, features, label, **self.boosting)
+                continue
             m = self._pipeline(n, features, label, n_classes).fit(clean)
             labels = m.stages[1].labels
             self.fitted[n] = PipelineModel(stages=m.stages + [IndexToString(inputCol="pred_idx", outputCol="prediction",
@@ -76,32 +79,65 @@ class ModelSuite:
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
         if name not in self.fitted:
-            raise RuntimeError(f"Model '{name}' is not fitted")
+            raise RuntimeError(f"fit {name!r} before it predicts")
         prepared = df.select("*", *[F.coalesce(finite(col(f)), F.lit(0.0)).alias(f"__f_{i}")
                                     for i, f in enumerate(self.features)])
         for i, f in enumerate(self.features):
             prepared = prepared.withColumn(f, F.col(f"__f_{i}")).drop(f"__f_{i}")
         if self.label not in prepared.columns:
             prepared = prepared.withColumn(self.label, F.lit(None).cast("string"))
-        return self.fitted[name].transform(prepared)
+        model = self.fitted[name]
+        return model.predict(prepared) if isinstance(model, BoostedTrees) else model.transform(prepared)
 
     def predict_proba(self, df: DataFrame, name: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
         out = self.predict(df, name)
         if "probability" not in out.columns:
-            raise RuntimeError(f"Model '{name}' has no probability output")
-        return out.withColumn("probability", vector_to_array("probability"))
+            raise RuntimeError(f"{name!r} gives classes but no probabilities")
+        return out if isinstance(self.fitted[name], BoostedTrees) else out.withColumn("probability", vector_to_array("probability"))
+
+    def save(self, name: str, path: str, scores: dict | None = None) -> None:
+        """MOD-09: one fitted model with its features, label and (if given) scores; replaces what is there."""
+        model = self.fitted[name]
+        if isinstance(model, BoostedTrees):
+            SparkSession.active().createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+        else:
+            model.write().overwrite().save(f"{path}/model")
+        about = {"name": name, "features": self.features, "label": self.label, "scores": scores or {}}
+        # written last: a folder without it holds no whole model
+        SparkSession.active().createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(path: str) -> tuple[str, "ModelSuite", dict]:
+        """MOD-09: (name, a suite that holds the saved model, its scores)."""
+        spark = SparkSession.active()
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        suite = ModelSuite([about["name"]])
+        suite.features, suite.label = about["features"], about["label"]
+        suite.fitted[about["name"]] = (BoostedTrees.from_json(spark.read.text(f"{path}/model", wholetext=True).first()["value"]) if about["name"] == "gradient_boosting"
+                                       else PipelineModel.load(f"{path}/model"))
+        return about["name"], suite, about["scores"]
 
 
 def train_and_select(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                     names: Sequence[str] = DEFAULT_MODELS, seed: int = 42) -> tuple[DataFrame, str, ModelSuite]:
-    """MOD-09: fit every candidate, macro-F1 on the test split, pick the best."""
-    suite = ModelSuite(names, seed=seed).fit(train.persist(), features, label)
+                     names: Sequence[str] = DEFAULT_MODELS, seed: int = 42, save_to: str | None = None,
+                     boosting: dict | None = None) -> tuple[DataFrame, str, ModelSuite]:
+    """MOD-09: fit every candidate, macro-F1 on the test split, pick the best, save it if asked to.
+
+    Returns (scores by model, name of the best, suite). The scores are computed here, once."""
+    train = train.persist()
+    try:
+        suite = ModelSuite(names, seed=seed, boosting=boosting).fit(train, features, label)
+    finally:
+        train.unpersist()
     rows = None
     for n in suite.names:
         pred = suite.predict(test, n)
         m = EV.summary(EV.confusion(pred, label, "prediction")).select(F.lit(n).alias("model"), "accuracy", "f1_macro",
                                                                       "precision_macro", "recall_macro")
         rows = m if rows is None else rows.unionByName(m)
-    best = rows.agg(F.max_by("model", F.struct("f1_macro", "model")).alias("best")).first()["best"]
-    return rows, best, suite
+    found = rows.collect()  # one row a model
+    best = max(found, key=lambda r: (r["f1_macro"], r["model"]))
+    if save_to:
+        suite.save(best["model"], save_to, {k: v for k, v in best.asDict().items() if k != "model"})
+    return train.sparkSession.createDataFrame(found, rows.schema), best["model"], suite

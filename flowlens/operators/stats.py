@@ -5,6 +5,8 @@ group-level shares use the (class-sized) grouped result, never the raw rows.
 """
 from __future__ import annotations
 
+import math
+
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -59,34 +61,16 @@ def describe(df: DataFrame, features: Sequence[str], method: str = "exact") -> D
     return long.join(qw, "feature", "left").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def correlation_pairs(df: DataFrame, features: Sequence[str], chunk: int = 400) -> DataFrame:
-    """AGG-05: pairwise-complete Pearson r for every feature pair (long: a, b, r).
+def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """AGG-05: pairwise-complete Pearson r for every feature pair (long: feature_a, feature_b, r).
 
     Each pair is masked to rows where both sides are finite; a constant side gives
-    NULL (guarded division), never an error. Pairs are packed into aggregates of
-    ``chunk`` pairs so generated code stays small; each aggregate is one scan with
-    map-side partial aggregation.
-    """
+    NULL, never an error. All pairs come from one scan (masked Gram sums, operators/gram.py)."""
+    from .gram import gram
     fs = list(features)
-    clean = df.select(*[finite(col(f)).alias(f) for f in fs])
-    pairs = [(a, b) for i, a in enumerate(fs) for b in fs[i + 1:]]
-    out = None
-    for s in range(0, len(pairs), chunk):
-        part = pairs[s:s + chunk]
-        aggs = []
-        for k, (a, b) in enumerate(part):
-            both = col(a).isNotNull() & col(b).isNotNull()
-            x = F.when(both, col(a))
-            y = F.when(both, col(b))
-            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{k}"))
-        one = clean.agg(*aggs)
-        long = one.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{k}").alias("r"))
-            for k, (a, b) in enumerate(part)])).alias("p")).select("p.*")
-        out = long if out is None else out.unionByName(long)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
-    return out
+    r = gram(df, fs).correlation()
+    rows = [(a, b, None if math.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(fs) for j, b in enumerate(fs) if i < j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
 
 
 def redundant_pairs(corr: DataFrame, threshold: float = 0.95, digits: int = 4) -> DataFrame:

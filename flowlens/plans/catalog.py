@@ -244,6 +244,7 @@ def describe_flows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = [(a, b) for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]
+_COPY_PAIRS = [(a, b) for i, a in enumerate([*FEATS, "price_copy", "quantity_copy"]) for b in [*FEATS, "price_copy", "quantity_copy"][i + 1:]]
 _CORR_SQL = f"""
 WITH {FLOWS_SQL},
 c AS (SELECT {', '.join(f'{fin(f)} AS {f}' for f in FEATS)} FROM flows_all),
@@ -261,10 +262,17 @@ def correlation_pairs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("feature_a", "feature_b", r("r").alias("r"))
 
 
-@register("redundant_pairs", _CORR_SQL + "\nSELECT feature_a, feature_b, round(abs(r), 4) AS abs_r FROM p WHERE abs(r) >= 0.5")
+@register("redundant_pairs", f"""
+WITH {FLOWS_SQL},
+c AS (SELECT {', '.join(f'{fin(f)} AS {f}' for f in FEATS)}, 2 * {fin('l_extendedprice')} + 1 AS price_copy, -{fin('l_quantity')} AS quantity_copy FROM flows_all),
+p AS ({' UNION ALL '.join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END) AS r FROM c"
+    for a, b in _COPY_PAIRS)})
+SELECT feature_a, feature_b, round(abs(r), 4) AS abs_r FROM p WHERE abs(r) >= 0.95""")
 def redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-06 (threshold 0.5 so the stand-in table has a pair)."""
-    return AGG.redundant_pairs(AGG.correlation_pairs(dirty_flows(spark, d), FEATS), 0.5)
+    """AGG-06: two features are scaled copies of others, so the report has pairs to find."""
+    flows = dirty_flows(spark, d).withColumn("price_copy", 2 * F.col("l_extendedprice") + 1).withColumn("quantity_copy", -F.col("l_quantity"))
+    return AGG.redundant_pairs(AGG.correlation_pairs(flows, [*FEATS, "price_copy", "quantity_copy"]), 0.95)
 
 
 @register("price_histogram", f"""

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable
+from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,3 +99,11 @@ def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, FRACTIONAL_TYPES) else col(f.name)
                        for f in df.schema.fields])
+
+
+def row_hashes(df: DataFrame, columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row that tell NULLs apart, and take -0.0 for 0.0 and all NaNs for one, as grouping does."""
+    kinds = dict(df.dtypes)
+    value = [F.when(F.isnan(col(c)), F.lit(float("nan"))).otherwise(col(c) + F.lit(0.0)) if kinds[c] in ("double", "float") else col(c) for c in columns]
+    nulls = F.concat(F.lit(""), *[F.when(col(c).isNull(), "1").otherwise("0") for c in columns])
+    return F.xxhash64(nulls, *value), F.xxhash64(F.lit("second"), *value, nulls)

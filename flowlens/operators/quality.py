@@ -2,10 +2,9 @@
 
 Design rule: one aggregate for all columns, then ``unpivot`` the single row into
 a long findings table ``(check, column, count, ratio, severity, message)``.
-The checks that need row identity (duplicates, NaN / inf / constraint counts,
-constant columns) run over a single ``groupBy(all columns)`` of the data, so the
-table is shuffled once and every count is recovered from the grouped
-multiplicities; the label catalogue check reads only the label column.
+Counts of columns are map-side aggregates that shuffle one row a task. Duplicates are counted over
+128-bit row hashes: two longs a row are shuffled, never the rows; the label catalogue check reads
+only the label column.
 """
 from __future__ import annotations
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DatasetConfig
-from ..functions.columns import col, finite, fractional, is_inf, numeric_columns
+from ..functions.columns import col, finite, fractional, is_inf, numeric_columns, row_hashes
 from .ranking import quantiles
 
 FINDINGS_SCHEMA = "check string, column string, count bigint, ratio double, severity string, message string"
@@ -40,19 +39,21 @@ def schema_findings(df: DataFrame, cfg: DatasetConfig) -> list[tuple]:
     return out
 
 
-def grouped_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with multiplicity ``__cnt`` (NaN groups with NaN, as in pandas)."""
-    return df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__cnt"))
+def duplicate_counts(df: DataFrame) -> DataFrame:
+    """One row: ``rows`` and ``duplicate_rows`` (rows beyond the first of each distinct one; NaN equals NaN, as in pandas).
 
+    Rows are told apart by 128-bit hashes of all columns; only the hashes are shuffled."""
+    a, b = row_hashes(df, df.columns)
+    counts = df.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_rows"))
 
-def column_findings(df: DataFrame, cfg: DatasetConfig, max_nan_ratio: float = 0.05,
-                    grouped: DataFrame | None = None) -> DataFrame:
-    """VAL-03, VAL-04, VAL-05, VAL-07 in one aggregate over the grouped rows."""
-    g = grouped if grouped is not None else grouped_rows(df)
-    w = F.col("__cnt")
+
+def column_findings(df: DataFrame, cfg: DatasetConfig, max_nan_ratio: float = 0.05) -> DataFrame:
+    """VAL-03, VAL-05, VAL-07 in one map-side aggregate, VAL-04 over row hashes."""
+    w = F.lit(1)
     numeric = numeric_columns(df)
     nonneg = [c for c in cfg.non_negative if c in df.columns]
-    aggs = [F.sum(w).alias("__n"), F.sum(w - 1).alias("__dup")]
+    aggs = [F.count(F.lit(1)).alias("__n")]
     for c in numeric:
         x = col(c)
         if fractional(df, c):
@@ -68,13 +69,13 @@ def column_findings(df: DataFrame, cfg: DatasetConfig, max_nan_ratio: float = 0.
     for c in nonneg:
         x = col(c).cast("double")
         aggs.append(F.sum(F.when(x < 0, w).otherwise(0)).alias(f"neg|{c}"))
-    one = g.agg(*aggs)
+    one = df.agg(*aggs)
     metric_cols = [c for c in one.columns if "|" in c]
-    long = one.select("__n", "__dup", F.explode(F.array(*[
+    long = one.select("__n", F.explode(F.array(*[
         F.struct(F.lit(m.split("|", 1)[0]).alias("kind"), F.lit(m.split("|", 1)[1]).alias("column"),
                  F.col(q_(m)).cast("bigint").alias("count")) for m in metric_cols])).alias("m")) if metric_cols else \
-        one.select("__n", "__dup", F.explode(F.array(F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("column"), F.lit(0).cast("bigint").alias("count")))).alias("m"))
-    long = long.select("__n", "__dup", "m.kind", "m.column", "m.count")
+        one.select("__n", F.explode(F.array(F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("column"), F.lit(0).cast("bigint").alias("count")))).alias("m"))
+    long = long.select("__n", "m.kind", "m.column", "m.count")
     ratio = F.try_divide(F.col("count").cast("double"), F.col("__n"))
     per_col = long.where(F.col("count") > 0).select(
         F.when(F.col("kind") == "inf", "infinite_values").when(F.col("kind") == "nan", "missing_values")
@@ -90,10 +91,10 @@ def column_findings(df: DataFrame, cfg: DatasetConfig, max_nan_ratio: float = 0.
         .when(F.col("kind") == "nan", "missing values present")
         .when(F.col("kind") == "neg", "negative values in a non-negative column")
         .otherwise("constant column").alias("message"))
-    dup = one.where(F.col("__dup") > 0).select(
+    dup = duplicate_counts(df).where(F.col("duplicate_rows") > 0).select(
         F.lit("duplicate_rows").alias("check"), F.lit(None).cast("string").alias("column"),
-        F.col("__dup").cast("bigint").alias("count"),
-        F.try_divide(F.col("__dup").cast("double"), F.col("__n")).alias("ratio"),
+        F.col("duplicate_rows").cast("bigint").alias("count"),
+        F.try_divide(F.col("duplicate_rows").cast("double"), F.col("rows")).alias("ratio"),
         F.lit("warning").alias("severity"), F.lit("duplicate records").alias("message"))
     return per_col.unionByName(dup)
 
@@ -102,12 +103,11 @@ def q_(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def label_findings(df: DataFrame, cfg: DatasetConfig, grouped: DataFrame | None = None) -> DataFrame:
+def label_findings(df: DataFrame, cfg: DatasetConfig) -> DataFrame:
     """VAL-06: labels outside the catalogue (warning), with row counts.
 
     Counted straight from the table: the scan reads only the label column and the
-    shuffle carries one partial count per label per task (the all-column grouping is
-    left to the duplicate check, so it is shuffled once)."""
+    shuffle carries one partial count per label per task."""
     if cfg.label not in df.columns:
         return _rows(df.sparkSession, [])
     spark = df.sparkSession
@@ -124,10 +124,8 @@ def validate(df: DataFrame, cfg: DatasetConfig, max_nan_ratio: float = 0.05) ->
     """VAL-08: full findings table (schema + data checks) as one lazy plan."""
     spark = df.sparkSession
     df = df.toDF(*[c.strip() for c in df.columns])
-    g = grouped_rows(df)
     parts = _rows(spark, schema_findings(df, cfg))
-    return (parts.unionByName(column_findings(df, cfg, max_nan_ratio, g))
-            .unionByName(label_findings(df, cfg, g)))
+    return parts.unionByName(column_findings(df, cfg, max_nan_ratio)).unionByName(label_findings(df, cfg))
 
 
 def summarize(findings: DataFrame, df: DataFrame, cfg: DatasetConfig) -> DataFrame:
@@ -209,13 +207,12 @@ def quick_profile(df: DataFrame) -> DataFrame:
     miss = [F.when(col(c).isNull() | (F.isnan(col(c)) if c in frac else F.lit(False)), 1).otherwise(0)
             for c in df.columns]
     infs = [F.when(is_inf(col(c)), 1).otherwise(0) for c in frac]
-    g = grouped_rows(df)
-    per_row_missing = sum(miss[1:], miss[0]) if miss else F.lit(0)
-    per_row_inf = sum(infs[1:], infs[0]) if infs else F.lit(0)
-    # recompute missing / inf on grouped rows weighted by multiplicity (one shuffle total)
-    prof = g.agg(F.sum("__cnt").alias("rows"), F.sum(F.col("__cnt") - 1).alias("duplicate_rows"),
-                 F.sum(per_row_missing * F.col("__cnt")).alias("missing_cells"),
-                 F.sum(per_row_inf * F.col("__cnt")).alias("infinite_cells"))
+    cells = df.agg(F.sum(sum(miss[1:], miss[0]) if miss else F.lit(0)).alias("missing_cells"), F.sum(sum(infs[1:], infs[0]) if infs else F.lit(0)).alias("infinite_cells"))
+    # two one-row aggregates folded by union and max (no join)
+    none = lambda c: F.lit(None).cast("bigint").alias(c)
+    both = (duplicate_counts(df).select(F.col("rows").cast("bigint"), F.col("duplicate_rows").cast("bigint"), none("missing_cells"), none("infinite_cells"))
+            .union(cells.select(none("rows"), none("duplicate_rows"), F.col("missing_cells").cast("bigint"), F.col("infinite_cells").cast("bigint"))))
+    prof = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return prof.select(F.col("rows").cast("bigint"), F.lit(len(df.columns)).alias("columns"),
                        F.col("duplicate_rows").cast("bigint"), F.col("missing_cells").cast("bigint"),
                        F.col("infinite_cells").cast("bigint"),

@@ -16,6 +16,7 @@ group is a group like any other.
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Iterable, Sequence
 
@@ -77,7 +78,7 @@ def rank_distinct(df: DataFrame, keys: Sequence[str], value: str, out: str = "co
     keys = list(keys)
     d = df.select(*[col(k) for k in keys], col(value)).where(col(value).isNotNull()).distinct()
     r = prefix_sums(d.withColumn("__one", F.lit(1)), keys, value, ["__one"])
-    return r.select(*[col(k) for k in keys], col(value), F.col("__one_below").cast("int").alias(out))
+    return r.select(*[col(k) for k in keys], col(value), F.col("__one_below").cast("bigint").alias(out))
 
 
 def long_values(df: DataFrame, features: Sequence[str], value_name: str = "value",
@@ -122,15 +123,95 @@ def exact_quantiles_long(long_df: DataFrame, keys: Sequence[str], probs: Iterabl
                       (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias("q"))
 
 
+def select_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], accuracy: int = 2_000,
+                     most: int = 200_000) -> list[tuple[str, float, float]]:
+    """Exact quantiles (linear interpolation) of many columns by rank selection: (feature, p, q) rows.
+
+    No value is shuffled but the last few. A round is one aggregate over all columns: sketches give each wanted rank a bracket
+    of values, and exact counts below and inside the brackets check it (a bracket that misses its rank is opened on that side).
+    Brackets shrink by a factor of about ``accuracy`` / 5 a round, until together they hold at most ``most`` rows; those are grouped by value and
+    the ranks are read off. A bracket that ties keep from shrinking is left to the prefix scan."""
+    fs, ps = list(features), [float(p) for p in probs]
+    values = df.select(*[col(f).cast("double").alias(f"x{i}") for i, f in enumerate(fs)])
+    lowest, highest = float("-inf"), float("inf")
+    inside = lambda i, a, b: (F.col(f"x{i}") >= F.lit(a)) & (F.col(f"x{i}") <= F.lit(b))
+    margin = 2.5 / accuracy
+
+    def sketched(wanted):
+        """(i, a, b, low share, high share) -> values at the shares among the values of [a, b], one aggregate for all."""
+        row = values.agg(*[F.percentile_approx(F.when(inside(i, a, b), F.col(f"x{i}")), [min(1.0, max(0.0, u)), min(1.0, max(0.0, v))], accuracy).alias(f"s{k}")
+                           for k, (i, a, b, u, v) in enumerate(wanted)]).first()
+        return [(a if u <= 0 else row[f"s{k}"][0], b if v >= 1 else row[f"s{k}"][1]) for k, (i, a, b, u, v) in enumerate(wanted)]
+
+    sizes = values.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(fs))], *[
+        F.percentile_approx(f"x{i}", [max(0.0, min(1.0, p + s * margin)) for p in ps for s in (-1, 1)], accuracy).alias(f"s{i}") for i in range(len(fs))]).first()
+    ranks: dict[tuple[int, float], tuple[int, int, float]] = {}
+    bracket: dict[tuple[int, float], tuple[float, float]] = {}
+    for i in range(len(fs)):
+        n = sizes[f"n{i}"]
+        for j, p in enumerate(ps) if n else ():
+            h = (n - 1) * p
+            ranks[i, p] = math.floor(h), math.ceil(h), h - math.floor(h)
+            a, b = sizes[f"s{i}"][2 * j:2 * j + 2]
+            bracket[i, p] = (lowest if p - margin <= 0 else a, highest if p + margin >= 1 else b)
+    found: dict[tuple[int, float], float] = {}
+    tied: set[tuple[int, float]] = set()
+    while True:
+        open_ = [k for k in ranks if k not in found and k not in tied]
+        if not open_:
+            break
+        row = values.agg(*[e for k, (i, p) in enumerate(open_) for e in (
+            F.count(F.when(F.col(f"x{i}") < F.lit(bracket[i, p][0]), 1)).alias(f"below{k}"), F.count(F.when(inside(i, *bracket[i, p]), 1)).alias(f"in{k}"))]).first()
+        counted, settled = {}, True
+        for k, key in enumerate(open_):
+            below, size, (lo, hi, _), (a, b) = row[f"below{k}"], row[f"in{k}"], ranks[key], bracket[key]
+            counted[key] = below, size
+            if below > lo or below + size <= hi:
+                bracket[key] = (lowest if below > lo else a, highest if below + size <= hi else b)
+                settled = False
+            elif a == b:
+                found[key] = a
+        if not settled:
+            continue
+        open_ = [k for k in open_ if k not in found]
+        if sum(counted[k][1] for k in open_) <= most:
+            break
+        wide = [k for k in open_ if counted[k][1] > most // max(1, len(open_))]
+        shares = [(k[0], *bracket[k], (ranks[k][0] - counted[k][0]) / counted[k][1] - margin, (ranks[k][1] - counted[k][0] + 1) / counted[k][1] + margin) for k in wide]
+        for k, new in zip(wide, sketched(shares)):
+            if new == bracket[k]:
+                tied.add(k)
+            bracket[k] = new
+    open_ = [k for k in ranks if k not in found and k not in tied]
+    if open_:
+        entry = [F.when(inside(i, *bracket[i, p]), F.struct(F.lit(k).alias("k"), F.col(f"x{i}").alias("v"))) for k, (i, p) in enumerate(open_)]
+        held = values.select(F.explode(F.array_compact(F.array(*entry))).alias("e")).groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("c")).collect()  # at most ``most`` rows
+        for k, key in enumerate(open_):
+            lo, hi, part = ranks[key]
+            at, picked = counted[key][0], {}
+            for v, c in sorted((r["v"], r["c"]) for r in held if r["k"] == k):
+                for want in (lo, hi):
+                    if at <= want < at + c:
+                        picked[want] = v
+                at += c
+            found[key] = picked[lo] + (picked[hi] - picked[lo]) * part
+    for i, p in tied:
+        rest = long_values(df, [fs[i]])
+        found[i, p] = exact_quantiles_long(rest, ["feature"], [p]).first()["q"]
+    return [(fs[i], p, q) for (i, p), q in found.items()]
+
+
 def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], method: str = "exact",
               by: Sequence[str] = ()) -> DataFrame:
     """Per-feature quantiles -> long (by..., feature, p, q).
 
-    method: ``exact`` (prefix scan, same numbers as SQL percentile), ``builtin`` (Spark
+    method: ``exact`` (rank selection; by groups the prefix scan; same numbers as SQL percentile), ``builtin`` (Spark
     ``percentile``: one hash map of distinct values per group in the final task - only for
     bounded cardinality), ``approx`` (``percentile_approx`` sketch).
     """
     by = list(by)
+    if method == "exact" and not by:
+        return df.sparkSession.createDataFrame(select_quantiles(df, features, probs), "feature string, p double, q double")
     long_df = long_values(df, features, extra=by)
     if method == "exact":
         return exact_quantiles_long(long_df, by + ["feature"], probs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import arrays as A
 from ..functions.columns import col, finite
-from .ranking import exact_quantiles_long, long_values
+from .ranking import long_values, select_quantiles
 
 
 def prediction_confidence(df: DataFrame, prob: str, classes: Sequence[str] | None = None,
@@ -68,9 +68,8 @@ def anomaly_score(err: Column, threshold: float) -> Column:
 
 def calibrate_threshold(df: DataFrame, err: str, p: float = 0.99) -> float:
     """SCR-04 / AGG-08: exact p-th percentile of the error on (benign) rows -> scalar."""
-    long = df.select(F.lit("err").alias("feature"), finite(col(err)).alias("value")).where(F.col("value").isNotNull())
-    r = exact_quantiles_long(long, ["feature"], [p]).first()
-    return float(r["q"]) if r else 0.0
+    got = select_quantiles(df.select(finite(col(err)).alias("err")), ["err"], [p])
+    return float(got[0][2]) if got else 0.0
 
 
 def hybrid_label(pred: Column, score: Column, threshold: float = 0.70) -> Column:

@@ -8,8 +8,12 @@ from ..operators import gram as GR
 from ..operators import neighbors as NB
 from ..operators import pairing as PA
 from ..operators import score as SCR
+from ..operators import labels as TAX
+from ..session import scratch_path
+from ..sources import snapshots as SN
+from ..streaming import exact as EX
 from .registry import FEATS, KEY, r, register
-from .tables import table
+from .tables import EVENTS_TAXONOMY, EVENTS_TAXONOMY_SQL, FLOWS_SQL, dirty_flows, table
 
 # --------------------------------------------------------------------------- JOIN-04
 
@@ -151,3 +155,62 @@ def axes_anomaly(spark: SparkSession, d: str) -> DataFrame:
     return _errors_by_label(emb, GR.fit_axes(emb.where("label = 0"), "embedding", 12))
 
 
+
+
+# --------------------------------------------------------------------------- STR-05, SNK-08, SRC-10
+
+@register("exact_stream_dedup", f"""
+WITH {FLOWS_SQL}
+SELECT l_returnflag, count(*) AS rows, count(DISTINCT l_orderkey) AS orders FROM (SELECT DISTINCT * FROM flows_all) GROUP BY l_returnflag
+""")
+def exact_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05: a stream of files that repeat each other's rows, in no order of time, keeps every distinct row once."""
+    df = dirty_flows(spark, d)
+    path = scratch_path(spark, "repeated-files")
+    df.where("l_linenumber % 2 = 0").write.parquet(path + "/a")
+    df.where("l_linenumber % 3 > 0").write.parquet(path + "/b")
+    df.where("l_linenumber % 2 = 1").write.parquet(path + "/c")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path)
+    base = scratch_path(spark, "seen-rows")
+    log = SN.SnapshotLog(spark, base + "/log")
+    EX.dedup_to_log(src, log, base + "/ckpt", ts="l_shipdate", delay_seconds=86_400.0, parts=8).awaitTermination()
+    return EX.distinct_rows(log).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+@register("committed_alerts", f"""
+WITH {EVENTS_TAXONOMY_SQL},
+rec AS (SELECT event_id, coalesce(tax.category, 'Other') AS category, coalesce(tax.severity, 'medium') AS severity FROM events e
+        LEFT JOIN tax ON trim(e.event_type) = tax.raw_label AND tax.dataset = 'events')
+SELECT category, count(*) AS records, CAST(sum(CASE WHEN category IN ('DoS', 'Probe', 'R2L', 'U2R') THEN 1 ELSE 0 END) AS BIGINT) AS alerts FROM rec GROUP BY category
+""")
+def committed_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-08 / STR-03: streamed epochs of records and alerts, read together at the newest committed epoch."""
+    ev = table(spark, d, "events")
+    base = scratch_path(spark, "committed")
+    ev.repartition(3, "event_id").write.parquet(base + "/in")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    log = SN.SnapshotLog(spark, base + "/log")
+    EX.score_to_log(TAX.map_labels(src, "event_type", "events", TAX.taxonomy(spark, EVENTS_TAXONOMY)), log, base + "/ckpt", "event_id", "event_type").awaitTermination()
+    newest = log.latest()
+    records, alerts = log.read("records", newest), log.read("alerts", newest)
+    raised = alerts.select(F.col("traffic_record_id").alias("event_id"), F.lit(1).alias("raised"))
+    return records.join(raised, "event_id", "left").groupBy("category").agg(F.count(F.lit(1)).alias("records"), F.count("raised").alias("alerts"))
+
+
+@register("training_snapshot", f"""
+SELECT split, count(*) AS rows, {', '.join(f"round(avg(least(greatest(({f} - lo_{f}) / CASE WHEN hi_{f} = lo_{f} THEN 1 ELSE hi_{f} - lo_{f} END, 0.0), 1.0)), 6) + 0.0 AS {f}" for f in FEATS)}
+FROM (SELECT *, CASE WHEN l_orderkey % 10 < 7 THEN 'train' WHEN l_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM lineitem),
+     (SELECT {', '.join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in FEATS)} FROM lineitem WHERE l_orderkey % 10 < 7) GROUP BY split
+""")
+def training_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-10 / SNK-01..04: splits, contract and scaler published as one version, then loaded and applied."""
+    from ..operators import fit as FIT
+    k = F.col("l_orderkey") % 10
+    li = table(spark, d, "lineitem").withColumn("split", F.when(k < 7, "train").when(k < 8, "val").otherwise("test"))
+    log = SN.SnapshotLog(spark, scratch_path(spark, "training"))
+    SN.publish_training(log, 1, li.select(*FEATS, "l_returnflag", "split"), FEATS, "l_returnflag", FIT.fit_scaler(li.where("split = 'train'"), FEATS, "minmax"))
+    got = SN.load_training(log)
+    parts = [got["splits"][n] for n in sorted(got["splits"])]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scaled = FIT.apply_scaler(everything, got["scaler"], keep=["split"])
+    return scaled.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *[r(F.avg(f)).alias(f) for f in got["contract"]["features"]])

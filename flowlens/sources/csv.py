@@ -2,21 +2,22 @@
 
 Files of one dataset may carry different headers; a single Spark CSV read maps
 columns by position, so files are grouped by header first and each group is
-read with its own header, then unioned by name. The driver only ever touches
-file metadata (paths, sizes, first lines); rows are read by executors.
+read with its own header, then unioned by name. Listings and first lines are read in tasks
+(sources/listing.py); the driver holds the paths of a header group, as a scan's own file index does.
 """
 from __future__ import annotations
 
 from collections import defaultdict
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DatasetConfig
 from ..functions.text import first_path_segment
 from ..operators import shape as SH
+from . import listing as LS
 
 EXTRA = "__extra_field"
 
@@ -33,13 +34,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Recursive listing (path, length, modified) from the file system's metadata.
+    """Recursive listing (path, length, modified), empty files included (file scans skip them).
 
-    File scans skip zero-length files, so the listing comes from the Hadoop
-    FileSystem API instead (metadata only, one entry per file; no bytes read).
-    """
-    import fnmatch
+    Folders are listed by tasks; only for a store that pyarrow cannot open, the driver asks Hadoop's FileSystem."""
     p, fs = _fs(spark, root)
+    full = str(fs.makeQualified(p).toString())
+    if not fs.exists(p):
+        raise FileNotFoundError(root)
+    if LS.readable(full):
+        return LS.list_tree(spark, full, glob)
+    import fnmatch
     it = fs.listFiles(p, True)
     rows = []
     while it.hasNext():
@@ -51,6 +55,14 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame
     return df.withColumn("modified", F.timestamp_millis("modified_ms")).drop("modified_ms")
 
 
+def file_headers(spark: SparkSession, paths: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """path and header (array of names) of many files, read by tasks."""
+    some = paths.select("path").first()
+    if some is None or LS.readable(some["path"]):
+        return LS.headers(paths, encoding)
+    return spark.createDataFrame([(r["path"], read_header(spark, r["path"])) for r in paths.collect()], "path string, header array<string>")
+
+
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str | None:
     """First line of one file through the cluster file system (metadata-sized read)."""
     jvm = spark._jvm
@@ -92,7 +104,7 @@ def _string_schema(cols: Sequence[str]) -> T.StructType:
 
 
 def read_group(spark: SparkSession, files: Sequence[str], header: Sequence[str], encoding: str = "UTF-8",
-               skip_long_rows: bool = True) -> DataFrame:
+               skip_long_rows: bool = True, first_rows: int | None = None) -> DataFrame:
     """Read files sharing one header with an explicit all-string schema.
 
     Short rows are padded with NULL (kept); rows with more fields than the header
@@ -110,26 +122,46 @@ def read_group(spark: SparkSession, files: Sequence[str], header: Sequence[str],
     df = (spark.read.option("header", "true").option("mode", "PERMISSIVE").option("encoding", encoding)
           .schema(schema).csv(list(files)))
     df = df.withColumn("__source_path", F.col("_metadata.file_path"))
+    if first_rows is not None:
+        # rows of a block are read in order; the id rises within a task
+        df = df.withColumn("__block", F.col("_metadata.file_block_start")).withColumn("__line", F.monotonically_increasing_id())
     if skip_long_rows:
         df = df.where(F.col(EXTRA).isNull())
-    return df.drop(EXTRA)
+    df = df.drop(EXTRA)
+    return df if first_rows is None else first_lines(df, first_rows)
+
+
+def first_lines(df: DataFrame, n: int) -> DataFrame:
+    """SRC-08: the first ``n`` rows of each file, in the order of its lines, from rows with __source_path, __block and __line.
+
+    Rows are counted by block; whole blocks before the cut pass, blocks behind it go, and only the block that holds the cut is ranked, so no
+    file is sorted or held by one task."""
+    blocks = df.groupBy("__source_path", "__block").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy("__source_path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    left = blocks.withColumn("__left", F.lit(n) - F.coalesce(F.sum("__rows").over(before), F.lit(0))).where("__left > 0")
+    near = df.join(left, ["__source_path", "__block"])
+    own = [c for c in df.columns if c not in ("__block", "__line")]
+    whole = near.where(F.col("__left") >= F.col("__rows"))
+    rank = F.row_number().over(Window.partitionBy("__source_path", "__block").orderBy("__line"))
+    cut = near.where(F.col("__left") < F.col("__rows")).withColumn("__rank", rank).where(F.col("__rank") <= F.col("__left"))
+    keep = [F.col(SH.q(c)) for c in own]
+    return whole.select(*keep).unionByName(cut.select(*keep))
 
 
 def load_folder(spark: SparkSession, root: str, dataset: str, glob: str = "*.csv",
                 numeric: Sequence[str] | None = None, encoding: str = "UTF-8",
-                files: Sequence[str] | None = None, keep_path: bool = False) -> DataFrame:
+                files: Sequence[str] | None = None, keep_path: bool = False, first_rows: int | None = None) -> DataFrame:
     """SRC-02 / PRJ-08 / PRJ-09 / SET-02: every CSV below ``root`` grouped by header,
     unioned by name (missing columns NULL), tagged with Source_File, Dataset and the
     first folder below root as Attack_Category. ``numeric`` columns are coerced. ``files`` narrows the
-    folder to some paths; ``keep_path`` keeps each row's ``__source_path``."""
-    if files is None:
-        files = [r["path"] for r in list_files(spark, root, glob).select("path").collect()]  # file list: metadata
-    groups: dict[tuple, list[str]] = defaultdict(list)
-    for f in sorted(files):
-        h = tuple(read_header(spark, f))
-        if h:                                  # unreadable / empty files are skipped
-            groups[h].append(f)
-    frames = [read_group(spark, fs, list(h), encoding) for h, fs in groups.items()]
+    folder to some paths; ``keep_path`` keeps each row's ``__source_path``; ``first_rows`` reads that many rows from the start of
+    each file (SRC-08)."""
+    paths = spark.createDataFrame([(f,) for f in files], "path string") if files is not None else list_files(spark, root, glob).where("length > 0")
+    # one row per header; its paths are what a scan's file index holds anyway
+    groups = (file_headers(spark, paths, encoding).where(F.size("header") > 0).groupBy("header")
+              .agg(F.sort_array(F.collect_list("path")).alias("paths")).collect())
+    groups = sorted(groups, key=lambda g: g["paths"][0])
+    frames = [read_group(spark, g["paths"], g["header"], encoding, first_rows=first_rows) for g in groups]
     if not frames:
         return spark.createDataFrame([], "Source_File string, Dataset string, Attack_Category string")
     df = SH.union_by_name(frames)
@@ -153,8 +185,8 @@ def cap_rows(df: DataFrame, n: int) -> DataFrame:
 
 
 def cap_rows_per_file(df: DataFrame, n: int, file_col: str = "Source_File", key: Sequence[str] | None = None) -> DataFrame:
-    """SRC-08 per file: n rows of each file, chosen by hash order of the row (files have
-    no line numbers in a distributed read)."""
+    """A sample of n rows of each file, chosen by hash order of the row, for frames that no longer know their lines;
+    ``load_folder(first_rows=n)`` reads the first n lines (SRC-08)."""
     from ..operators.split import first_in_hash_order
     key = list(key) if key else [c for c in df.columns]
     return first_in_hash_order(df, key, [file_col], [lambda _: F.lit(n)]).where("__in0").drop("__in0")

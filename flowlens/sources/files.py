@@ -1,7 +1,8 @@
 """File-level audits over many files at once (SRC-12..14, JOIN-07).
 
-``binaryFile`` lists and (only when selected) reads file bytes on executors;
-size filters are pushed to the listing so oversized files are never loaded.
+Files are rows of a listing; their bytes are read by tasks as streams (sources/listing.py): 8 KB of each for the audit, all of
+them, through a buffer, for a digest. Only for a store that pyarrow cannot open, Spark's ``binaryFile`` reads
+whole contents (files below 2 GB).
 """
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_filename, first_path_segment
+from . import listing as LS
 
 DEFAULT_MAX_BYTES = 500 * 1024 * 1024
 
@@ -23,14 +25,17 @@ def audit(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = DEFA
     """SRC-12: per file -> extension ok, size ok, empty, NUL bytes in the first 8 KB,
     blank header, cleaned file name, and the first failing rule as ``problem``.
 
-    The listing (with empty files) comes from file metadata; bytes are read by
-    executors only for non-empty files within ``max_bytes`` (size filter pushed to the scan).
+    Of a non-empty file within ``max_bytes``, only the first 8 KB are read, by a task.
     """
     from .csv import list_files
-    listing = list_files(spark, root, glob)
-    b = _binary(spark, root, glob).where((F.col("length") <= max_bytes) & (F.col("length") > 0))
-    head = F.substring(F.col("content"), 1, 8192)
-    heads = b.select("path", head.alias("head"))
+    listing = list_files(spark, root, glob).select("path", "length")
+    some = listing.first()
+    wanted = listing.where((F.col("length") <= max_bytes) & (F.col("length") > 0))
+    if some is None or LS.readable(some["path"]):
+        heads = LS.first_bytes(_spread(wanted), 8192)
+    else:
+        b = _binary(spark, root, glob).where((F.col("length") <= max_bytes) & (F.col("length") > 0))
+        heads = b.select("path", F.substring(F.col("content"), 1, 8192).alias("head"))
     j = listing.join(heads, "path", "left")
     first = F.split(F.decode(F.col("head"), "UTF-8"), "\n").getItem(0)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
@@ -48,15 +53,24 @@ def audit(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = DEFA
 def manifest(spark: SparkSession, root: str, glob: str = "*", version: str = "v1.0.0") -> DataFrame:
     """SRC-13: (name, path, sha256, size_bytes, model_version) for every file (empty files included)."""
     from .csv import list_files
-    listing = list_files(spark, root, glob)
-    content = _binary(spark, root, glob).select("path", "content")
-    j = listing.join(content, "path", "left")
-    body = F.coalesce(F.col("content"), F.unhex(F.lit("")))
+    listing = list_files(spark, root, glob).select("path", "length")
+    some = listing.first()
+    if some is None or LS.readable(some["path"]):
+        found = LS.digests(_spread(listing))
+    else:
+        found = _binary(spark, root, glob).select("path", F.sha2("content", 256).alias("sha256"))
+    j = listing.join(found, "path", "left")
+    nothing = F.sha2(F.unhex(F.lit("")), 256)
     return j.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
-                    F.sha2(body, 256).alias("sha256"), F.col("length").alias("size_bytes"),
+                    F.coalesce("sha256", nothing).alias("sha256"), F.col("length").alias("size_bytes"),
                     F.lit(version).alias("model_version"))
 
 
+def _spread(paths: DataFrame) -> DataFrame:
+    """Paths dealt over tasks, so that files are read side by side."""
+    return paths.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """SRC-13 / JOIN-07: full outer join on name -> ok / changed / missing / new.
     Hashes compare case-insensitively after trimming the expected value."""
@@ -70,10 +84,11 @@ def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """SRC-14: per file rows, column count, last column name, category folder."""
-    from .csv import list_files, read_header
-    files = [r["path"] for r in list_files(spark, root, glob).select("path").collect()]   # metadata
-    meta = spark.createDataFrame([(f, len(h), h[-1] if h else None) for f in files for h in [read_header(spark, f)]],
-                                 "path string, columns int, last_column string")
+    from .csv import file_headers, list_files
+    listing = list_files(spark, root, glob).select("path", "length")
+    found = file_headers(spark, _spread(listing.where("length > 0")))
+    meta = listing.select("path").join(found, "path", "left").select(
+        "path", F.greatest(F.size("header"), F.lit(0)).alias("columns"), F.try_element_at("header", F.lit(-1)).alias("last_column"))
     rows = (spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
             .csv(root).select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
     from .csv import _qualified

@@ -48,14 +48,22 @@ def select_top_k(scores: DataFrame, k: int, score: str = "f_score") -> DataFrame
 
 
 def rf_importance(df: DataFrame, features: Sequence[str], label: str, num_trees: int = 100, seed: int = 42,
-                  max_depth: int = 10, weight_col: str | None = None, digits: int = 4) -> DataFrame:
-    """FS-02: random-forest importance per feature -> (feature, importance) sorted desc."""
+                  max_depth: int = 30, balanced: bool = False, weight_col: str | None = None, digits: int = 4) -> DataFrame:
+    """FS-02: random-forest importance per feature -> (feature, importance) sorted desc.
+
+    Trees grow to ``max_depth`` (30 is MLlib's limit, as good as unbounded). ``balanced`` weighs rows by
+    rows / (classes x rows of the class)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     d = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(
         df.select(*[F.coalesce(finite(col(f)), F.lit(0.0)).alias(f) for f in features],
                   col(label).cast("string").alias("__lbl"), *([col(weight_col)] if weight_col else [])))
     d = StringIndexer(inputCol="__lbl", outputCol="__y", stringOrderType="alphabetAsc").fit(d).transform(d)
+    if balanced:
+        sizes = d.groupBy("__lbl").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a class
+        total = sum(r["n"] for r in sizes)
+        weigh = F.create_map(*[x for r in sizes for x in (F.lit(r["__lbl"]), F.lit(total / (len(sizes) * r["n"])))])
+        d, weight_col = d.withColumn("__w", weigh[F.col("__lbl")]), "__w"
     rf = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 maxMemoryInMB=1024, cacheNodeIds=True, **({"weightCol": weight_col} if weight_col else {}))
     imp = rf.fit(d).featureImportances.toArray()

@@ -303,16 +303,18 @@ def cleaning_report(before: DataFrame, after: DataFrame, name: str) -> DataFrame
 
 
 def feature_quality_report(df: DataFrame, features: Sequence[str], label: str,
-                           redundancy: float = 0.95, auc_threshold: float = 0.98) -> DataFrame:
+                           redundancy: float = 0.95, auc_threshold: float = 0.98, trees: int = 100, tree_depth: int = 30,
+                           nearest: int = 3) -> DataFrame:
     """VAL-16: findings of every feature-quality check as rows, plus recommendation rows.
 
     Columns: (section, feature, value, detail). Sections: missing_pct, near_zero_variance,
     redundant_pair, outlier_pct, class_balance, identity_column, single_feature_leak,
-    duplicate_rows, recommendation.
+    duplicate_rows, importance (random forest), mutual_information (``nearest`` neighbours), recommendation.
     """
     from . import features as FS
     from . import stats as AGG
     from ..functions.text import identity_like
+    from .neighbors import neighbour_mutual_information
     spark = df.sparkSession
     schema = "section string, feature string, value double, detail string"
     parts = [
@@ -333,6 +335,10 @@ def feature_quality_report(df: DataFrame, features: Sequence[str], label: str,
             F.lit("single_feature_leak").alias("section"), "feature", "auc", F.lit(None).cast("string")),
         quick_profile(df).select(F.lit("duplicate_rows").alias("section"), F.lit(None).cast("string"),
                                  F.col("duplicate_rows").cast("double"), F.lit(None).cast("string")),
+        FS.rf_importance(df, features, label, num_trees=trees, max_depth=tree_depth).select(
+            F.lit("importance").alias("section"), "feature", "importance", F.lit(None).cast("string")),
+        neighbour_mutual_information(df, features, label, nearest).select(
+            F.lit("mutual_information").alias("section"), "feature", F.round("mutual_info", 4), F.lit(None).cast("string")),
     ]
     out = parts[0]
     for p in parts[1:]:

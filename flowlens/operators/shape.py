@@ -105,7 +105,7 @@ def strict_align(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (
     """PRJ-11: like align_features but a missing column is an error naming up to 5."""
     missing = [f for f in features if f not in df.columns]
     if missing:
-        raise ValueError(f"Missing {len(missing)} feature(s): {missing[:5]}")
+        raise ValueError(f"the frame lacks {len(missing)} of the contract's columns, such as {', '.join(missing[:5])}")
     return df.select(*[col(k) for k in keep], *[col(f).cast("double").alias(f) for f in features])
 
 

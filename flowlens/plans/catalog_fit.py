@@ -130,7 +130,7 @@ def median_impute(spark: SparkSession, d: str) -> DataFrame:
 
 @register("label_index", f"""
 WITH {_split_sql('events', 'event_type', ['event_id'])},
-idx AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS idx
+idx AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS idx
         FROM (SELECT DISTINCT event_type FROM split_t WHERE split = 'train'))
 SELECT e.event_type, coalesce(idx.idx, -1) AS y, coalesce(idx.event_type, 'Class_' || CAST(coalesce(idx.idx, -1) AS VARCHAR)) AS decoded,
        count(*) AS rows
@@ -149,7 +149,7 @@ def label_index(spark: SparkSession, d: str) -> DataFrame:
 @register("category_encoding", """
 WITH ep AS (SELECT 'o_orderpriority' AS col, o_orderpriority AS value FROM orders
             UNION SELECT 'o_orderstatus', o_orderstatus FROM orders),
-enc AS (SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS code FROM ep)
+enc AS (SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS BIGINT) AS code FROM ep)
 SELECT p.code AS o_orderpriority, s.code AS o_orderstatus, count(*) AS rows
 FROM orders o JOIN enc p ON p.col = 'o_orderpriority' AND p.value = o.o_orderpriority
               JOIN enc s ON s.col = 'o_orderstatus' AND s.value = o.o_orderstatus
@@ -164,17 +164,17 @@ def category_encoding(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _prepare_sql() -> str:
+def _prepare_sql(flows: str = FLOWS_SQL) -> str:
     feats = FEATS
     return f"""
-WITH {FLOWS_SQL},
+WITH {flows},
 {_split_sql('flows_all', 'l_returnflag', KEY)},
 med AS (SELECT {', '.join(f"quantile_cont({fin(f)}, 0.5) AS md_{f}" for f in feats)} FROM split_t WHERE split = 'train'),
 dd AS (SELECT DISTINCT split, l_returnflag, {', '.join(feats)} FROM split_t),
 cl AS (SELECT split, l_returnflag, {', '.join(f"coalesce({fin(f)}, md_{f}) AS {f}" for f in feats)} FROM dd, med),
 p AS (SELECT {', '.join(f"min({f}) AS mn_{f}, CASE WHEN max({f}) = min({f}) THEN 1.0 ELSE max({f}) - min({f}) END AS df_{f}" for f in feats)}
       FROM cl WHERE split = 'train'),
-idx AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS idx
+idx AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS BIGINT) AS idx
         FROM (SELECT DISTINCT l_returnflag FROM cl WHERE split = 'train')),
 scaled AS (SELECT cl.split, coalesce(idx.idx, -1) AS y,
                   CAST(lower(trim(cl.l_returnflag)) NOT IN ('n') AS INTEGER) AS y_binary,
@@ -194,6 +194,50 @@ def prepare_flows(spark: SparkSession, d: str) -> DataFrame:
                                                        *[r(F.avg(f)).alias(f) for f in p.features])
 
 
+@register("strict_preparation", _prepare_sql("flows_all AS (SELECT * FROM lineitem)"))
+def strict_preparation(spark: SparkSession, d: str) -> DataFrame:
+    """FIT-14 / VAL-09: flows that pass validation are prepared; the dirty ones must raise."""
+    try:
+        PREP.fit_transform(dirty_flows(spark, d).withColumn("l_quantity", -F.col("l_quantity")), LF, KEY, "minmax", "median")
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("flows with negative quantities passed validation")
+    p = PREP.fit_transform(table(spark, d, "lineitem"), LF, KEY, "minmax", "median", strict=True)
+    return p.data.groupBy("split", "y", "y_binary").agg(F.count(F.lit(1)).alias("rows"), *[r(F.avg(f)).alias(f) for f in p.features])
+
+
+_MERGED = ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus"]
+
+
+@register("prepare_merged", f"""
+WITH pool AS (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'a' ELSE 'b' END AS dataset_source, CAST(lower(trim(l_returnflag)) NOT IN ('n') AS INTEGER) AS y_binary FROM lineitem),
+{_split_sql('pool', 'y_binary', KEY, 0.8, 0.0)},
+s AS (SELECT *, CASE WHEN split = 'val' THEN 'test' ELSE split END AS part FROM split_t),
+code AS (SELECT l_linestatus, row_number() OVER (ORDER BY l_linestatus) - 1 AS code FROM (SELECT DISTINCT l_linestatus FROM s WHERE part = 'train')),
+e AS (SELECT s.part, s.y_binary, s.l_returnflag, s.dataset_source, s.l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount,
+             code.code::DOUBLE AS l_linestatus FROM s LEFT JOIN code USING (l_linestatus)),
+long AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS pos, l_returnflag AS y, {f} AS x FROM e WHERE part = 'train'" for i, f in enumerate(_MERGED))}),
+g AS (SELECT feature, pos, y, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM long GROUP BY ALL),
+t AS (SELECT feature, sum(n) AS n, sum(n * m) / sum(n) AS m, count(*) AS k FROM g GROUP BY feature),
+f AS (SELECT g.feature, any_value(g.pos) AS pos, (sum(g.n * pow(g.m - t.m, 2)) / (max(t.k) - 1)) / (sum((g.n - 1) * g.v) / (max(t.n) - max(t.k))) AS f FROM g JOIN t USING (feature) GROUP BY g.feature),
+best AS (SELECT feature FROM f ORDER BY f DESC, pos LIMIT 3),
+wide AS ({' UNION ALL '.join(f"SELECT part, y_binary, dataset_source, l_returnflag, '{f}' AS feature, {f} AS x FROM e" for f in _MERGED)}),
+st AS (SELECT feature, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM wide WHERE part = 'train' GROUP BY feature),
+idx AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS y FROM (SELECT DISTINCT l_returnflag FROM e WHERE part = 'train'))
+SELECT part AS split, dataset_source, y_binary, coalesce(y, -1) AS y, w.feature, count(*) AS rows, round(avg((x - m) / sd), 6) + 0.0 AS mean
+FROM wide w JOIN best USING (feature) JOIN st USING (feature) LEFT JOIN idx USING (l_returnflag) GROUP BY ALL
+""")
+def prepare_merged(spark: SparkSession, d: str) -> DataFrame:
+    """FIT-15: two datasets with different columns, merged, split, encoded, cut to the top features and scaled."""
+    li = table(spark, d, "lineitem")
+    a = li.where("l_linenumber <= 3").select(*KEY, *_MERGED, "l_tax", "l_returnflag", F.lit("a").alias("dataset_source"))
+    b = li.where("l_linenumber > 3").select("l_returnflag", *KEY, *reversed(_MERGED), "l_shipdate", F.lit("b").alias("dataset_source"))
+    p = PREP.prepare_merged(a, b, "l_returnflag", KEY, ["n"], top_k=3)
+    long = p.data.select("split", "dataset_source", "y_binary", "y", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in p.features])).alias("e"))
+    return long.groupBy("split", "dataset_source", "y_binary", "y", "e.feature").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("e.x")).alias("mean"))
+
+
 @register("prepare_category_stack", f"""
 WITH {EVENTS_SQL}, {EVENTS_TAXONOMY_SQL},
 c AS (SELECT ev.event_id, ev.event_type, {fin('ev.value')} AS value, coalesce(tax.category, 'Other') AS category

@@ -214,3 +214,30 @@ def training_snapshot(spark: SparkSession, d: str) -> DataFrame:
     everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
     scaled = FIT.apply_scaler(everything, got["scaler"], keep=["split"])
     return scaled.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), *[r(F.avg(f)).alias(f) for f in got["contract"]["features"]])
+
+
+# --------------------------------------------------------------------------- SRC-08, MOD-06
+
+@register("first_rows", """
+SELECT l_linenumber, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS orders, round(sum(l_extendedprice), 2) AS price FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) AS place FROM lineitem) WHERE place <= 250 GROUP BY l_linenumber
+""")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-08: the first 250 rows of each of many files, in the order of their lines."""
+    from ..sources.csv import load_folder
+    path = scratch_path(spark, "line-files")
+    li = table(spark, d, "lineitem")
+    # one file a line number, sorted within
+    li.repartition("l_linenumber").sortWithinPartitions("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey").select(
+        F.col("l_linenumber").alias("folder"), *li.columns).write.option("header", "true").partitionBy("folder").csv(path)
+    rows = load_folder(spark, path, "flows", numeric=["l_orderkey", "l_extendedprice", "l_linenumber"], first_rows=250)
+    return rows.groupBy(F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").cast("bigint").alias("orders"), r(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@register("boosting_rounds")
+def boosting_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """MOD-06: training loss of multiclass boosting before each round and after the last (it must fall every round)."""
+    from ..operators.boosting import fit_boosting
+    model = fit_boosting(table(spark, d, "lineitem"), FEATS, "l_returnflag", rounds=8, depth=5, rate=0.1)
+    return spark.createDataFrame(list(enumerate(model.losses)), "round int, log_loss double")

@@ -95,3 +95,32 @@ def prepare_category_stack(df: DataFrame, label: str, features: Sequence[str], z
     feats = list(numeric) + list(other)
     p = FIT.fit_scaler(allrows.where(F.col("split") == "train"), feats, "standard_pop")
     return FIT.apply_scaler(allrows, p, keep=[c for c in allrows.columns if c not in set(feats)])
+
+
+def prepare_merged(left: DataFrame, right: DataFrame, label: str, key: Sequence[str], benign: Sequence[str], source: str = "dataset_source",
+                   test_size: float = 0.2, top_k: int | None = None, seed: int = 42) -> Prepared:
+    """FIT-15 (merged stack): two datasets on their common columns -> split by binary class -> encoders, label codes,
+    the ``top_k`` features of highest F and the population z-score, all fitted on the train rows.
+
+    ``label``, ``source`` and the key are never features. Labels are trimmed; rows without one are left out; a test label that
+    train does not have becomes -1, a category that train does not have the encoder's code for unknown ones. Missing and infinite values
+    of numeric features become the train median. Returns rows with y, y_binary, the source and split in {train, test}."""
+    from ..operators import features as FS
+    merged = SH.union_on_common(left, right, forced=[label, source])
+    merged = merged.withColumn(label, F.trim(col(label))).where(col(label).isNotNull())
+    merged = SH.binary_target(merged, label, "y_binary", benign)
+    s = cut_lineage(SPL.stratified_two_way(merged, "y_binary", key, test_size, seed))
+    wanted = [c for c in merged.columns if c not in {label, source, "y_binary", *key}]
+    numeric, other = SH.identify_columns(s.select(*[col(c) for c in wanted]), label="__none__")
+    is_train = F.col("split") == "train"
+    if other:
+        s = FIT.apply_category_encoder(s, FIT.fit_category_encoder(s.where(is_train), other), other)
+    imputer = FIT.fit_imputer(s.where(is_train), list(numeric), "median")
+    s = FIT.apply_imputer(s, imputer)
+    feats = [*numeric, *other]
+    if top_k is not None:
+        feats = [r["feature"] for r in FS.select_top_k(FS.anova_f(s.where(is_train), feats, label), top_k).collect()]  # at most top_k rows
+    scaler = FIT.fit_scaler(s.where(is_train), feats, "standard_pop")
+    index = FIT.fit_label_index(s.where(is_train), label)
+    out = FIT.apply_scaler(s, scaler, keep=[label, source, "y_binary", "split", *key])
+    return Prepared(FIT.apply_label_index(out, index, label, "y"), feats, imputer, scaler, index, [])

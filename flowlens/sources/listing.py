@@ -49,6 +49,8 @@ def _list_directories(batches):
         for directory in batch.column(0).to_pylist():
             system, inner = place(directory)
             for info in system.get_file_info(pafs.FileSelector(inner)):
+                if info.base_name.startswith(".") and info.base_name.endswith(".crc"):
+                    continue  # checksums that Hadoop keeps beside local files
                 paths.append(f"{directory.rstrip('/')}/{info.base_name}")
                 sizes.append(info.size if info.is_file else None)
                 times.append(info.mtime)

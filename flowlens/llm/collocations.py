@@ -6,10 +6,12 @@ next word id. When the trie holds too many phrases, whole subtrees are spilled a
 count). The runs are written, dealt by range of the phrase (a partition of prefixes; a frequent first
 word spreads over as many partitions as it needs) and merged there.
 
-Phrases are counted in three passes, as a phrase is frequent only if its parts are: words; pairs of
-frequent words; phrases of three to five words whose pairs are all frequent. What is frequent
-travels with the tasks as a bit map of at most ``MOST_BITS`` bits, sized by the number of frequent phrases.
-It may let rare phrases pass (more of them when it is full), which the merge counts and drops, but never stops a frequent one.
+A phrase is frequent only if its words and pairs of neighbours are, so a first pass finds out which words and pairs can
+be: it counts their hashes (31 bits). A second pass counts the hashes of three to five words that hold only such pairs. Tasks send sorted runs of (hash, count) by range of the hash, and each range is
+added up in a table of counters of fixed size. Hashes that reach the least count travel with the tasks of the next pass as a bit map
+of at most ``MOST_BITS`` bits, sized by their number. The third pass counts, in the trie, the phrases whose hashes did. Equal
+hashes only add up, so rare phrases may pass (more of them when a map is full), which the exact counts drop, but no
+frequent phrase is ever stopped.
 
 Scores, cuts and containment are DataFrame joins on the frequent phrases; sums and products are decimals of
 38 digits.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .bpe import squeeze, unsqueeze
 from .common import written
 
 LONGEST = 5
@@ -33,6 +36,9 @@ BURST = 4_096          # phrases in a container before it bursts
 MOST_PHRASES = 400_000  # phrases in a task's trie before subtrees are spilled
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 BITS_PER_KEY = 16
+HASH_BITS = 31
+RANGES = 1_024          # ranges of hashes; a range has 2^21 counters (8 MB)
+MOST_HASHES = 4_000_000  # distinct hashes that a task holds before it sends a run
 UNKNOWN_LANG = "und"
 
 
@@ -140,42 +146,167 @@ def piece_words(data: np.ndarray, offsets: np.ndarray):
     return data[ink], place[starts], np.searchsorted(offsets, starts, side="right") - 1, joined
 
 
-def bit_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return K.mix64(keys) & np.uint64(bits - 1)
+def lang_hashes(langs: pa.Array) -> np.ndarray:
+    data, offsets = K.text_buffers(langs)
+    return K.span_hashes(data, offsets[:-1], offsets[1:])
+
+
+def word_keys(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """64-bit keys of words of a language, from the hashes of both."""
+    with np.errstate(over="ignore"):
+        return K.mix64(words + langs * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.mix64(first * np.uint64(0x9FB21C651E98DF25) + second)
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """The HASH_BITS-bit hash by which words and pairs are counted in the first pass."""
+    return (keys >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 def in_bits(keys: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Whether each 64-bit key may be in a bit map (bytes)."""
-    at = bit_of(keys, 8 * len(filled)).astype(np.int64)
+    at = short(keys) & (8 * len(filled) - 1)
     return (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def word_keys(langs: list[str], words: list[bytes]) -> np.ndarray:
-    """64-bit keys of words of a language, by the hash of their bytes."""
-    parts = [lang.encode() + b" " + w for lang, w in zip(langs, words)]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    return K.span_hashes(data, np.append(0, ends)[:-1], ends)
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]):
+    """Sorted distinct keys and their summed counts."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    first = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[first], np.add.reduceat(n[order], first)
+
+
+HASH_SCHEMA = "part int, run binary, lang string, n long"
+
+
+def read_words(batch):
+    """Of each slice of a batch (lang, text): names of languages, the language and 64-bit key of each word, words in piece order
+    (bytes, starts), and whether the word before stands in the same piece."""
+    lang_of = batch.column(0).dictionary_encode()
+    names, of_lang = lang_of.dictionary.to_pylist(), lang_hashes(lang_of.dictionary)
+    codes = np.asarray(lang_of.indices).astype(np.int64)
+    data, offsets = K.text_buffers(batch.column(1))
+    for a, b in K.slices(offsets):
+        text, starts, doc, joined = piece_words(K.ascii_lower(data[offsets[a]:offsets[b]]), offsets[a:b + 1] - offsets[a])
+        if len(starts):
+            lang = codes[a:b][doc]
+            key = word_keys(K.span_hashes(text, starts, np.append(starts[1:], len(text))), of_lang[lang])
+            yield names, lang, key, text, starts, joined
+
+
+def chains(key: np.ndarray, joined: np.ndarray, filled: np.ndarray, longer: np.ndarray | None = None):
+    """For 1 to LONGEST words: the hash of the phrase that ends at each word, and whether it may be frequent."""
+    reach = in_bits(key, filled)
+    yield key, reach
+    linked = joined & reach & np.append(False, reach[:-1])
+    h = key
+    for width in range(2, LONGEST + 1):
+        h = np.append(np.uint64(0), pair_keys(h[:-1], key[1:]))
+        # both phrases of one word less may be frequent
+        reach = linked & reach & np.append(False, reach[:-1])
+        at = np.flatnonzero(reach)
+        if width == 2 or longer is not None:
+            reach[at] = in_bits(h[at], filled if width == 2 else longer)
+        if width == 2:
+            linked = reach.copy()
+        yield h, reach
+
+
+def _hashes(filled=None):
+    """Texts -> runs (range of hashes, sorted hashes and counts), and words of each language.
+
+    Without a bit map words and pairs are counted, with it phrases of three words and more."""
+    return lambda batches: _hash_runs(batches, filled)
+
+
+def _hash_runs(batches, filled):
+    keys, counts, size, totals = [], [], 0, {}
+    per = 1 << (HASH_BITS - RANGES.bit_length() + 1)
+
+    def run():
+        k, n = _added(keys, counts)
+        keys.clear(), counts.clear()
+        part = k // per
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(k))
+        blobs = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            inner = np.diff(k[a:b] - part[a] * per, prepend=0).astype("<u4")
+            blobs.append(squeeze(np.concatenate([inner, n[a:b].astype("<u4")])))
+        none = len(blobs)
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64())],
+                                          names=["part", "run", "lang", "n"])
+
+    for batch in batches:
+        for names, lang, word, _, _, joined in read_words(batch):
+            if filled is None:
+                for k, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
+                    totals[names[k]] = totals.get(names[k], 0) + n
+                pairs = np.flatnonzero(joined)
+                hashed = [word, pair_keys(word[pairs - 1], word[pairs])]
+            else:
+                hashed = [h[reach] for h, reach in list(chains(word, joined, filled))[2:]]
+            found, n = np.unique(short(np.concatenate(hashed)), return_counts=True)
+            if not len(found):
+                continue
+            keys.append(found)
+            counts.append(n)
+            size += len(found)
+            if size > MOST_HASHES:
+                k, n = _added(keys, counts)
+                keys[:], counts[:], size = [k], [n], len(k)
+                if size > MOST_HASHES // 2:
+                    yield run()
+                    size = 0
+    if keys:
+        yield run()
+    if totals:
+        none = len(totals)
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
+                                         names=["part", "run", "lang", "n"])
+
+
+def _frequent_hashes(least: int):
+    """Runs dealt by range, in order of it -> hashes that reach the least count. One table of counters at a time."""
+    per = 1 << (HASH_BITS - RANGES.bit_length() + 1)
 
+    def run(batches):
+        part, counters = None, None
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return K.mix64(first * np.uint64(0x9FB21C651E98DF25) + second)
+        def reached():
+            return pa.RecordBatch.from_arrays([pa.array(part * per + np.flatnonzero(counters >= least))], names=["hash"])
+
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if p != part:
+                    if part is not None:
+                        yield reached()
+                    part, counters = p, np.zeros(per, np.int64)
+                values = unsqueeze(blob.as_py()).astype(np.int64)
+                half = len(values) // 2
+                counters[np.cumsum(values[:half])] += values[half:]
+        if part is not None:
+            yield reached()
+    return run
 
 
 RUN_SCHEMA = "lang string, phrase string, words int, f long"
 
 
-def _count(sizes, words_in, pairs_in):
-    """Texts -> sorted runs of phrases of the given numbers of words."""
+def _count(filled, longer):
+    """Texts -> sorted runs of the phrases that may be frequent."""
     def run(batches):
         trie, ids, names = HatTrie(), {}, []
 
         def rows(found):
             out = []
             for path, n in found:
-                lang = names[path[0]][0]
-                out.append((lang, b" ".join(names[i][1] for i in path), len(path), n))
+                out.append((names[path[0]][0], b" ".join([names[i][1] for i in path]), len(path), n))
                 if len(out) >= 100_000:
                     yield table(out)
                     out = []
@@ -189,48 +320,31 @@ def _count(sizes, words_in, pairs_in):
                                                pa.array(n, pa.int64())], names=["lang", "phrase", "words", "f"])
 
         for batch in batches:
-            lang_of = batch.column(0).dictionary_encode()
-            langs = lang_of.dictionary.to_pylist()
-            codes = np.asarray(lang_of.indices).astype(np.int64)
-            data, offsets = K.text_buffers(batch.column(1))
-            for a, b in K.slices(offsets):
-                text, starts, doc, joined = piece_words(K.ascii_lower(data[offsets[a]:offsets[b]]), offsets[a:b + 1] - offsets[a])
-                if not len(starts):
-                    continue
+            for langs, lang, key, text, starts, joined in read_words(batch):
                 coded = K.piece_array(text, starts).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                both = codes[a:b][doc] * len(words) + np.asarray(coded.indices)
-                distinct, word = np.unique(both, return_inverse=True)
-                own = [(langs[k // len(words)], words[k % len(words)]) for k in distinct.tolist()]
-                place = np.empty(len(own), np.int64)
-                for k, w in enumerate(own):
-                    at = ids.get(w)
-                    if at is None:
-                        at = ids[w] = len(names)
-                        names.append(w)
-                    place[k] = at
-                if sizes[0] == 1:
-                    trie.add(place[:, None], np.bincount(word, minlength=len(own)))
-                else:
-                    hashed = word_keys([w[0] for w in own], [w[1] for w in own])
-                    common = in_bits(hashed, words_in)
-                    # a chain is a run of words of a piece in which all words (and pairs) may be frequent
-                    linked = joined & common[word] & np.append(False, common[word[:-1]])
-                    if pairs_in is not None:
-                        at = np.flatnonzero(linked)
-                        linked[at] = in_bits(pair_keys(hashed[word[at - 1]], hashed[word[at]]), pairs_in)
-                    node = word.astype(np.int64)  # number of the phrase of width words that ends at a position
-                    reach = np.ones(len(word), bool)
-                    paths = np.arange(len(own))[:, None]
-                    for width in range(2, sizes[-1] + 1):
-                        reach = linked & np.append(False, reach[:-1])
-                        at = np.flatnonzero(reach)
-                        found, inverse, n = np.unique(node[at - 1] * len(own) + word[at], return_inverse=True, return_counts=True)
-                        paths = np.column_stack([paths[found // len(own)], found % len(own)])
-                        node = np.zeros(len(word), np.int64)
-                        node[at] = inverse
-                        if width >= sizes[0] and len(found):
-                            trie.add(place[paths], n)
+                words, known = coded.dictionary, len(coded.dictionary)
+                distinct, word = np.unique(lang * known + np.asarray(coded.indices), return_inverse=True)
+                place = np.full(len(distinct), -1)
+                node, paths = word.astype(np.int64), np.arange(len(distinct))[:, None]  # the phrase that ends at a word
+                for width, (_, reach) in enumerate(chains(key, joined, filled, longer), 1):
+                    at = np.flatnonzero(reach)
+                    if not len(at):
+                        break
+                    if width == 1:
+                        found, n = np.unique(word[at], return_counts=True)
+                        for k in found.tolist():
+                            w = (langs[distinct[k] // known], words[int(distinct[k] % known)].as_py())
+                            if w not in ids:
+                                ids[w] = len(names)
+                                names.append(w)
+                            place[k] = ids[w]
+                        trie.add(place[found][:, None], n)
+                        continue
+                    found, inverse, n = np.unique(node[at - 1] * len(distinct) + word[at], return_inverse=True, return_counts=True)
+                    paths = np.column_stack([paths[found // len(distinct)], found % len(distinct)])
+                    node = np.zeros(len(word), np.int64)
+                    node[at] = inverse
+                    trie.add(place[paths], n)
                 if len(trie) > MOST_PHRASES:
                     yield from rows(trie.spill(MOST_PHRASES // 2))
                 if len(names) > 4 * MOST_PHRASES:  # ids of words that no subtree holds are given up with the trie
@@ -240,48 +354,33 @@ def _count(sizes, words_in, pairs_in):
     return run
 
 
-def merged(docs: DataFrame, sizes: tuple[int, int], words_in=None, pairs_in=None) -> DataFrame:
-    """lang, phrase, words, f of the phrases of the given sizes: all runs, merged by prefix partitions."""
-    runs = written(docs.mapInArrow(_count(sizes, words_in, pairs_in), RUN_SCHEMA), "phrase-runs")
-    return (runs.repartitionByRange("lang", "phrase", "words").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")))
-
-
-def bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the words or pairs of ``frequent`` (lang, phrase); at most ``bits`` / 64 rows reach the driver."""
-    def fill(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs = batch.column(0).to_pylist()
-            parts = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-            keys = word_keys(langs, [p[0] for p in parts])
-            if len(parts[0]) > 1:
-                keys = pair_keys(keys, word_keys(langs, [p[1] for p in parts]))
-            at = bit_of(keys, bits)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-                                             names=["place", "filled"])
-
-    got = frequent.select("lang", "phrase").mapInArrow(fill, "place long, filled long").groupBy("place").agg(F.bit_or("filled").alias("filled")).toArrow()
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A bit map of the hashes, sized by their number; at most MOST_BITS / 64 rows reach the driver."""
+    n = hashes.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n) * BITS_PER_KEY - 1).bit_length()))
+    at = F.col("hash") % bits
+    got = hashes.groupBy(F.floor(at / 64).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash % 64 AS INT))")).alias("filled")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[np.asarray(got.column("place"))] = np.asarray(got.column("filled"))
+    out[np.asarray(got.column("place")).astype(np.int64)] = np.asarray(got.column("filled"))
     return out.view(np.uint8)
 
 
-def bits_for(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n) * BITS_PER_KEY - 1).bit_length()))
+def _likely(runs: DataFrame, least: int) -> DataFrame:
+    """Hashes that reach the least count."""
+    dealt = runs.where("part is not null").select("part", "run").repartition("part").sortWithinPartitions("part")
+    return written(dealt.mapInArrow(_frequent_hashes(least), "hash long"), "phrase-likely")
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang"):
     """(frequent, totals): lang, phrase, words, f of all phrases of one to five words with f >= least; lang, n."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    singles = written(merged(rows, (1, 1)), "phrase-words")
-    totals = written(singles.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    words = singles.where(F.col("f") >= least)
-    words_in = bit_map(words, bits_for(words.count()))
-    pairs = written(merged(rows, (2, 2), words_in).where(F.col("f") >= least), "phrase-pairs")
-    pairs_in = bit_map(pairs, bits_for(pairs.count()))
-    longer = written(merged(rows, (3, LONGEST), words_in, pairs_in).where(F.col("f") >= least), "phrase-longer")
-    return words.union(pairs).union(longer), totals
+    first = written(rows.mapInArrow(_hashes(), HASH_SCHEMA), "phrase-hashes")
+    totals = written(first.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    filled = bit_map(_likely(first, least))
+    longer = bit_map(_likely(written(rows.mapInArrow(_hashes(filled), HASH_SCHEMA), "phrase-hashes"), least))
+    runs = written(rows.mapInArrow(_count(filled, longer), RUN_SCHEMA), "phrase-runs")
+    merged = runs.repartitionByRange("lang", "phrase", "words").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    return written(merged.where(F.col("f") >= least), "phrases"), totals
 
 
 def _part(phrase: str, start: Column | int, size: Column | int) -> Column:

@@ -68,6 +68,7 @@ def test_collocations(spark, least, cover, top):
 def test_spilled_and_burst_tries_merge_to_the_same(spark, monkeypatch):
     rows = some_texts(9, 200)
     monkeypatch.setattr(collocations, "MOST_PHRASES", 40)
+    monkeypatch.setattr(collocations, "MOST_HASHES", 20)
     monkeypatch.setattr(collocations.HatTrie.__init__, "__defaults__", (3,))
     assert collect(spark, rows, 4, 100, 2000) == phrases_by_hand(rows, 4, 100, 2000)
 

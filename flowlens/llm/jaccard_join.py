@@ -204,6 +204,17 @@ def _sets(width):
     return run
 
 
+def _row_nodes(width):
+    """row, id, text -> row, id and the node of its set (0: none)."""
+    def run(batches):
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(2))
+            for a, b in K.slices(offsets):
+                nodes = fingerprints(doc_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes)], names=["row", "id", "node"])
+    return run
+
+
 def _verify(percent):
     def run(batches):
         for batch in batches:
@@ -241,8 +252,8 @@ def choose_boundary(nodes: DataFrame, percent: int) -> int:
     return min(BOUNDARIES, key=lambda b: (row[str(b)] or 0, b))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
+def classes_of_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
+    """Two tables: doc_id, node and n of every row (n = 0: no set); node, component and component_id of every set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(rows.mapInArrow(_members(width), "kind byte, doc_id long, node long, n long"), "jaccard-members")
     members = found.where("kind = 0").drop("kind")
@@ -329,16 +340,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of_node = nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     of_node = written(of_node, "jaccard-components")
     least = written(of_node.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
-    ids = written(of_node.join(least, "component").select("node", "component_id"), "jaccard-ids")
+    return members, written(of_node.join(least, "component").select("node", "component", "component_id"), "jaccard-ids")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
+    members, ids = classes_of_sets(docs, width, percent, id_col, text_col)
     linked = members.where("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(members.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; rows without a set or an id stay.
-
-    Of rows equal in id and text one stays."""
-    found = near_duplicates(docs, width, percent, id_col, text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_jaccard_drop")).distinct()
-    kept = docs.join(drop, docs[id_col] == drop["_jaccard_drop"], "left_anti")
-    return kept.withColumn("_jaccard_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_jaccard_text"]).select(*docs.columns)
+    """One row of each component: that of the smallest id (null last), among equal ids of the smallest set; rows without a set stay.
+
+    Rows are told apart by id and set, so an id that stands with several texts loses only those that have a near copy elsewhere.
+    Of rows equal in id and text one stays, with or without a set."""
+    members, ids = classes_of_sets(docs, width, percent, id_col, text_col)
+    sets = members.where("n > 0").join(ids, "node").select("doc_id", "node", "component").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    first = sets.groupBy("component").agg(F.min(order).alias("first"))
+    lost = (sets.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))))
+            .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_jaccard_id"), F.col("node").alias("_jaccard_node")))
+    lost = written(lost.distinct(), "jaccard-lost")
+    own = docs.withColumn("_jaccard_row", F.xxhash64(id_col, text_col, F.col(id_col).isNull(), F.col(text_col).isNull()))
+    keyed = own.select(F.col("_jaccard_row").alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text"))
+    gone = (keyed.mapInArrow(_row_nodes(width), "row long, id string, node long")
+            .join(lost, (F.col("id") == F.col("_jaccard_id")) & (F.col("node") == F.col("_jaccard_node")), "left_semi").select(F.col("row").alias("_jaccard_row")).distinct())
+    kept = own.join(gone, "_jaccard_row", "left_anti")
+    # rows without a set have no component; of rows with one set under one id, which may differ in white space or case, one stays
+    same = kept.select("_jaccard_row", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text"))
+    nodes = same.mapInArrow(_row_nodes(width), "row long, id string, node long")
+    one = nodes.groupBy("id", "node", F.when(F.col("node") == 0, F.col("row")).alias("blank")).agg(F.min("row").alias("_jaccard_row")).select("_jaccard_row")
+    return kept.join(one, "_jaccard_row", "left_semi").dropDuplicates(["_jaccard_row"]).select(*docs.columns)

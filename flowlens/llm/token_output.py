@@ -7,7 +7,7 @@ File layout (one file per shard, shards in ascending document order):
 * a skippable frame with the document index: for every document its id, its frame, its
   place in the frame and its number of ids;
 * a skippable frame with the seek table of the public seekable zstandard format: compressed
-  size, plain size and checksum of every frame, then the footer.
+  size, plain size and checksum (the low 32 bits of XXH64) of every frame, then the footer.
 
 A reader takes the two trailing frames, then decompresses only the frames of the documents
 it wants. Files go to the shared folder of ``spark.checkpoint.dir`` under a name of the
@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import itertools
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,10 @@ INDEX_ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("off
 SEEK_ROW = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 
 
+def checksum(plain: bytes) -> int:
+    return xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF
+
+
 def byte_symbols() -> dict[int, int]:
     """Byte-level BPE writes a byte that prints as itself and the others from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -125,7 +129,7 @@ class FrameWriter:
         plain = np.concatenate(self.open).astype("<u4").tobytes()
         packed = self.packer.compress(plain)
         self.sink.write(packed)
-        self.seek.append((len(packed), len(plain), zlib.crc32(plain)))
+        self.seek.append((len(packed), len(plain), checksum(plain)))
         self.open, self.size = [], 0
 
     def close(self) -> None:
@@ -161,7 +165,7 @@ class FrameReader:
     def frame(self, k: int) -> np.ndarray:
         row = self.seek[k]
         plain = zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[k]), int(row["packed"])), max_output_size=int(row["plain"]))
-        if len(plain) != row["plain"] or zlib.crc32(plain) != row["checksum"]:
+        if len(plain) != row["plain"] or checksum(plain) != row["checksum"]:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(plain, "<u4")
 

@@ -66,7 +66,6 @@ def test_files_hold_the_ids_in_order(spark):
     shards = token_output.write_tokens(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), spec(), 2)
     rows = sorted(token_output.digest(token_output.read_tokens(shards)).collect(), key=lambda r: r.start)
     lib, at = Tokenizer.from_str(spec()), 0
-    lib.encode_special_tokens = True
     assert [r.doc_id for r in rows] == list(range(400))
     for r, (_, text) in zip(rows, sorted(texts)):
         ids = np.array(lib.encode(text, add_special_tokens=False).ids + [2], "<u4")
@@ -77,6 +76,12 @@ def test_files_hold_the_ids_in_order(spark):
 def test_odd_rows_and_an_empty_table(spark, odd_docs):
     rows = token_output.read_tokens(token_output.write_tokens(odd_docs, spec(), 2)).collect()
     assert len(rows) == odd_docs.count() and sum(r.n_tokens == 1 for r in rows) == 3
+    # null ids first, then by id and text; every row in its place
+    lib, at = Tokenizer.from_str(spec()), 0
+    for r, d in zip(sorted(rows, key=lambda r: r.start), sorted(odd_docs.collect(), key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text or ""))):
+        ids = lib.encode(d.text or "", add_special_tokens=False).ids + [2]
+        assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (d.doc_id, at, ids)
+        at += len(ids)
     assert token_output.read_tokens(token_output.write_tokens(odd_docs.limit(0), spec(), 2)).count() == 0
 
 
@@ -95,6 +100,17 @@ def test_readers_open_only_the_frames_they_need(tmp_path):
     raw = path.read_bytes()
     plain = b"".join(x.tobytes() for x in docs.values())
     assert zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(len(plain)) == plain
+    # the seek table of the public format: footer, then size, plain size and the low half of XXH64 of each frame
+    import struct
+    import xxhash
+    n, flags, magic = struct.unpack("<IBI", raw[-9:])
+    assert (flags, magic) == (0x80, 0x8F92EAB1)
+    at = 0
+    for k in range(n):
+        packed, size, check = struct.unpack("<III", raw[len(raw) - 9 - 12 * (n - k):][:12])
+        frame = zstandard.ZstdDecompressor().decompress(raw[at:at + packed])
+        assert (len(frame), xxhash.xxh64_intdigest(frame) & 0xFFFFFFFF) == (size, check)
+        at += packed
     damaged = bytearray(raw)
     damaged[100] ^= 255
     path.write_bytes(damaged)

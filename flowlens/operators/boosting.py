@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -80,7 +81,6 @@ class BoostedTrees:
         return F.array(*totals)
 
     def _batch_scores(self) -> Column:
-        import pandas as pd
         model = self
 
         @F.pandas_udf("array<double>")

@@ -41,7 +41,7 @@ def estimator(name: str, n_features: int, n_classes: int, seed: int = 42):
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian", **kw)
     if name == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=1000, regParam=1e-4), **kw)
+        return OneVsRest(classifier=LinearSVC(maxIter=1000, regParam=1e-4), parallelism=4, **kw)
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, 64, 32, n_classes], seed=seed, maxIter=300, **kw)
     raise ValueError(f"no estimator is called {name!r}; there are {', '.join(DEFAULT_MODELS + EXTENDED_MODELS)}")

@@ -27,6 +27,7 @@ from .ranking import quantiles
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 MAX_BINS = 64
+FANIN = 64        # sums of tasks that the driver adds
 MOST_NODES = 500  # nodes of a model that is scored by expressions
 
 
@@ -261,6 +262,7 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int
     model = BoostedTrees(fs, classes, [math.log(counts[c] / n) for c in classes], rate)
     start = F.array(*[F.lit(s) for s in model.start])
     rows = cut_lineage(clean.select(bins.alias("bins"), start.alias("scores"), code.alias("y")))
+    tasks = rows.rdd.getNumPartitions()  # of a checkpoint: no job
     since: list[list[Tree]] = []  # rounds that the written scores do not hold yet
 
     def catch_up(trees_of_rounds):
@@ -279,7 +281,7 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int
                 break
             parts = current.mapInArrow(_histograms(trees, frontier, edges, len(classes), n_bins), "sums binary")
             width = sum(map(len, frontier)) * len(fs) * n_bins * 3
-            sums = _added(parts, width + 2)
+            sums = _added(parts, width + 2, tasks)
             hist = sums[:-2].reshape(-1, len(fs), n_bins, 3)
             if level == 0:
                 model.losses.append(float(sums[-2] / sums[-1]))
@@ -293,7 +295,7 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int
         if len(since) == keep_scores:
             rows, since = cut_lineage(rows.mapInArrow(catch_up(list(since)), ROW_SCHEMA)), []
     current = rows.mapInArrow(catch_up(list(since)), ROW_SCHEMA) if since else rows
-    sums = _added(current.mapInArrow(_histograms([], [[] for _ in classes], edges, len(classes), n_bins), "sums binary"), 2)
+    sums = _added(current.mapInArrow(_histograms([], [[] for _ in classes], edges, len(classes), n_bins), "sums binary"), 2, tasks)
     model.losses.append(float(sums[-2] / sums[-1]))
     return model
 
@@ -308,7 +310,9 @@ def _add_up(width):
     return run
 
 
-def _added(parts: DataFrame, width: int) -> np.ndarray:
-    """Sums of all tasks, added in up to 32 tasks first."""
-    rows = parts.repartition(min(32, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_add_up(width), "sums binary").collect()
+def _added(parts: DataFrame, width: int, tasks: int) -> np.ndarray:
+    """Sums of all tasks; those of many tasks are added in up to 32 tasks first."""
+    if tasks > FANIN:
+        parts = parts.repartition(min(32, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_add_up(width), "sums binary")
+    rows = parts.collect()  # at most FANIN rows
     return sum((np.frombuffer(r["sums"], np.float64) for r in rows), np.zeros(width))

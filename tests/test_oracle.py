@@ -13,7 +13,7 @@ from .conftest import SF_SMALL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
 
-SLOW = {"model_comparison"}
+SLOW = {"model_comparison", "extended_models"}
 
 
 @pytest.fixture(scope="module")

@@ -15,7 +15,7 @@ attempt and are moved to their final name at the end, so a repeated or lost task
 either a whole file or none; the rows that describe them are written once.
 
 Null text: no ids but the end id. Null ids come first. Repeated rows are separate
-documents, ordered by their text. Other columns are not read.
+documents; rows of one id are in the order of a hash of their text. Other columns are not read.
 """
 from __future__ import annotations
 

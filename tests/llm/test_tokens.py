@@ -76,12 +76,16 @@ def test_files_hold_the_ids_in_order(spark):
 def test_odd_rows_and_an_empty_table(spark, odd_docs):
     rows = token_output.read_tokens(token_output.write_tokens(odd_docs, spec(), 2)).collect()
     assert len(rows) == odd_docs.count() and sum(r.n_tokens == 1 for r in rows) == 3
-    # null ids first, then by id and text; every row in its place
+    # null ids first, then by id; every row has the library's ids and starts where the one before it ends
     lib, at = Tokenizer.from_str(spec()), 0
-    for r, d in zip(sorted(rows, key=lambda r: r.start), sorted(odd_docs.collect(), key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text or ""))):
-        ids = lib.encode(d.text or "", add_special_tokens=False).ids + [2]
-        assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (d.doc_id, at, ids)
-        at += len(ids)
+    rows = sorted(rows, key=lambda r: r.start)
+    key = lambda d: (d is not None, d or 0)
+    assert [r.doc_id for r in rows] == sorted((d.doc_id for d in odd_docs.collect()), key=key)
+    for r in rows:
+        assert r.start == at and r.n_tokens == len(r.ids) // 4
+        at += r.n_tokens
+    want = sorted((key(d.doc_id), lib.encode(d.text or "", add_special_tokens=False).ids + [2]) for d in odd_docs.collect())
+    assert sorted((key(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == want
     assert token_output.read_tokens(token_output.write_tokens(odd_docs.limit(0), spec(), 2)).count() == 0
 
 

@@ -14,11 +14,11 @@ n - ceil(t n) + c of each (prefix filter).
 Neither may emit all pairs of a group of copies. First each list, in order of node, pairs
 neighbours, and every set with the list's hub; pairs that share many lists are verified exactly
 and give components. Sets that share many lists with a large component without a link to it are
-then compared with some of its members. At last, in lists that hold more than one component, the sets outside the list's largest component are paired
-with all sets of other components; pairs that share fewer prefix tokens than a link must are
-dropped, the others verified. A link whose ends were already connected cannot change a component,
-and every other pair that could link is verified, so components are exact. Equal sets are one
-node from the start.
+then compared with some of its members. At last, pairs of different components follow: those that share a
+subset, and of the inverted lists those that share as many prefix tokens as a link must (token_pairs: a set
+meets the sizes of its lists first, and then only as many of its shortest lists as it takes to miss no partner). A link
+whose ends were already connected cannot change a component, and every other pair that could link is verified, so components are
+exact. Equal sets are one node from the start.
 
 Lists are dealt by range of (token, node): a token of very many sets spreads over tasks.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -252,6 +252,49 @@ def choose_boundary(nodes: DataFrame, percent: int) -> int:
     return min(BOUNDARIES, key=lambda b: (row[str(b)] or 0, b))
 
 
+def token_pairs(entries: DataFrame, components: DataFrame, done: DataFrame, percent: int, boundary: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share as many prefix tokens as a link of their sizes
+    must (least_shared), are not in ``done`` and hold a set above the boundary: no other pair of inverted lists can link.
+
+    A set meets the sizes of a list before it meets the sets: only if at least s of its k lists hold a set of size m of
+    another component can it link with one of that size. Such a partner stands in one of any k - s + 1 of these lists, so
+    only the shortest ones are joined, and only towards the larger component. Rows of the size tables grow
+    with the entries, as a list has less than n sizes that can link with n."""
+    sized = (entries.select("key", "node", F.shiftright("pack", 32).alias("n")).distinct().join(components, "node", "left")
+             .select("key", "node", "n", F.coalesce("component", "node").alias("component")))
+    members = components.groupBy("component").agg(F.count("*").alias("members"))
+    placed = written(sized.join(members, "component", "left")
+                     .select("key", "node", "n", F.struct(F.coalesce("members", F.lit(1)).alias("members"), "component").alias("rank")), "jaccard-sized")
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    must = least_shared(low, high, percent)
+
+    def met(rows: DataFrame, condition) -> DataFrame:
+        """Each entry with the sizes m in its list that can link with it."""
+        cells = rows.groupBy("key", F.col("n").alias("m")).agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("c"))
+        return rows.join(cells, "key").where((100 * low >= percent * high) & (high > boundary) & condition)
+
+    for _ in range(2):  # sets that cannot link leave the lists; the second pass finds those that met only such sets
+        fits = (met(placed, (F.col("least") != F.col("rank")) | (F.col("most") != F.col("rank")))
+                .groupBy("node", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= must))
+        sizes = fits.groupBy("node").agg(F.collect_set("m").alias("sizes"))
+        placed = written(placed.select("key", "node", "n", "rank").join(sizes, "node"), "jaccard-sized")
+    up = met(placed, (F.col("most") > F.col("rank")) & F.array_contains("sizes", F.col("m")))
+    of_size = Window.partitionBy("node", "m")
+    chosen = (up.withColumn("k", F.count("*").over(of_size))
+              .withColumn("place", F.row_number().over(of_size.orderBy("c", "key")))
+              .where((F.col("k") >= must) & (F.col("place") <= F.col("k") - must + 1))
+              .select("key", "node", "n", "m", "rank"))
+    x, y = written(chosen, "jaccard-chosen").alias("x"), placed.alias("y")
+    found = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.m") == F.col("y.n")) & (F.col("x.rank") < F.col("y.rank"))
+                    & F.array_contains("y.sizes", F.col("x.n")))
+             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    found = written(found.join(done, ["a", "b"], "left_anti"), "jaccard-met")
+    tokens = written(placed.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys")), "jaccard-prefixes")
+    of = lambda end, n, keys: tokens.select(F.col("node").alias(end), F.col("n").alias(n), F.col("keys").alias(keys))
+    return (found.join(of("a", "n", "keys"), "a").join(of("b", "m", "others"), "b")
+            .where(F.size(F.array_intersect("keys", "others")) >= must).select("a", "b"))
+
+
 def classes_of_sets(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
     """Two tables: doc_id, node and n of every row (n = 0: no set); node, component and component_id of every set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -319,21 +362,14 @@ def classes_of_sets(docs: DataFrame, width: int, percent: int, id_col: str, text
         done = done.union(tries)
         first = connected_components(links)
 
-    # lists with several components: everything outside a list's largest component against the others
+    # lists with several components: everything that could still join two of them
     n = lambda t: F.shiftright(f"{t}.pack", 32)
-    c = lambda t: F.col(f"{t}.pack").bitwiseAND(F.lit(3))
     rest = lambda t: n(t) - F.shiftright(F.col(f"{t}.pack").bitwiseAND(F.lit(0xFFFFFFFF)), 2) - 1
     low, high = F.least(n("x"), n("y")), F.greatest(n("x"), n("y"))
-    can = (100 + percent) * (c("x") + F.least(rest("x"), rest("y"))) >= percent * (low + high)
-
-    def enough(shared: DataFrame) -> DataFrame:
-        few = F.col("tokens") >= least_shared(F.col("low"), F.col("high"), percent)
-        return shared.where(F.col("can_subset") | (F.col("can_token") & few & (F.col("high") > boundary)))
-
-    cross = cross_pairs(entries.select("key", "node", "pack"), first, done,
-                        lambda x, y: (c(x) == c(y)) & (100 * low >= percent * high),
-                        [F.sum((c("x") == 1).cast("long")).alias("tokens"), F.max(can & (c("x") == 1)).alias("can_token"),
-                         F.max(can & (c("x") == SUBSET)).alias("can_subset"), F.max(low).alias("low"), F.max(high).alias("high")], enough)
+    can = (100 + percent) * (SUBSET + F.least(rest("x"), rest("y"))) >= percent * (low + high)
+    plain = entries.select("key", "node", "pack")
+    subsets = cross_pairs(plain.where(kind == SUBSET), first, done, lambda x, y: (100 * low >= percent * high) & can)
+    cross = subsets.union(token_pairs(plain.where(kind == 1), first, done, percent, boundary)).distinct()
     more = written(verified(cross), "jaccard-links")
     final = connected_components(links.union(more))
 

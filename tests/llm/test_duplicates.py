@@ -79,6 +79,30 @@ def test_subsets_and_lists_meet_every_link():
             assert same or jaccard_join.may_link(pack(a, x, i), pack(b, y, j), 80).any(), (len(a), len(b), boundary)
 
 
+def test_lists_lose_no_link_between_components(spark):
+    """A group of near copies of several sizes: every link between components is met, however far the sizes prune."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(1, 1 << 60, 60).astype(np.uint64))
+    sets = {}
+    for i in range(70):
+        kept = base[rng.random(len(base)) < rng.choice((0.8, 0.9, 0.97))]
+        sets[i + 1] = np.unique(np.concatenate([kept, rng.integers(1, 1 << 60, int(rng.integers(0, 8))).astype(np.uint64)]))
+    links = {(a, b) for a in sets for b in sets if a < b and 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))}
+    component = classes(range(1, 31), [p for p in links if max(p) <= 30])
+    done = sorted(links)[::9]
+    of = lambda node: component.get(node, node)
+    for boundary in (0, 50):
+        entries = [(int(k), node, int(len(s)) << 32 | int(at) << 2 | 1)
+                   for node, s in sets.items() for k, at, c in zip(*jaccard_join.set_keys(s, 80, boundary)) if c == 1]
+        got = jaccard_join.token_pairs(spark.createDataFrame(entries, "key long, node long, pack long"),
+                                       spark.createDataFrame(sorted(component.items()), "node long, component long"),
+                                       spark.createDataFrame(done, "a long, b long"), 80, boundary).collect()
+        want = {(a, b) for a, b in links if of(a) != of(b) and (a, b) not in done and max(len(sets[a]), len(sets[b])) > boundary}
+        assert len(want) > 20 and len(got) == len(set(got))
+        assert want <= {(r.a, r.b) for r in got}
+        assert all(of(r.a) != of(r.b) and (r.a, r.b) not in done for r in got)
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     kept = jaccard_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns

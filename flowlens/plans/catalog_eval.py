@@ -333,18 +333,24 @@ def triage_events(spark: SparkSession, d: str) -> DataFrame:
         F.sum(F.col("is_alert").cast("int")).cast("bigint").alias("alerts"))
 
 
-@register("focal_loss", """
-WITH x AS (SELECT label, list_transform(CAST(embedding AS DOUBLE[])[1:10], lambda v: v * 10.0) AS lg FROM embeddings),
-y AS (SELECT label, lg, list_max(lg) AS m FROM x),
-z AS (SELECT label, lg[label + 1] - (m + ln(list_sum(list_transform(lg, lambda v: exp(v - m))))) AS lp FROM y)
+@register("focal_loss", f"""
+WITH {_EMB_SQL},
+c AS (SELECT label AS class, i, avg(x) AS m FROM e GROUP BY label, i),
+g AS (SELECT e.vec_id, e.label, c.class, -sum((e.x - c.m) * (e.x - c.m)) AS lg FROM e JOIN c USING (i) GROUP BY ALL),
+m AS (SELECT vec_id, max(lg) AS mx FROM g GROUP BY vec_id),
+z AS (SELECT g.vec_id, g.label, max(CASE WHEN g.class = g.label THEN lg END) - (any_value(mx) + ln(sum(exp(lg - mx)))) AS lp
+      FROM g JOIN m USING (vec_id) GROUP BY g.vec_id, g.label)
 SELECT label, count(*) AS rows, round(avg(-pow(1.0 - exp(lp), 2.0) * lp), 6) AS mean_loss,
        round(sum(-pow(1.0 - exp(lp), 2.0) * lp), 4) AS sum_loss FROM z GROUP BY label
 """)
 def focal_loss(spark: SparkSession, d: str) -> DataFrame:
-    """SCR-11: per-row focal loss (gamma 2) from 10 logits, mean and sum per class."""
-    emb = table(spark, d, "embeddings").withColumn(
-        "logits", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 10), lambda v: v * 10.0))
-    fl = SCR.focal_loss(emb, "logits", "label", gamma=2.0)
+    """SCR-11: focal loss (gamma 2) of every vector from its squared distances to all class centroids, mean and sum per class."""
+    emb = table(spark, d, "embeddings")
+    head = SCR.fit_centroids(emb, "embedding", by=["label"]).orderBy("label").collect()  # classes x d numbers, literals below
+    v = F.col("embedding").cast("array<double>")
+    logits = emb.select("label", F.array(*[-A.squared_error_sum(v, F.lit(c.centroid)) for c in head]).alias("logits"),
+                        (F.array_position(F.array(*[F.lit(c.label) for c in head]), F.col("label")) - 1).alias("target"))
+    fl = SCR.focal_loss(logits, "logits", "target", gamma=2.0)
     return fl.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("focal_loss")).alias("mean_loss"),
                                    r(F.sum("focal_loss"), 4).alias("sum_loss"))
 

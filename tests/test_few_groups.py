@@ -36,3 +36,14 @@ def test_split_of_many_groups_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(SPL, "MOST_GROUPS", 1)
     assert sorted(map(tuple, SPL.stratified_cap(flows(spark), "g", ["id"], 300).collect()), key=str) == expected
     assert len(expected) == 300 and sum(r[1] is None for r in expected) == 100
+
+
+def test_codes_of_few_labels_are_sent_to_the_rows(spark, no_threshold):
+    from flowlens.operators import fit as FIT
+    df = flows(spark)
+    index = FIT.fit_label_index(df, "g")
+    coded = FIT.decode_index(FIT.apply_label_index(df, index, "g", "y"), index, "g", "y", "name")
+    coded = FIT.apply_category_encoder(coded, FIT.fit_category_encoder(df, ["g"]), ["g"])
+    last = plan(coded)
+    assert last.count("BroadcastHashJoin") >= 3 and "LeftOuter" not in "".join(x for x in last.split("\n") if "SortMergeJoin" in x)
+    assert sorted(map(tuple, coded.groupBy("g", "y", "name").count().collect())) == [(-1, -1, "Class_-1", 1000), (0, 0, "g1", 1000), (1, 1, "g2", 1000)]

@@ -84,6 +84,18 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return [c.strip() for c in next(csv.reader([line]))]
 
 
+def upload_header(spark: SparkSession, path: str) -> list[str]:
+    """SRC-09: column names of a CSV file, or of a folder of part files; parts with different headers are an error."""
+    p, fs = _fs(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return read_header(spark, path)
+    parts = file_headers(spark, list_files(spark, path).where("length > 0"))
+    found = parts.select("header").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    return list(found[0]["header"]) if found else []
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              infer_schema: bool = False) -> DataFrame:
     """SRC-01: one CSV file; missing file or non-.csv path is an error; headers stripped."""

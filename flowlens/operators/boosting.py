@@ -1,6 +1,7 @@
 """Multiclass gradient boosting (MOD-06): K regression trees a round on softmax residuals.
 
-Rows carry their K scores and stay where they are; a level of all K trees of a round is one scan. Tasks
+Rows are binned, and rows of equal bins and label, whose scores are always equal, become one row with their number. Rows carry
+their K scores and stay where they are; a level of all K trees of a round is one scan. Tasks
 send histograms - sums of residuals by class, node, feature and bin - which are added in Spark; splits are
 chosen from them on the driver (their size is classes x nodes x features x bins, whatever the rows).
 Trees are plain arrays, so scoring is one expression a class and needs no model object on executors.
@@ -187,7 +188,7 @@ def _columns(batch, n_features):
     bins = np.asarray(batch.column(0).flatten()).reshape(-1, n_features)
     scores = np.asarray(batch.column(1).flatten(), np.float64)
     y = np.asarray(batch.column(2))
-    return bins, scores.reshape(len(y), -1), y
+    return bins, scores.reshape(len(y), -1), y, np.asarray(batch.column(3), np.float64)
 
 
 def _histograms(trees, frontier, edges, n_classes, n_bins):
@@ -201,10 +202,10 @@ def _histograms(trees, frontier, edges, n_classes, n_bins):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, scores, y = _columns(batch, len(edges))
+            bins, scores, y, n = _columns(batch, len(edges))
             p = _softmax(scores)
-            loss -= float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum())
-            rows += len(y)
+            loss -= float((n * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+            rows += n.sum()
             for k in range(n_classes):
                 if not frontier[k]:
                     continue
@@ -216,7 +217,7 @@ def _histograms(trees, frontier, edges, n_classes, n_bins):
                 live = np.flatnonzero(at >= 0)
                 for f in range(len(edges)):
                     key = at[live] * n_bins + bins[live, f]
-                    for c, v in enumerate((np.ones(len(live)), residual[live], weight[live])):
+                    for c, v in enumerate((n[live], n[live] * residual[live], n[live] * weight[live])):
                         total[offsets[k]:offsets[k + 1], f, :, c] += np.bincount(key, v, sizes[k] * n_bins).reshape(sizes[k], n_bins)
         yield pa.RecordBatch.from_arrays([pa.array([np.append(total.reshape(-1), [loss, rows]).tobytes()], pa.binary())], names=["sums"])
     return run
@@ -227,15 +228,15 @@ def _apply(trees, edges, rate, n_features):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, scores, y = _columns(batch, n_features)
+            bins, scores, _, _ = _columns(batch, n_features)
             step = np.column_stack([np.array(t.value)[_descend(t, bins, edges)] for t in trees])
             flat = (scores + rate * step).reshape(-1)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, scores.shape[1], dtype=np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["bins", "scores", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), batch.column(3)], names=["bins", "scores", "y", "n"])
     return run
 
 
-ROW_SCHEMA = "bins array<int>, scores array<double>, y int"
+ROW_SCHEMA = "bins array<int>, scores array<double>, y int, n bigint"
 
 
 def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int = 50, depth: int = 5, rate: float = 0.1,
@@ -243,7 +244,7 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int
     """MOD-06: gradient boosting with ``rounds`` rounds of one depth-limited tree per class.
 
     NULL, NaN and infinite feature values count as 0 (as in the other models); rows without a label are left out. Rows
-    are binned once and written; every ``keep_scores`` rounds their scores are written too, which bounds both lineage and the
+    are binned once and written, equal ones once with their number; every ``keep_scores`` rounds their scores are written too, which bounds both lineage and the
     trees that a task walks again. A table without labelled rows raises ValueError; one class gives trees of zeros."""
     fs = list(features)
     clean = df.select(*[F.coalesce(finite(col(f)), F.lit(0.0)).alias(f) for f in fs], col(label).cast("string").alias("__y")).where(F.col("__y").isNotNull())
@@ -261,7 +262,8 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, rounds: int
     code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("__y")).cast("int") - 1
     model = BoostedTrees(fs, classes, [math.log(counts[c] / n) for c in classes], rate)
     start = F.array(*[F.lit(s) for s in model.start])
-    rows = cut_lineage(clean.select(bins.alias("bins"), start.alias("scores"), code.alias("y")))
+    binned = clean.select(bins.alias("bins"), code.alias("y")).groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(binned.select("bins", start.alias("scores"), "y", "n"))
     tasks = rows.rdd.getNumPartitions()  # of a checkpoint: no job
     since: list[list[Tree]] = []  # rounds that the written scores do not hold yet
 

@@ -1,6 +1,7 @@
 """Multiclass boosting against a plain version that tries every threshold."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.operators import boosting as B
 
@@ -81,3 +82,16 @@ def test_odd_tables(spark, table):
     assert single.losses == [0.0, 0.0]
     with pytest.raises(ValueError):
         B.fit_boosting(df.limit(0), ["g"], "cls")
+
+
+def test_rows_of_equal_bins_are_scanned_once(spark, monkeypatch):
+    """Ten times the rows are the same model, and no more rows to scan."""
+    scanned = []
+    keep = B.cut_lineage
+    monkeypatch.setattr(B, "cut_lineage", lambda df: scanned.append(keep(df)) or scanned[-1])
+    df = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 F.when(F.col("id") % 35 < 12, "x").when(F.col("id") % 7 < 4, "y").otherwise("z").alias("c"))
+    once = B.fit_boosting(df, ["a", "b"], "c", rounds=3, depth=2)
+    often = B.fit_boosting(df.crossJoin(spark.range(10).select(F.col("id").alias("copy"))), ["a", "b"], "c", rounds=3, depth=2)
+    assert np.allclose(once.losses, often.losses) and [[t.feature for t in r] for r in once.rounds] == [[t.feature for t in r] for r in often.rounds]
+    assert [s.count() for s in scanned] == [35, 35] and [s.agg(F.sum("n")).first()[0] for s in scanned] == [600, 6000]

@@ -2,6 +2,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from flowlens.llm import components, embedding_dedup, jaccard_join, line_dedup
 
@@ -252,3 +254,46 @@ def test_lines_with_edited_words_are_found(spark):
         lines += ["".join(line), "".join(line[:30] + ["字"] + line[31:])]
     got, want, links = kept_lines(spark, lines)
     assert got == want and len(links) > 80
+
+
+def test_lines_with_edits_in_every_passage_are_found(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = []
+    for size in (60, 64, 71, 72, 99, 150, 401, 640):
+        base = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(size))[:size].strip().ljust(size, "e")
+        changed, shorter, longer = list(base), list(base), list(base)
+        for k, at in enumerate(range(size - 5, 4, -10)[:size // 10]):  # no ten letters in a row stay
+            changed[at] = "0"
+            if k < len(base) // 10 and base[at - 1] != " " and base[at + 1] != " ":
+                del shorter[at]
+            if k < len(base) // 10:
+                longer.insert(at, "1")
+        lines += [base, *("".join(x) for x in (changed, shorter, longer))]
+    got, want, links = kept_lines(spark, lines)
+    assert got == want and len(links) > 20
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.95])
+def test_pieces_miss_no_pair(similarity):
+    rng = random.Random(14)
+    pairs, lines = [], []
+    for size in (60, 61, 75, 90, 200, 333):
+        for _ in range(20):
+            a = [rng.choice("abcd") for _ in range(size)]
+            b, step = list(a), size // (line_dedup.edits(size, similarity) + 1)
+            for k in range(line_dedup.edits(size, similarity)):  # spread as evenly as can be, in either direction
+                rng.choice((lambda at: b.pop(at), lambda at: b.insert(at, "x"), lambda at: b.__setitem__(at, "y")))(min(k * step + step // 2, len(b) - 1))
+            pairs.append((len(lines), len(lines) + 1))
+            lines += ["".join(a), "".join(b)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["node", "component", "line"])
+    cut, whole = {}, {}
+    for rows in line_dedup._piece_rows(similarity, line_dedup.piece_size(similarity))([batch]):
+        for r in rows.to_pylist():
+            (whole if r["piece"] < 0 else cut).setdefault(r["node"], []).append(r)
+    for a, b in pairs:
+        if edit_distance(lines[a], lines[b]) <= line_dedup.edits(max(len(lines[a]), len(lines[b])), similarity):
+            x, y = sorted((a, b), key=lambda i: len(lines[i]))
+            longer = len(lines[y]) - len(lines[x])
+            assert any(p["key"] == w["key"] and abs(w["at"] - p["at"]) <= p["piece"] and abs(w["at"] - p["at"] - longer) <= p["rest"]
+                       for p in cut[x] for w in whole[y]), (lines[x], lines[y])

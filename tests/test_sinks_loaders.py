@@ -92,3 +92,14 @@ def test_extended_models(spark):
         assert labels <= {"a", "b", "c"}
     assert len(C.ENTERPRISE_FEATURES) == 70 and len(C.IOT_FEATURES) == 46
     assert pd.Series(list(C.ENTERPRISE_FEATURES)).is_unique
+
+
+def test_rows_of_one_partition_are_fitted_in_many(spark, monkeypatch):
+    from flowlens.operators import models
+    seen = []
+    monkeypatch.setattr(models, "ROWS_A_TASK", (100, 400))
+    monkeypatch.setattr(models, "fit_boosting", lambda df, *a, **k: seen.append((df.rdd.glom().map(len).collect(), df.columns)))
+    df = _tiny(spark, 1000).withColumn("wide", F.lit("x" * 50)).coalesce(1)
+    ModelSuite(["gradient_boosting"]).fit(df, ["f1", "f2"], "label")
+    sizes, columns = seen[0]
+    assert sum(sizes) == df.count() and len(sizes) > 1 and max(sizes) - min(sizes) <= 1 and columns == ["f1", "f2", "label"]

@@ -103,3 +103,14 @@ def test_rows_of_one_partition_are_fitted_in_many(spark, monkeypatch):
     ModelSuite(["gradient_boosting"]).fit(df, ["f1", "f2"], "label")
     sizes, columns = seen[0]
     assert sum(sizes) == df.count() and len(sizes) > 1 and max(sizes) - min(sizes) <= 1 and columns == ["f1", "f2", "label"]
+
+
+def test_a_forest_keeps_bag_counts_of_few_trees_a_row(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier as Forest
+    from flowlens.operators import features
+    asked, fit = [], Forest.fit
+    monkeypatch.setattr(Forest, "fit", lambda self, df: (asked.append((self.getNumTrees(), self.getSeed(), self.getCacheNodeIds())), fit(self, df))[1])
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), "ab"[i % 7 > 3]) for i in range(200)], "x double, noise double, label string")
+    got = {r.feature: r.importance for r in features.rf_importance(df, ["x", "noise"], "label", num_trees=25, max_depth=4).collect()}
+    assert [a[0] for a in asked] == [10, 10, 5] and len({a[1] for a in asked}) == 3 and not any(a[2] for a in asked)
+    assert got["x"] > 0.8 and abs(sum(got.values()) - 1) < 1e-3

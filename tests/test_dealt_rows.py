@@ -28,3 +28,10 @@ def test_dealt_duplicates_are_those_of_grouping(spark):
     nested = df.select("v")  # no column to deal by
     assert SH.drop_duplicates(nested).count() == nested.distinct().count()
     assert SH.drop_duplicates(df.limit(0)).count() == 0
+
+
+def test_split_that_is_kept_holds_only_what_is_read(spark):
+    from flowlens.plans import catalog_fit as CF
+
+    from .conftest import SF_SMALL
+    assert CF._split_lineitem(spark, SF_SMALL).columns == ["split", *CF.FEATS]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.fit import Params
+from ..session import open_writers
 from .csv import _fs
 
 COMMIT_SCHEMA = "epoch bigint, attempt string, tables string, about string"
@@ -97,7 +98,8 @@ class Attempt:
         if not name.isidentifier():
             raise ValueError(f"a table name is letters, digits and underscores, not {name!r}")
         path = f"{self.log.base}/{name}/epoch={self.epoch}/attempt={self.id}"
-        df.write.partitionBy(*partition_by).parquet(path)
+        with open_writers(df.sparkSession):
+            df.write.partitionBy(*partition_by).parquet(path)
         self.tables[name] = df.schema.json()
         return self.log.spark.read.schema(df.schema).parquet(path)
 

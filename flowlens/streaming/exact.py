@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, row_hashes
@@ -33,19 +33,23 @@ def dedup_epoch(log: SnapshotLog, batch: DataFrame, epoch: int, columns: Sequenc
     hashed = batch.select(*[col(c) for c in own], a.alias("__a"), b.alias("__b")).withColumn("__part", F.pmod("__a", F.lit(parts)).cast("int"))
     about = log.about(epoch_before) if (epoch_before := log.commits(epoch - 1).agg(F.max("epoch").alias("e")).first()["e"]) is not None else {}
     newest = about.get("newest")
+    seconds = col(ts).cast("timestamp").cast("double") if ts else F.lit(None).cast("double")
     seen = log.read("seen", epoch - 1)
-    fresh = hashed.dropDuplicates(["__a", "__b"])
+    # parts that the batch touches (at most ``parts`` numbers) and its newest event time, duplicates too, in one pass
+    found = batch.select(F.pmod(a, F.lit(parts)).cast("int").alias("part"), seconds.alias("t")).agg(F.collect_set("part").alias("parts"), F.max("t").alias("t")).first()
+    # rows are dealt once by their hash: duplicates within the batch and the index meet them there
+    # (a row number over that order is cheaper than an aggregate, which takes the first value of each column apart)
+    same = Window.partitionBy("__a", "__b").orderBy("__a")
+    fresh = hashed.repartition("__a", "__b").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
     if seen is not None:
-        touched = [r["__part"] for r in hashed.select("__part").distinct().collect()]  # at most ``parts`` numbers
-        seen = seen.where(F.col("__part").isin(touched)) if len(touched) < parts else seen
-        fresh = fresh.join(seen.select("__part", "__a", "__b"), ["__part", "__a", "__b"], "left_anti")
-    seconds = col(ts).cast("timestamp").cast("double") if ts else F.lit(None).cast("double")
+        seen = seen.where(F.col("__part").isin(found["parts"])) if len(found["parts"]) < parts else seen
+        fresh = fresh.join(seen.select("__a", "__b"), ["__a", "__b"], "left_anti")
     late = F.coalesce(seconds < F.lit(newest) - F.lit(float(delay_seconds)), F.lit(False)) if newest is not None else F.lit(False)
     attempt = log.attempt(epoch)
-    rows = attempt.put("rows", fresh.withColumn("late", late), ["late"])
+    rows = attempt.put("rows", fresh.select(*[col(c) for c in own], "__a", "__b", "__part").withColumn("late", late), ["late"])
     attempt.put("seen", rows.select("__part", "__a", "__b").repartition("__part"), ["__part"])
-    if ts:  # of all rows of the batch, duplicates too
-        top = batch.agg(F.max(seconds).alias("t")).first()["t"]
+    if ts:
+        top = found["t"]
         newest = top if newest is None else newest if top is None else max(newest, top)
     attempt.commit({"newest": newest, "columns": columns, "parts": parts})
     return True

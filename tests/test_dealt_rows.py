@@ -35,3 +35,20 @@ def test_split_that_is_kept_holds_only_what_is_read(spark):
 
     from .conftest import SF_SMALL
     assert CF._split_lineitem(spark, SF_SMALL).columns == ["split", *CF.FEATS]
+
+
+def test_an_epoch_deals_its_rows_once(spark, tmp_path, monkeypatch):
+    from flowlens.sources import snapshots as SN
+    from flowlens.streaming import exact as EX
+    plans, put = [], SN.Attempt.put
+
+    def spy(self, name, df, partition_by=()):
+        if name == "rows":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, name, df, partition_by)
+    monkeypatch.setattr(SN.Attempt, "put", spy)
+    log = SN.SnapshotLog(spark, str(tmp_path / "log"))
+    batch = spark.range(20).selectExpr("id % 7 AS k", "cast(id % 7 AS string) AS s")
+    assert EX.dedup_epoch(log, batch, 0) and EX.dedup_epoch(log, batch.union(spark.range(7, 9).selectExpr("id", "'new'")), 1)
+    assert sorted(map(tuple, EX.distinct_rows(log).select("k", "s").collect())) == [*((k, str(k)) for k in range(7)), (7, "new"), (8, "new")]
+    assert "Aggregate" not in plans[1] and plans[1].count("hashpartitioning(") == 1, plans[1]  # an index this small is sent

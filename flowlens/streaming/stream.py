@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators import fit as FIT
 from ..operators import shape as SH
+from ..session import state_on_disk
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -59,11 +60,14 @@ def dedup_stream(df: DataFrame, ts: str | None, columns: Sequence[str], delay: s
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True):
-    """Run into a file table in the shared folder (exactly-once with the checkpoint)."""
+    """Run into a file table in the shared folder (exactly-once with the checkpoint).
+
+    State, such as the rows of ``dedup_stream``, is kept on disk: the heap need not hold every row of the delay."""
     w = (df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
          .outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    with state_on_disk(df.sparkSession):
+        return w.start()
 
 
 def score_and_persist(df: DataFrame, records_path: str, alerts_path: str, checkpoint: str, id_col: str, label: str,

@@ -138,6 +138,19 @@ def test_stream_dedup_keeps_rows_out_of_time_order(spark, tmp_dir):
     assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == [1, 2, 3, 4]
 
 
+def test_stream_dedup_keeps_its_state_off_the_heap(spark, tmp_dir):
+    from flowlens.session import DISK_STATE
+    for k in range(3):
+        spark.range(k * 50, k * 50 + 100).selectExpr("id", "if(id % 7 = 0, null, cast(id as string)) AS s").coalesce(1).write.parquet(f"{tmp_dir}/in/{k}")
+    src = spark.readStream.schema("id long, s string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/in")
+    q = STR.to_table(STR.dedup_stream(src, None, ["id", "s"], "1 hour"), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    assert all(spark.conf.get(k, None) is None for k in DISK_STATE)  # the session is as before
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_dir}/out").collect()) == list(range(200))
+    states = [s for p in q.recentProgress for s in p.stateOperators]
+    assert states and all("rocksdbPutCount" in s.customMetrics for s in states)
+
+
 def test_streams_read_tables_of_several_files(spark, tmp_dir):
     from flowlens.plans.catalog_misc import table_stream
     df = spark.range(100)

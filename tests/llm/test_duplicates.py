@@ -297,3 +297,27 @@ def test_pieces_miss_no_pair(similarity):
             longer = len(lines[y]) - len(lines[x])
             assert any(p["key"] == w["key"] and abs(w["at"] - p["at"]) <= p["piece"] and abs(w["at"] - p["at"] - longer) <= p["rest"]
                        for p in cut[x] for w in whole[y]), (lines[x], lines[y])
+
+
+def test_pieces_of_lines_that_share_none_are_not_written(spark, monkeypatch):
+    rng = random.Random(15)
+    own = ["".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(size)) for size in (60, 75, 120, 300)]
+    base = "".join(rng.choice("abcdefgh") for _ in range(90))
+    near = [base, *(base[:k] + "z" + base[k + 1:] for k in range(0, 90, 3))]
+    nodes = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(own + near)], "node long, line string, size int")
+    sizes, write = {}, line_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = sizes.get(name, 0) + out.where(f"node < {len(own)}").count() if "piece" in out.columns else 0
+        return out
+    monkeypatch.setattr(line_dedup, "written", counted)
+    groups = spark.createDataFrame([(len(own) + i, len(own)) for i in range(12)], "node long, component long")
+    found = []
+    for few in (0, 32, 10**6):
+        monkeypatch.setattr(line_dedup, "FEW", few, raising=False)
+        found.append({(r.a, r.b) for r in line_dedup.line_pieces(nodes, groups).collect()})
+    ids, group = range(len(own), len(own + near)), lambda i: min(i, len(own)) if i < len(own) + 12 else i
+    # all near lines of different groups are two edits apart at most
+    assert found[0] == found[1] == found[2] == {(a, b) for a in ids for b in ids if a < b and group(a) != group(b)}
+    assert not any(sizes.values()), sizes

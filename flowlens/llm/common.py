@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_dropped
 
 # The separators of a word, U+0020 and U+0009 to U+000D, as a regular-expression class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -22,7 +22,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     must not be repeated."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):  # nothing reads them once the rows are written
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

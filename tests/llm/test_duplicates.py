@@ -1,11 +1,14 @@
 """Joins and deduplication against brute force."""
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from flowlens.llm import components, embedding_dedup, jaccard_join, line_dedup
+from flowlens.llm.common import written
+from flowlens.session import DROPPED
 
 from .conftest import sentence
 
@@ -161,6 +164,35 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(again.limit(0)).count() == 0
 
 
+def test_tiles_are_dealt_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(24) + 0.05 * rng.standard_normal((640, 24))  # one group: every tile is near every other
+    rows, write = {}, embedding_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(embedding_dedup, "written", counted)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()))
+    assert {r.component_id for r in got} == {0}
+    blocks = 1.5 * spark.sparkContext.defaultParallelism + 1
+    # a pair of blocks returns two rows a vector at most; a pair of tiles would return as many
+    assert rows["vector-links"] <= 2 * len(v) * (blocks + 1) < 2 * len(v) * 40
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: sum(len(list(Path(d).rglob("shuffle_*.data"))) for d in folders)
+    before, setting = kept(), spark.conf.get(DROPPED, None)
+    out = written(spark.range(1000).repartition(5), "dealt")
+    assert kept() == before and spark.conf.get(DROPPED, None) == setting
+    assert out.count() == 1000
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -353,3 +353,22 @@ def test_pieces_of_lines_that_share_none_are_not_written(spark, monkeypatch):
     # all near lines of different groups are two edits apart at most
     assert found[0] == found[1] == found[2] == {(a, b) for a in ids for b in ids if a < b and group(a) != group(b)}
     assert not any(sizes.values()), sizes
+
+
+def test_slices_of_pieces_hold_every_piece_once(spark, monkeypatch):
+    rng = random.Random(16)
+    base = ["".join(rng.choice("abcd") for _ in range(size)) for size in (60, 95, 210)]
+    lines = [x for b in base for x in (b, b[:20] + "zz" + b[20:], b[:30] + "q" + b[31:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["node", "component", "line"])
+    length = line_dedup.piece_size(0.9)
+    rows = lambda *part: [tuple(r.values()) for b in line_dedup._piece_rows(0.9, length, *part)([batch]) for r in b.to_pylist()]
+    parts = [rows(4, k) for k in range(4)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(rows())
+    nodes = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "node long, line string, size int")
+    groups = spark.createDataFrame([], "node long, component long")
+    found = []
+    for slices, held, few in ((1, 10**6, 10**6), (3, 10**6, 2), (2, 3, 32), (2, 1, 1)):  # keys of more rows than a task holds too
+        for name, value in (("SLICES", slices), ("HELD", held), ("FEW", few)):
+            monkeypatch.setattr(line_dedup, name, value)
+        found.append({(r.a, r.b) for r in line_dedup.line_pieces(nodes, groups).collect()})
+    assert found[0] == found[1] == found[2] == found[3] >= {(i, j) for i in range(9) for j in range(i + 1, i // 3 * 3 + 3)}
